@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from eventweave.functions.epoch import epoch_ms
 from eventweave.operators.timenorm import TimeDictionary, normalise
+from eventweave.session import materialise
 
 
 def with_home(df: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -19,26 +20,29 @@ def with_home(df: DataFrame, feeds: DataFrame) -> DataFrame:
 def with_instant(bars: DataFrame, feeds: DataFrame, dictionary: TimeDictionary, out: str = "instant_ms") -> DataFrame:
     """Adds the bar's instant: its `timestamp`, or where that is null or no time, its `datetime` in the feed's home zone.
 
-    Only rows without a timestamp go through the dictionary. Keeps tz_name and locale_code.
+    Only rows without a timestamp go to the dictionary and its join; the others stay where they are. Keeps tz_name and locale_code.
     """
     homed = with_home(bars, feeds).withColumn("__ts", epoch_ms(F.col("timestamp")))
-    homed = homed.withColumn("__text", F.when(F.col("__ts").isNull(), F.col("datetime")))
-    done = normalise(homed, "__text", F.col("tz_name"), F.col("locale_code"), dictionary, out="__written")
-    return done.withColumn(out, F.coalesce("__ts", "__written")).drop("__ts", "__text", "__written")
+    counted = homed.where(F.col("__ts").isNotNull()).withColumn(out, F.col("__ts")).drop("__ts")
+    written = normalise(homed.where(F.col("__ts").isNull()), "datetime", F.col("tz_name"), F.col("locale_code"), dictionary, out=out).drop("__ts")
+    return counted.unionByName(written)
 
 
 def with_shards(df: DataFrame, key: str, at_ms: str, *, rows: int, halo: int, bucket_ms: int) -> DataFrame:
-    """Splits every key's series into consecutive shards of about ``rows`` rows and copies rows of neighbours in as halo.
-
-    Adds __shard and __core (false on halo copies). A histogram of rows by (key, time bucket) gives each bucket's place in its series;
-    a bucket belongs to the shard of its place, and is copied whole to each shard of which it holds some of the ``halo`` rows just
-    before or after. So every shard is one unbroken stretch, however skewed the keys, and no task gets more than about ``rows`` plus
-    three buckets. Rows with a null key or time are left out.
+    """Splits long series into consecutive shards of about ``rows`` rows and copies rows of neighbours in as halo.
+
+    Adds __shard and __core (false on halo copies). A series of up to ``rows`` rows is one shard. For the longer ones, of which there are
+    fewer than one per ``rows`` rows of input, a histogram of rows by (key, time bucket) gives each bucket's place in its series; a bucket
+    belongs to the shard of its place, and is copied whole to each shard of which it holds some of the ``halo`` rows just before or
+    after. So every shard is one unbroken stretch, however skewed the keys, and no task gets more than about ``rows`` plus three buckets.
+    The buckets' plan is written as a table of its own, so that Catalyst knows its size: it is broadcast under the threshold and joined
+    by shuffle beyond. Rows with a null key or time are left out.
     """
     bucketed = df.where(F.col(key).isNotNull() & F.col(at_ms).isNotNull()).withColumn("__bucket", F.call_function("div", F.col(at_ms), F.lit(bucket_ms).cast("bigint")))
     sizes = bucketed.groupBy(F.col(key).alias("__key"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     order = W.partitionBy("__key").orderBy("__b")
-    placed = sizes.withColumn("__to", F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("__from", F.col("__to") - F.col("__n"))
+    placed = sizes.withColumn("__all", F.sum("__n").over(W.partitionBy("__key"))).where(F.col("__all") > rows)
+    placed = placed.withColumn("__to", F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("__from", F.col("__to") - F.col("__n"))
     placed = placed.withColumn("__own", F.call_function("div", F.col("__from"), F.lit(rows).cast("bigint")))
     # Every bucket has a row at least, so that the nearest `halo` buckets hold the nearest `halo` rows.
     near = placed.withColumn("__prev", F.collect_set(F.struct("__own", "__to")).over(order.rowsBetween(-halo, -1)))
@@ -50,6 +54,8 @@ def with_shards(df: DataFrame, key: str, at_ms: str, *, rows: int, halo: int, bu
             F.transform(F.filter("__next", lambda x: x["__from"] < F.col("__to") + halo), lambda x: x["__own"]),
         ),
     )
-    plan = near.select("__key", "__b", "__own", F.array_distinct(shards).alias("__shards"))
-    joined = bucketed.join(plan, (F.col(key) == F.col("__key")) & (F.col("__bucket") == F.col("__b")))
-    return joined.withColumn("__shard", F.explode("__shards")).withColumn("__core", F.col("__shard") == F.col("__own")).drop("__key", "__b", "__bucket", "__own", "__shards")
+    plan = materialise(near.select("__key", "__b", "__own", F.array_distinct(shards).alias("__shards")), "shards")
+    joined = bucketed.join(plan, (F.col(key) == F.col("__key")) & (F.col("__bucket") == F.col("__b")), "left")
+    nought = F.lit(0).cast("bigint")
+    spread = joined.withColumn("__shard", F.explode(F.coalesce("__shards", F.array(nought))))
+    return spread.withColumn("__core", F.col("__shard") == F.coalesce("__own", nought)).drop("__key", "__b", "__bucket", "__own", "__shards")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from eventweave.operators.bars import with_shards
+from eventweave.session import materialise
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 PRICES = ["hi", "lo", "cl", "vwap"]
@@ -197,7 +198,7 @@ def find_faults(bars: DataFrame, *, row_id: str, source: str, at_ms: str, model:
         "__s", "__core", "__t", F.lag("__t").over(order).alias("__t0"), F.abs(F.col("__cl") - F.lag("__cl").over(order)).alias("__move")
     )
     usual = moves.where("__core and __t > __t0").groupBy("__s").agg(F.percentile_approx("__move", 0.5, 10_000).alias("__scale"))
-    ready = shards.join(usual, "__s", "left")
+    ready = shards.join(materialise(usual, "moves"), "__s", "left")
 
     def flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, ["__s", "__shard"]):
