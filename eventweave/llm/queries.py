@@ -79,3 +79,10 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_percentiles, p4_rank_check, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_sources)}
+
+#: Where the answer follows from the tables alone. The other operators sample, score or parse; tests/llm hold them against brute force.
+ORACLE = {
+    "p4_rank_check": """WITH v AS (SELECT symb, 'vlm' AS field, CAST(vlm AS DOUBLE) AS x FROM cdf_bars UNION ALL SELECT symb, 'cl', CAST(cl AS DOUBLE) FROM cdf_bars),
+        n AS (SELECT symb, field, count(x) AS n FROM v WHERE x IS NOT NULL AND symb IS NOT NULL GROUP BY 1, 2)
+        SELECT symb, field, q, n, true AS within_bound FROM n, (VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) t(q)""",
+}
