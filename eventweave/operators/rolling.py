@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from eventweave.session import materialise
+
 
 def trailing_totals(daily: DataFrame, *, entity: str, day: str, amounts: list[str], windows: list[int], averages: bool = True) -> DataFrame:
     """One row per entity and day for every day that has rows itself or has some within the longest window before.
@@ -24,6 +26,8 @@ def trailing_totals(daily: DataFrame, *, entity: str, day: str, amounts: list[st
         .groupBy(F.col(entity).alias("__e"), F.col(day).cast("date").alias("__d"))
         .agg(*[F.coalesce(F.sum(F.col(f"`{a}`").cast("bigint")), F.lit(0).cast("bigint")).alias(f"a{i}") for i, a in enumerate(amounts)])
     )
+    # A row per entity and day, read thrice below: written once.
+    sums = materialise(sums, "daily")
     order = W.partitionBy("__e").orderBy("__d")
     # The stretch of output days that a day with rows opens: up to the next such day, or until it leaves the longest window.
     until = F.least(F.date_add("__d", longest - 1), F.coalesce(F.date_sub(F.lead("__d").over(order), 1), F.date_add("__d", longest - 1)))
