@@ -176,7 +176,12 @@ def run_rows(events: DataFrame, members: list[Member], *, by_key: bool, start: i
     held. Otherwise all events do, since state across keys is one sequence. With no events at all, one component still starts and ends.
     """
     rows = events.select("ord", "topic", "key", "t", "json")
-    ordered = rows.repartition("key").sortWithinPartitions("key", "ord") if by_key else rows.coalesce(1).sortWithinPartitions("ord")
+    if by_key:
+        ordered = rows.repartition("key").sortWithinPartitions("key", "ord")
+    else:
+        # A row without a place in front keeps the task alive if there are no events; it is passed over.
+        mark = events.sparkSession.range(1).selectExpr("cast(array() as array<bigint>) ord", "'' topic", "cast(null as string) key", "0L t", "cast(null as string) json")
+        ordered = rows.unionByName(mark).coalesce(1).sortWithinPartitions("ord")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         session, current = None, None
@@ -185,6 +190,8 @@ def run_rows(events: DataFrame, members: list[Member], *, by_key: bool, start: i
             session.startup()
         for pdf in batches:
             for ord_, topic, key, t, text in pdf.itertuples(index=False, name=None):
+                if not len(ord_):
+                    continue
                 if by_key and key != current:
                     if session is not None:
                         session.finish()

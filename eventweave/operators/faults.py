@@ -109,6 +109,8 @@ def flag_chains(chain: np.ndarray, price: np.ndarray, bad: np.ndarray, scale: np
     ``bad`` marks out-of-range bars. Null prices are NaN: they equal nothing and deviate from nothing.
     """
     n = len(chain)
+    if not n:
+        return np.zeros(0, int)
     hi, lo, cl = price[:, 0], price[:, 1], price[:, 2]
     starts = np.concatenate([[True], chain[1:] != chain[:-1]])
     same = np.concatenate([[False], (hi[1:] == hi[:-1]) & (lo[1:] == lo[:-1]) & (cl[1:] == cl[:-1])]) & ~starts
@@ -138,7 +140,7 @@ def flag_chains(chain: np.ndarray, price: np.ndarray, bad: np.ndarray, scale: np
     # Levels come from the nearest bars that are no candidates themselves; a stretch of candidates longer than a spike is a change of level.
     steady = ~maybe & ~np.isnan(level)
     ids = np.cumsum(~maybe | starts | np.concatenate([[True], ~maybe[:-1]]))
-    length = np.bincount(ids)[ids] if n else ids
+    length = np.bincount(ids)[ids]
     before, after = _nearest(steady, chain, True), _nearest(steady, chain, False)
     lb, la = np.where(before >= 0, level[before], np.nan), np.where(after >= 0, level[after], np.nan)
     with np.errstate(invalid="ignore"):
