@@ -49,9 +49,18 @@ def leaf_bounds(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def compress(group: np.ndarray, node: np.ndarray, n: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pushes counts up the tree for many digests at once. ``keep`` is each row's floor(n / k): a node, its sibling and its parent that
-    together hold no more than that become the parent."""
+    together hold no more than that become the parent. The outermost leaves stay, so that a digest knows its least and greatest code."""
     group, node, n, keep = (np.asarray(x, "int64") for x in (group, node, n, keep))
     done = []
+    leaves = np.flatnonzero(node >= (1 << BITS))
+    if len(leaves):
+        order = leaves[np.lexsort((node[leaves], group[leaves]))]
+        change = group[order][1:] != group[order][:-1]
+        outer = np.unique(np.concatenate([order[np.concatenate([[True], change])], order[np.concatenate([change, [True]])]]))
+        done.append((group[outer], node[outer], n[outer]))
+        inner = np.ones(len(node), bool)
+        inner[outer] = False
+        group, node, n, keep = group[inner], node[inner], n[inner], keep[inner]
     for level in range(BITS, 0, -1):
         at = node >= (1 << level)
         if not at.any():
@@ -175,6 +184,10 @@ def quantiles(parts: DataFrame, keys: list[str], at: list[float], eps: float = 0
             depth = np.frexp(node.astype("float64"))[1] - 1
             low = (node << (BITS - depth)) - (1 << BITS)
             high = ((node + 1) << (BITS - depth)) - 1 - (1 << BITS)
+            # No value lies beyond the outermost leaves, which every digest keeps.
+            top, end = np.full(group[-1] + 1, -1), np.full(group[-1] + 1, 1 << BITS)
+            np.maximum.at(top, group[depth == BITS], high[depth == BITS])
+            np.minimum.at(end, group[depth == BITS], high[depth == BITS])
             order = np.lexsort((-low, high, group))
             group, n, high = group[order], n[order], high[order]
             total = np.bincount(group, n).astype("int64")
@@ -183,7 +196,7 @@ def quantiles(parts: DataFrame, keys: list[str], at: list[float], eps: float = 0
             heads = pdf[by].iloc[np.flatnonzero(head)].reset_index(drop=True)
             for q in at:
                 want = before + np.maximum(1, np.ceil(q * total - 1e-9).astype("int64"))
-                code = high[np.searchsorted(upto, want, "left")]
+                code = np.clip(high[np.searchsorted(upto, want, "left")], end, top)
                 lo, hi = leaf_bounds(code)
                 yield heads.assign(q=float(q), value=hi, low=lo, high=hi, n=total, rank_error=BITS * (total // k))
 

@@ -35,6 +35,8 @@ _GATE = re.compile(r"^[a-z]+-[a-z]\d\d$")
 CONTEXT = 3
 #: Lines and sentences up to so many words are also compared whole.
 SHORT = 7
+#: Stands for the place before the first word; a lone last word (a sign-off) counts from this share of all sentences and lines on.
+START, LONE_SHARE = "^", 1e-4
 #: An ending counts as one if at least this share of the places with the same words ends there.
 END_SHARE = 0.12
 #: Places with the same words that are needed for an opinion.
@@ -57,19 +59,34 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
+def _bodies(docs: DataFrame, source: str, text: str, *keep: Column) -> DataFrame:
+    """source, text, footer and body (the text less its source's footer) of each text that isn't null."""
+    feet = _footers(docs, source, text).withColumnRenamed("source", "__s2")
+    rows = docs.where(F.col(text).isNotNull()).select(*keep, F.col(source).alias("__src"), F.col(text).alias("__text"))
+    # A row per source at most: a handful beside the texts, and Catalyst may still choose another join.
+    rows = rows.join(F.broadcast(feet), F.col("__src") == F.col("__s2"), "left").drop("__s2")
+    trimmed = F.regexp_replace("__text", r"\s+$", "")
+    body = F.regexp_replace(F.substring(trimmed, F.lit(1), F.length(trimmed) - F.length("footer")), r"\s+$", "")
+    return rows.withColumn("__body", F.when(F.col("footer").isNotNull() & trimmed.endswith(F.col("footer")), body).otherwise(F.col("__text")))
+
+
 def hidden_limits(docs: DataFrame, *, source: str, text: str, least: int = 5, times: float = 6.0) -> DataFrame:
-    """(source, measure, field_limit, at_limit): the storage limit of each source that shows one.
+    """(source, measure, of, field_limit, at_limit): the storage limit of each source that shows one.
 
     A limit is the greatest length of a source under some measure if the BAND of lengths up to it holds at least ``least`` texts, and
-    the band or that very length holds ``times`` as many as the hundred lengths below would make one expect. Of several such measures the one with most texts at that very length counts.
+    the band or that very length holds ``times`` as many as the hundred lengths below would make one expect. Lengths are taken of the
+    whole "text" and of its "body", less the source's footer. Of several limits that show, the one with most texts at that very
+    length counts. Null sources, null and empty texts are left out.
     """
-    ms = lengths(F.col(text))
-    long = docs.where(F.col(text).isNotNull() & (F.length(text) > 0) & F.col(source).isNotNull()).select(
-        F.col(source).alias("source"), F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(m).alias("measure"), ms[m].cast("bigint").alias("len")) for i, m in enumerate(MEASURES)])).alias("x")
-    )
-    counted = long.groupBy("source", "x.rank", "x.measure", "x.len").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.withColumn("most", F.max("len").over(W.partitionBy("source", "measure")))
-    piles = top.groupBy("source", "rank", "measure", "most").agg(
+    variants = [(of, col, m) for of, col in (("text", "__text"), ("body", "__body")) for m in MEASURES]
+    cols = {col: lengths(F.col(col)) for col in ("__text", "__body")}
+    long = _bodies(docs, source, text).where((F.length("__text") > 0) & F.col("__src").isNotNull()).select(
+        F.col("__src").alias("source"),
+        F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(of).alias("of"), F.lit(m).alias("measure"), cols[col][m].cast("bigint").alias("len")) for i, (of, col, m) in enumerate(variants)])).alias("x"),
+    )
+    counted = long.groupBy("source", "x.rank", "x.of", "x.measure", "x.len").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.withColumn("most", F.max("len").over(W.partitionBy("source", "rank")))
+    piles = top.groupBy("source", "rank", "of", "measure", "most").agg(
         F.sum(F.when(F.col("len") > F.col("most") - BAND, F.col("n")).otherwise(0)).alias("at_limit"),
         F.sum(F.when(F.col("len") == F.col("most"), F.col("n")).otherwise(0)).alias("exact"),
         F.sum(F.when((F.col("len") <= F.col("most") - BAND) & (F.col("len") > F.col("most") - BAND - 100), F.col("n")).otherwise(0)).alias("below"),
@@ -77,7 +94,7 @@ def hidden_limits(docs: DataFrame, *, source: str, text: str, least: int = 5, ti
     piles = piles.withColumn("excess", F.greatest(F.col("at_limit") / (F.col("below") * BAND / 100.0 + 0.5), F.col("exact") / (F.col("below") / 100.0 + 0.25)))
     best = W.partitionBy("source").orderBy(F.desc("exact"), "rank")
     return piles.where((F.col("at_limit") >= least) & (F.col("excess") >= times)).withColumn("r", F.row_number().over(best)).where("r = 1").select(
-        "source", "measure", F.col("most").alias("field_limit"), "at_limit"
+        "source", "measure", "of", F.col("most").alias("field_limit"), "at_limit"
     )
 
 
@@ -119,6 +136,11 @@ def _grams(tokens: list[str], end: int) -> list[str]:
     return [whole] + [f"{n} " + " ".join(tokens[max(0, end - n) : end] if end >= n else ["^", *tokens[:end]]) for n in range(CONTEXT, 0, -1)]
 
 
+def _context(tokens: list[str]) -> str | None:
+    """The place just before the last word."""
+    return (_grams(tokens, len(tokens) - 1)[0] if len(tokens) > 1 else START) if tokens else None
+
+
 def strip_marks(text: str, footer: str | None = None) -> tuple[str, bool]:
     """The text without white space, footers and cut marks at its end, and whether a mark was there."""
     marked = False
@@ -168,14 +190,11 @@ def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "so
     has count as cut if unstopped. At its source's hidden limit a text counts as cut unless it ends in a stop or in a line that ends
     other texts too. Equal texts count once in the corpus counts. Empty input gives no rows; other columns are ignored.
     """
-    limits = hidden_limits(docs, source=source, text=text)
-    ms = lengths(F.col("__text"))
-    base = docs.select(F.col(doc_id).alias("__id"), F.col(source).alias("__src"), F.col(text).alias("__text")).where(F.length(F.trim("__text")) > 0)
-    reach = F.coalesce(*[F.when(F.col("measure") == m, c) for m, c in ms.items()])
-    tagged = (
-        base.join(F.broadcast(limits.withColumnRenamed("source", "__s1")), F.col("__src") == F.col("__s1"), "left")
-        .join(F.broadcast(_footers(docs, source, text).withColumnRenamed("source", "__s2")), F.col("__src") == F.col("__s2"), "left")
-        .select("__id", "__src", "__text", "footer", F.coalesce(reach > F.col("field_limit") - BAND, F.lit(False)).alias("at_limit"))
+    limits = hidden_limits(docs, source=source, text=text).withColumnRenamed("source", "__s1")
+    base = _bodies(docs, source, text, F.col(doc_id).alias("__id")).where(F.length(F.trim("__text")) > 0)
+    reach = F.coalesce(*[F.when((F.col("of") == of) & (F.col("measure") == m), c) for of, col in (("text", "__text"), ("body", "__body")) for m, c in lengths(F.col(col)).items()])
+    tagged = base.join(F.broadcast(limits), F.col("__src") == F.col("__s1"), "left").select(
+        "__id", "__src", "__text", "footer", F.coalesce(reach > F.col("field_limit") - BAND, F.lit(False)).alias("at_limit")
     )
 
     def endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,11 +204,11 @@ def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "so
                 body, marked = strip_marks(t, footer if isinstance(footer, str) else None)
                 units = _units(body)
                 tokens, stopped = units[-1] if units else ([], False)
-                rows.append((i, s, at, marked, _open_block(body), stopped, _free_line(body, tokens, stopped), bool(_BULLET.match(body.rsplit("\n", 1)[-1].strip())), *(_grams(tokens, len(tokens)) if tokens else [None] * (CONTEXT + 1))))
-            yield pd.DataFrame(rows, columns=["id", "src", "at_limit", "marked", "open", "stopped", "label", "bullet", "g0", "g3", "g2", "g1"])
+                rows.append((i, s, at, marked, _open_block(body), stopped, _free_line(body, tokens, stopped), bool(_BULLET.match(body.rsplit("\n", 1)[-1].strip())), _context(tokens), *(_grams(tokens, len(tokens)) if tokens else [None] * (CONTEXT + 1))))
+            yield pd.DataFrame(rows, columns=["id", "src", "at_limit", "marked", "open", "stopped", "label", "bullet", "ctx", "g0", "g3", "g2", "g1"])
 
     kind = dict(docs.dtypes)[doc_id]
-    ends = tagged.mapInPandas(endings, f"id {kind}, src string, at_limit boolean, marked boolean, open boolean, stopped boolean, label boolean, bullet boolean, g0 string, g3 string, g2 string, g1 string")
+    ends = tagged.mapInPandas(endings, f"id {kind}, src string, at_limit boolean, marked boolean, open boolean, stopped boolean, label boolean, bullet boolean, ctx string, g0 string, g3 string, g2 string, g1 string")
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -199,6 +218,7 @@ def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "so
                 units = _units(body)
                 for k, (tokens, stopped) in enumerate(units):
                     final = k == len(units) - 1
+                    counts[START][1] += 1
                     for e in range(1, len(tokens)):
                         for g in _grams(tokens, e):
                             counts[g][1] += 1
@@ -207,26 +227,30 @@ def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "so
             yield pd.DataFrame([(g, *c) for g, c in counts.items()], columns=["g", "ended", "went_on", "last"])
 
     distinct = tagged.groupBy(F.xxhash64("__text"), F.md5("__text")).agg(F.first("__text").alias("__text"), F.first("footer").alias("footer"))
-    asked = ends.select(F.explode(F.array("g0", "g3", "g2", "g1")).alias("g")).where("g is not null").distinct()
+    asked = ends.select(F.explode(F.array("ctx", "g0", "g3", "g2", "g1")).alias("g")).where("g is not null").distinct()
     counted = distinct.select("__text", "footer").mapInPandas(places, "g string, ended bigint, went_on bigint, last bigint")
     known = counted.join(asked, "g", "left_semi").groupBy("g").agg(*[F.sum(c).alias(c) for c in ("ended", "went_on", "last")])
     out = ends
-    for c in ("g0", "g3", "g2", "g1"):
+    for c in ("ctx", "g0", "g3", "g2", "g1"):
         k = known.select(F.col("g").alias(f"{c}_"), F.struct("ended", "went_on", "last").alias(f"{c}n"))
         out = out.join(k, F.col(c) == F.col(f"{c}_"), "left")
-    # Unstopped last words of other texts speak for an ending, the text's own do not.
-    own = F.when(F.col("stopped"), 0).otherwise(1)
-    ended = lambda c: F.coalesce(F.col(f"{c}n.ended") + F.greatest(F.col(f"{c}n.last") - own, F.lit(0)), F.lit(0))
-    on = lambda c: F.coalesce(F.col(f"{c}n.went_on"), F.lit(0))
+    n = lambda c, what: F.coalesce(F.col(f"{c}n.{what}"), F.lit(0))
+    ended, on = lambda c: n(c, "ended"), lambda c: n(c, "went_on")
+    # Unstopped last words of other texts; the text's own don't speak for themselves.
+    last = lambda c: F.greatest(n(c, "last") - F.when(F.col("stopped"), 0).otherwise(1), F.lit(0))
     opinion = lambda c: F.when(ended(c) + on(c) >= ENOUGH, ended(c) / (ended(c) + on(c)))
-    share = F.coalesce(opinion("g0"), opinion("g3"), opinion("g2"), opinion("g1"), F.lit(0.0))
+    # Words that only ever come last: ends of lists, tables, sign-offs and logs do so nearly each time that what is before them comes,
+    # the stumps of cut words only now and then.
+    often = last("g0") / F.greatest(on("ctx"), F.lit(1))
+    final = (last("g0") >= ENOUGH) & (on("g0") == 0) & (often >= F.when(F.col("ctx") == START, LONE_SHARE).otherwise(END_SHARE))
+    share = F.when(final, 1.0).otherwise(F.coalesce(opinion("g0"), opinion("g3"), opinion("g2"), opinion("g1"), F.lit(0.0)))
     # Such a line ("Tags: ...", a name under a greeting) has free words: it is whole if its last word is a word.
-    share = F.when(F.col("label") & (ended("g1") + on("g1") >= ENOUGH) & (on("g0") < ENOUGH) & ~F.col("at_limit"), 1.0).otherwise(share)
+    known = ended("g1") + on("g1") + F.when(last("g1") >= ENOUGH, last("g1")).otherwise(0) >= ENOUGH
+    share = F.when(F.col("label") & known & (on("g0") < ENOUGH) & ~F.col("at_limit"), 1.0).otherwise(share)
     # An item of a list is whole if its last two words end other items or sentences.
     share = F.when(F.col("bullet") & (ended("g2") >= ENOUGH), 1.0).otherwise(share)
     never = (ended("g3") == 0) & F.coalesce(opinion("g2") < 0.02, opinion("g1") < 0.02, F.lit(False))
-    line = ended("g3") >= ENOUGH
     cut = F.col("open") | F.when(F.col("stopped"), never & (on("g2") + on("g1") >= 20)).when(
-        F.col("at_limit") | F.col("marked"), ~(line & (F.col("g3n.last") > F.col("g3n.ended")) & (on("g3") == 0))
+        F.col("at_limit") | F.col("marked"), ~(final & (last("g0") > ended("g0")))
     ).otherwise(share < END_SHARE)
     return out.select(F.col("id").alias(doc_id), F.col("src").alias(source), "at_limit", cut.alias("cut"))
