@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventweave.session import spread
+
 K, WINDOW = 4, 3
 #: Items per broadcast block.
 BLOCK_ITEMS = 5_000
@@ -173,6 +175,6 @@ def find_leaks(
                 hits = [(d, i, s) for d, t in zip(pdf[doc_id], pdf[text]) if isinstance(t, str) and t for i, s in index.search(t, share, altered)]
                 yield pd.DataFrame(hits, columns=[doc_id, "item_id", "share"])
 
-        part = docs.select(doc_id, text).mapInPandas(run, schema)
+        part = spread(docs.select(doc_id, text)).mapInPandas(run, schema)
         out = part if a == 0 else out.unionByName(part)
     return out

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from eventweave.session import spread
+
 #: Where the public vocabularies are, unless EVENTWEAVE_TOKENIZERS or the parameter says otherwise.
 TOKENIZERS = "/opt/tokenizers"
 #: The usual splitting pattern of the byte-level vocabulary. Fixed value.
@@ -45,7 +47,7 @@ def token_counts(docs: DataFrame, *, doc_id: str, text: str, keep: list[str], fo
             out["n_tokens"] = [len(enc.encode_ordinary(t)) if isinstance(t, str) and t else 0 for t in pdf[text]]
             yield out
 
-    return docs.select(doc_id, *keep, text).mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in (doc_id, *keep)], "n_tokens bigint"]))
+    return spread(docs.select(doc_id, *keep, text)).mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in (doc_id, *keep)], "n_tokens bigint"]))
 
 
 def quality_weight(text: Column) -> Column:

@@ -8,14 +8,17 @@ end a sentence or line elsewhere and how often they go on.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from eventweave.session import materialise, spread
+
 #: Width of the band below a limit: a cut never parts a character, an escape or an entity.
 BAND = 4
 #: Reading order in case of equal evidence, the plainest measure first.
@@ -37,6 +40,7 @@ CONTEXT = 3
 SHORT = 7
 #: Stands for the place before the first word; a lone last word (a sign-off) counts from this share of all sentences and lines on.
 START, LONE_SHARE = "^", 1e-4
+FLAGS = ["at_limit", "marked", "open", "stopped", "label", "bullet", "lone"]
 #: An ending counts as one if at least this share of the places with the same words ends there.
 END_SHARE = 0.12
 #: Places with the same words that are needed for an opinion.
@@ -45,23 +49,23 @@ ENOUGH = 3
 
 def lengths(text: Column) -> dict[str, Column]:
     """Length of the text under each measure."""
-    chars, octets, breaks = F.length(text), F.octet_length(text), F.length(text) - F.length(F.regexp_replace(text, "\n", ""))
-    gone = lambda c: chars - F.length(F.regexp_replace(text, c, ""))
-    amp, angle = gone("&"), gone("[<>]")
-    entity = amp * 4 + angle * 3 + gone('"') * 5 + gone("'") * 5
-    escapes = gone(r'["\\\n\r\t]')
-    wide = gone(r"[^\x00-\x{FFFF}]")
-    foreign = gone(r"[^\x00-\x7F]")
-    bare = breaks - (chars - F.length(F.regexp_replace(text, "\r\n", "\n")))
+    chars, octets = F.length(text), F.octet_length(text)
+    count = lambda letters: chars - F.length(F.translate(text, letters, ""))
+    entity = count("&") * 4 + count("<>") * 3 + count("\"'") * 5
+    escapes = count('"\\\n\r\t')
+    # Patterns only for texts beyond ASCII.
+    beyond = lambda c: F.when(octets == chars, 0).otherwise(chars - F.length(F.regexp_replace(text, c, "")))
+    wide, foreign, not_latin = beyond(r"[^\x00-\x{FFFF}]"), beyond(r"[^\x00-\x7F]"), beyond(r"[^\x00-\xFF]")
+    bare = count("\n") - (chars - F.length(F.replace(text, F.lit("\r\n"), F.lit("\n"))))
     return {
-        "chars": chars, "utf8_bytes": octets, "utf16_units": chars + wide, "latin1_bytes": chars + gone(r"[^\x00-\xFF]"), "html_chars": chars + entity,
+        "chars": chars, "utf8_bytes": octets, "utf16_units": chars + wide, "latin1_bytes": chars + not_latin, "html_chars": chars + entity,
         "html_bytes": octets + entity, "json_chars": chars + escapes, "json_ascii": chars + escapes + foreign * 5 + wide * 6, "crlf_chars": chars + bare, "crlf_bytes": octets + bare,
     }
 
 
-def _bodies(docs: DataFrame, source: str, text: str, *keep: Column) -> DataFrame:
+def _bodies(docs: DataFrame, feet: DataFrame, source: str, text: str, *keep: Column) -> DataFrame:
     """source, text, footer and body (the text less its source's footer) of each text that isn't null."""
-    feet = _footers(docs, source, text).withColumnRenamed("source", "__s2")
+    feet = feet.withColumnRenamed("source", "__s2")
     rows = docs.where(F.col(text).isNotNull()).select(*keep, F.col(source).alias("__src"), F.col(text).alias("__text"))
     # A row per source at most: a handful beside the texts, and Catalyst may still choose another join.
     rows = rows.join(F.broadcast(feet), F.col("__src") == F.col("__s2"), "left").drop("__s2")
@@ -70,19 +74,22 @@ def _bodies(docs: DataFrame, source: str, text: str, *keep: Column) -> DataFrame
     return rows.withColumn("__body", F.when(F.col("footer").isNotNull() & trimmed.endswith(F.col("footer")), body).otherwise(F.col("__text")))
 
 
-def hidden_limits(docs: DataFrame, *, source: str, text: str, least: int = 5, times: float = 6.0) -> DataFrame:
+def hidden_limits(docs: DataFrame, *, source: str, text: str, least: int = 5, times: float = 6.0, feet: DataFrame | None = None) -> DataFrame:
     """(source, measure, of, field_limit, at_limit): the storage limit of each source that shows one.
 
     A limit is the greatest length of a source under some measure if the BAND of lengths up to it holds at least ``least`` texts, and
     the band or that very length holds ``times`` as many as the hundred lengths below would make one expect. Lengths are taken of the
     whole "text" and of its "body", less the source's footer. Of several limits that show, the one with most texts at that very
-    length counts. Null sources, null and empty texts are left out.
+    length counts. Null sources, null and empty texts are left out. ``feet`` are the footers, if known already.
     """
-    variants = [(of, col, m) for of, col in (("text", "__text"), ("body", "__body")) for m in MEASURES]
-    cols = {col: lengths(F.col(col)) for col in ("__text", "__body")}
-    long = _bodies(docs, source, text).where((F.length("__text") > 0) & F.col("__src").isNotNull()).select(
+    def measured(of: str, col: str, first: int) -> Column:
+        ms = lengths(F.col(col))
+        return F.array(*[F.struct(F.lit(first + i).alias("rank"), F.lit(of).alias("of"), F.lit(m).alias("measure"), ms[m].cast("bigint").alias("len")) for i, m in enumerate(MEASURES)])
+
+    feet = materialise(_footers(docs, source, text), "footers") if feet is None else feet
+    long = _bodies(docs, feet, source, text).where((F.length("__text") > 0) & F.col("__src").isNotNull()).select(
         F.col("__src").alias("source"),
-        F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(of).alias("of"), F.lit(m).alias("measure"), cols[col][m].cast("bigint").alias("len")) for i, (of, col, m) in enumerate(variants)])).alias("x"),
+        F.explode(F.when(F.col("footer").isNull(), measured("text", "__text", 0)).otherwise(F.concat(measured("text", "__text", 0), measured("body", "__body", len(MEASURES))))).alias("x"),
     )
     counted = long.groupBy("source", "x.rank", "x.of", "x.measure", "x.len").agg(F.count(F.lit(1)).alias("n"))
     top = counted.withColumn("most", F.max("len").over(W.partitionBy("source", "rank")))
@@ -136,9 +143,14 @@ def _grams(tokens: list[str], end: int) -> list[str]:
     return [whole] + [f"{n} " + " ".join(tokens[max(0, end - n) : end] if end >= n else ["^", *tokens[:end]]) for n in range(CONTEXT, 0, -1)]
 
 
-def _context(tokens: list[str]) -> str | None:
-    """The place just before the last word."""
-    return (_grams(tokens, len(tokens) - 1)[0] if len(tokens) > 1 else START) if tokens else None
+def _code(gram: str) -> int:
+    """A signed 64-bit hash."""
+    return xxhash.xxh3_64_intdigest(gram) - (1 << 63)
+
+
+def _context(tokens: list[str]) -> int:
+    """Hash of the place just before the last word."""
+    return (_code(_grams(tokens, len(tokens) - 1)[0]) if len(tokens) > 1 else _code(START)) if tokens else 0
 
 
 def strip_marks(text: str, footer: str | None = None) -> tuple[str, bool]:
@@ -190,8 +202,10 @@ def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "so
     has count as cut if unstopped. At its source's hidden limit a text counts as cut unless it ends in a stop or in a line that ends
     other texts too. Equal texts count once in the corpus counts. Empty input gives no rows; other columns are ignored.
     """
-    limits = hidden_limits(docs, source=source, text=text).withColumnRenamed("source", "__s1")
-    base = _bodies(docs, source, text, F.col(doc_id).alias("__id")).where(F.length(F.trim("__text")) > 0)
+    # Small tables and the endings are read several times below; each is written once.
+    feet = materialise(_footers(docs, source, text), "footers")
+    limits = materialise(hidden_limits(docs, source=source, text=text, feet=feet), "limits").withColumnRenamed("source", "__s1")
+    base = _bodies(docs, feet, source, text, F.col(doc_id).alias("__id")).where(F.length(F.trim("__text")) > 0)
     reach = F.coalesce(*[F.when((F.col("of") == of) & (F.col("measure") == m), c) for of, col in (("text", "__text"), ("body", "__body")) for m, c in lengths(F.col(col)).items()])
     tagged = base.join(F.broadcast(limits), F.col("__src") == F.col("__s1"), "left").select(
         "__id", "__src", "__text", "footer", F.coalesce(reach > F.col("field_limit") - BAND, F.lit(False)).alias("at_limit")
@@ -204,32 +218,39 @@ def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "so
                 body, marked = strip_marks(t, footer if isinstance(footer, str) else None)
                 units = _units(body)
                 tokens, stopped = units[-1] if units else ([], False)
-                rows.append((i, s, at, marked, _open_block(body), stopped, _free_line(body, tokens, stopped), bool(_BULLET.match(body.rsplit("\n", 1)[-1].strip())), _context(tokens), *(_grams(tokens, len(tokens)) if tokens else [None] * (CONTEXT + 1))))
-            yield pd.DataFrame(rows, columns=["id", "src", "at_limit", "marked", "open", "stopped", "label", "bullet", "ctx", "g0", "g3", "g2", "g1"])
+                bullet = bool(_BULLET.match(body.rsplit("\n", 1)[-1].strip()))
+                flags = (bool(at), marked, _open_block(body), stopped, _free_line(body, tokens, stopped), bullet, len(tokens) == 1)
+                rows.append((i, s, *flags, _code(t), _context(tokens), *(map(_code, _grams(tokens, len(tokens))) if tokens else [0] * (CONTEXT + 1))))
+            yield pd.DataFrame(rows, columns=["id", "src", *FLAGS, "hash", "ctx", "g0", "g3", "g2", "g1"])
 
     kind = dict(docs.dtypes)[doc_id]
-    ends = tagged.mapInPandas(endings, f"id {kind}, src string, at_limit boolean, marked boolean, open boolean, stopped boolean, label boolean, bullet boolean, ctx string, g0 string, g3 string, g2 string, g1 string")
+    flags = ", ".join(f"{c} boolean" for c in FLAGS)
+    # Read several times below, so written once.
+    ends = materialise(spread(tagged).mapInPandas(endings, f"id {kind}, src string, {flags}, hash bigint, ctx bigint, g0 bigint, g3 bigint, g2 bigint, g1 bigint"), "endings")
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+            counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for t, footer in zip(pdf["__text"], pdf["footer"]):
                 body, _ = strip_marks(t, footer if isinstance(footer, str) else None)
                 units = _units(body)
                 for k, (tokens, stopped) in enumerate(units):
-                    final = k == len(units) - 1
                     counts[START][1] += 1
                     for e in range(1, len(tokens)):
                         for g in _grams(tokens, e):
                             counts[g][1] += 1
-                    for g in _grams(tokens, len(tokens)):
-                        counts[g][2 if final and not stopped else 0] += 1
-            yield pd.DataFrame([(g, *c) for g, c in counts.items()], columns=["g", "ended", "went_on", "last"])
-
-    distinct = tagged.groupBy(F.xxhash64("__text"), F.md5("__text")).agg(F.first("__text").alias("__text"), F.first("footer").alias("footer"))
-    asked = ends.select(F.explode(F.array("ctx", "g0", "g3", "g2", "g1")).alias("g")).where("g is not null").distinct()
-    counted = distinct.select("__text", "footer").mapInPandas(places, "g string, ended bigint, went_on bigint, last bigint")
-    known = counted.join(asked, "g", "left_semi").groupBy("g").agg(*[F.sum(c).alias(c) for c in ("ended", "went_on", "last")])
+                    if stopped or k < len(units) - 1:
+                        for g in _grams(tokens, len(tokens)):
+                            counts[g][0] += 1
+            yield pd.DataFrame([(_code(g), *c) for g, c in counts.items()], columns=["g", "ended", "went_on"])
+
+    # How unstopped texts end: once for equal texts, told by their hash, so that no text is shuffled.
+    grams = F.array("g0", "g3", "g2", "g1")
+    lasts = ends.where("not stopped").dropDuplicates(["hash"]).select(F.explode(grams).alias("g"), F.lit(0).cast("bigint").alias("ended"), F.lit(0).cast("bigint").alias("went_on"), F.lit(1).cast("bigint").alias("last"))
+    counted = spread(tagged.select("__text", "footer")).mapInPandas(places, "g bigint, ended bigint, went_on bigint").groupBy("g").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
+    asked = ends.select(F.explode(F.array_append(grams, F.col("ctx"))).alias("g")).distinct()
+    both = counted.join(asked, "g", "left_semi").withColumn("last", F.lit(0).cast("bigint")).unionByName(lasts)
+    known = materialise(both.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("ended", "went_on", "last")]), "grams")
     out = ends
     for c in ("ctx", "g0", "g3", "g2", "g1"):
         k = known.select(F.col("g").alias(f"{c}_"), F.struct("ended", "went_on", "last").alias(f"{c}n"))
@@ -242,7 +263,7 @@ def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "so
     # Words that only ever come last: ends of lists, tables, sign-offs and logs do so nearly each time that what is before them comes,
     # the stumps of cut words only now and then.
     often = last("g0") / F.greatest(on("ctx"), F.lit(1))
-    final = (last("g0") >= ENOUGH) & (on("g0") == 0) & (often >= F.when(F.col("ctx") == START, LONE_SHARE).otherwise(END_SHARE))
+    final = (last("g0") >= ENOUGH) & (on("g0") == 0) & (often >= F.when(F.col("lone"), LONE_SHARE).otherwise(END_SHARE))
     share = F.when(final, 1.0).otherwise(F.coalesce(opinion("g0"), opinion("g3"), opinion("g2"), opinion("g1"), F.lit(0.0)))
     # Such a line ("Tags: ...", a name under a greeting) has free words: it is whole if its last word is a word.
     known = ended("g1") + on("g1") + F.when(last("g1") >= ENOUGH, last("g1")).otherwise(0) >= ENOUGH
