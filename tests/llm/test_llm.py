@@ -54,9 +54,9 @@ def test_merged_percentiles_keep_the_rank_bound(spark, eps):
     for r in got:
         have = np.sort([v for k, _, v in rows if k == r.k and v is not None])
         want = max(1, int(np.ceil(r.q * len(have) - 1e-9)))
-        assert r.n == len(have) and 3 * r.rank_error <= 3 * eps * len(have)
-        # Three rounds of compressing: each adds its own bound at most.
-        assert (have <= r.value).sum() >= want and (have < r.low).sum() < want + 3 * r.rank_error + 1
+        assert r.n == len(have) and r.rank_error <= eps * len(have)
+        # However often digests were merged and compressed.
+        assert (have <= r.value).sum() >= want and (have < r.low).sum() < want + r.rank_error
     assert quantiles.quantiles(quantiles.digests(df.limit(0), ["k"], ["x"]), ["k"], [0.5]).collect() == []
 
 
