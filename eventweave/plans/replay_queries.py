@@ -264,8 +264,8 @@ def typed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed messages and beats in one stream, each guarded against backward times: rows by topic and UTC day."""
     msgs, beats = table(spark, sf_dir, "messages_two"), table(spark, sf_dir, "heart_beats")
     orders = FrameSource("m", {Topic("messages", TEXT_MESSAGE): None}, msgs, {"msgKey": "msgKey", "msgTime": "msgTime", "text": "text"}, ["msg_id"])
-    pulse = FrameSource("h", {BEATS: None}, beats, {"beatKey": "beatKey", "beatTime": "beatTime"}, ["beat_id"])
-    events = Run(0, 4_102_444_800_000).source(orders).source(pulse).plan(spark).events
+    beating = FrameSource("h", {BEATS: None}, beats, {"beatKey": "beatKey", "beatTime": "beatTime"}, ["beat_id"])
+    events = Run(0, 4_102_444_800_000).source(orders).source(beating).plan(spark).events
     return events.groupBy("topic", F.call_function("div", F.col("t"), F.lit(86_400_000).cast("bigint")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweave.functions.codec import parse
-from eventweave.operators.actors import OUT, Actor, ColumnarActor, Member, RowActor, run_rows
+from eventweave.operators.actors import Actor, ColumnarActor, Member, RowActor, run_rows
 from eventweave.operators.merge import derived_key, in_window, monotonic_guard, source_key, with_position
 from eventweave.operators.routing import Routes, Target, deliver
 from eventweave.report import ComponentReporter
@@ -254,4 +254,4 @@ class Run:
         return deliver(with_position(result.events.select("ord", "topic", "key", "t", "gen")), self._targets())
 
 
-__all__ = ["Mode", "OUT", "Result", "Run", "RunFailed", "Status", "mode_of"]
+__all__ = ["Mode", "Result", "Run", "RunFailed", "Status", "mode_of"]
