@@ -8,8 +8,9 @@ end a sentence or line elsewhere and how often they go on.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from eventweave.session import materialise, spread
+from eventweave.session import materialise
 
 #: Width of the band below a limit: a cut never parts a character, an escape or an entity.
 BAND = 4
@@ -67,8 +68,8 @@ def _bodies(docs: DataFrame, feet: DataFrame, source: str, text: str, *keep: Col
     """source, text, footer and body (the text less its source's footer) of each text that isn't null."""
     feet = feet.withColumnRenamed("source", "__s2")
     rows = docs.where(F.col(text).isNotNull()).select(*keep, F.col(source).alias("__src"), F.col(text).alias("__text"))
-    # A row per source at most: a handful beside the texts, and Catalyst may still choose another join.
-    rows = rows.join(F.broadcast(feet), F.col("__src") == F.col("__s2"), "left").drop("__s2")
+    # Written tables: broadcast while their size is under the threshold.
+    rows = rows.join(feet, F.col("__src") == F.col("__s2"), "left").drop("__s2")
     trimmed = F.regexp_replace("__text", r"\s+$", "")
     body = F.regexp_replace(F.substring(trimmed, F.lit(1), F.length(trimmed) - F.length("footer")), r"\s+$", "")
     return rows.withColumn("__body", F.when(F.col("footer").isNotNull() & trimmed.endswith(F.col("footer")), body).otherwise(F.col("__text")))
@@ -105,6 +106,7 @@ def hidden_limits(docs: DataFrame, *, source: str, text: str, least: int = 5, ti
     )
 
 
+@lru_cache(maxsize=1 << 17)
 def _token(word: str) -> str:
     """A word with figures and keys made alike. Figures keep their form where it tells whether they are whole: times and decimals."""
     core = word.strip("\"'»«“”()[]*_`")
@@ -207,7 +209,7 @@ def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "so
     limits = materialise(hidden_limits(docs, source=source, text=text, feet=feet), "limits").withColumnRenamed("source", "__s1")
     base = _bodies(docs, feet, source, text, F.col(doc_id).alias("__id")).where(F.length(F.trim("__text")) > 0)
     reach = F.coalesce(*[F.when((F.col("of") == of) & (F.col("measure") == m), c) for of, col in (("text", "__text"), ("body", "__body")) for m, c in lengths(F.col(col)).items()])
-    tagged = base.join(F.broadcast(limits), F.col("__src") == F.col("__s1"), "left").select(
+    tagged = base.join(limits, F.col("__src") == F.col("__s1"), "left").select(
         "__id", "__src", "__text", "footer", F.coalesce(reach > F.col("field_limit") - BAND, F.lit(False)).alias("at_limit")
     )
 
@@ -226,28 +228,32 @@ def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "so
     kind = dict(docs.dtypes)[doc_id]
     flags = ", ".join(f"{c} boolean" for c in FLAGS)
     # Read several times below, so written once.
-    ends = materialise(spread(tagged).mapInPandas(endings, f"id {kind}, src string, {flags}, hash bigint, ctx bigint, g0 bigint, g3 bigint, g2 bigint, g1 bigint"), "endings")
+    ends = materialise(tagged.mapInPandas(endings, f"id {kind}, src string, {flags}, hash bigint, ctx bigint, g0 bigint, g3 bigint, g2 bigint, g1 bigint"), "endings")
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            # Equal sentences and lines are counted before they are taken apart.
+            seen: Counter[tuple[tuple[str, ...], bool]] = Counter()
             for t, footer in zip(pdf["__text"], pdf["footer"]):
                 body, _ = strip_marks(t, footer if isinstance(footer, str) else None)
                 units = _units(body)
-                for k, (tokens, stopped) in enumerate(units):
-                    counts[START][1] += 1
-                    for e in range(1, len(tokens)):
-                        for g in _grams(tokens, e):
-                            counts[g][1] += 1
-                    if stopped or k < len(units) - 1:
-                        for g in _grams(tokens, len(tokens)):
-                            counts[g][0] += 1
+                seen.update((tuple(tokens), stopped or k < len(units) - 1) for k, (tokens, stopped) in enumerate(units))
+            counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            counts[START][1] = sum(seen.values())
+            for (unit, ends_there), n in seen.items():
+                tokens = list(unit)
+                for e in range(1, len(tokens)):
+                    for g in _grams(tokens, e):
+                        counts[g][1] += n
+                if ends_there:
+                    for g in _grams(tokens, len(tokens)):
+                        counts[g][0] += n
             yield pd.DataFrame([(_code(g), *c) for g, c in counts.items()], columns=["g", "ended", "went_on"])
 
     # How unstopped texts end: once for equal texts, told by their hash, so that no text is shuffled.
     grams = F.array("g0", "g3", "g2", "g1")
     lasts = ends.where("not stopped").dropDuplicates(["hash"]).select(F.explode(grams).alias("g"), F.lit(0).cast("bigint").alias("ended"), F.lit(0).cast("bigint").alias("went_on"), F.lit(1).cast("bigint").alias("last"))
-    counted = spread(tagged.select("__text", "footer")).mapInPandas(places, "g bigint, ended bigint, went_on bigint").groupBy("g").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
+    counted = tagged.select("__text", "footer").mapInPandas(places, "g bigint, ended bigint, went_on bigint").groupBy("g").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
     asked = ends.select(F.explode(F.array_append(grams, F.col("ctx"))).alias("g")).distinct()
     both = counted.join(asked, "g", "left_semi").withColumn("last", F.lit(0).cast("bigint")).unionByName(lasts)
     known = materialise(both.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("ended", "went_on", "last")]), "grams")
