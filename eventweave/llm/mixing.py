@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from eventweave.session import spread
+from eventweave.session import materialise
 
 #: Where the public vocabularies are, unless EVENTWEAVE_TOKENIZERS or the parameter says otherwise.
 TOKENIZERS = "/opt/tokenizers"
@@ -47,7 +47,7 @@ def token_counts(docs: DataFrame, *, doc_id: str, text: str, keep: list[str], fo
             out["n_tokens"] = [len(enc.encode_ordinary(t)) if isinstance(t, str) and t else 0 for t in pdf[text]]
             yield out
 
-    return spread(docs.select(doc_id, *keep, text)).mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in (doc_id, *keep)], "n_tokens bigint"]))
+    return docs.select(doc_id, *keep, text).mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in (doc_id, *keep)], "n_tokens bigint"]))
 
 
 def quality_weight(text: Column) -> Column:
@@ -97,7 +97,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, weight: str | None = None, total
     """
     usable = docs.where("source is not null and n_tokens > 0").select("doc_id", "source", "n_tokens", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"))
     sizes = usable.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count(F.lit(1)).alias("source_docs"))
-    plan = _plan(sizes, targets, total_tokens)
+    # A row per listed source, read several times: written once, so that its size is known.
+    plan = materialise(_plan(sizes, targets, total_tokens), "mix")
     wanted = plan.where("budget > 0").select("mix_name", "source", "epochs", "rest")
     weighed = F.when(F.col("__w") > 0, F.col("__w")).otherwise(F.lit(1e-9))
     drawn = usable.join(wanted, "source").withColumn("key", _key(F.col("doc_id"), F.col("mix_name"), weighed, seed))

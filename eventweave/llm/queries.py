@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweave.llm import leaks, mixing, quantiles, truncation
-from eventweave.session import materialise, table
+from eventweave.session import materialise, spread, table
 
 EPS = 0.01
 PERCENTS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def _daily_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of `vlm` and one of `cl` for each symb, feed and UTC day of arrival."""
     bars = table(spark, sf_dir, "cdf_bars").select("symb", "feed", F.to_date("recv_at").alias("day"), "vlm", "cl")
@@ -40,17 +44,17 @@ def p4_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items they leak."""
-    return leaks.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return leaks.find_leaks(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each item that leaked, in how many documents and at most which share of its own words."""
-    found = leaks.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
+    found = leaks.find_leaks(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "eval_items"))
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.max("share"), 4).alias("most"))
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("weight", mixing.quality_weight(F.col("text")))
+    docs = _documents(spark, sf_dir, "doc_id", "source", "text").withColumn("weight", mixing.quality_weight(F.col("text")))
     counted = materialise(mixing.token_counts(docs, doc_id="doc_id", text="text", keep=["source", "weight"]), "tokens")
     return mixing.mix(counted, table(spark, sf_dir, "mix_targets"), weight="weight")
 
@@ -67,12 +71,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut off."""
-    return truncation.find_truncated(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).where("cut").select("doc_id")
+    return truncation.find_truncated(_documents(spark, sf_dir, "doc_id", "source", "text")).where("cut").select("doc_id")
 
 
 def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each source its texts, those cut off, their share, and the field limit that shows."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "source", "text")
     per = truncation.find_truncated(docs).groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.col("cut").cast("bigint")).alias("n_cut"))
     limits = truncation.hidden_limits(docs, source="source", text="text").select("source", "measure", "field_limit")
     return per.withColumn("cut_share", F.round(F.col("n_cut") / F.col("n_texts"), 6)).join(limits, "source", "left")
