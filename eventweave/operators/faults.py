@@ -180,7 +180,8 @@ def find_faults(bars: DataFrame, *, row_id: str, source: str, at_ms: str, model:
 
     ``bars`` has op, hi, lo, cl and vwap besides the named columns. Rows of a source at the same instant are one bar, told by the row
     with the least row_id; all get its fault. Rows without a source or an instant are judged by hard bounds alone. Nulls break no bound,
-    equal nothing and deviate from nothing. A source whose usual move is 0 or unknown calls any other price a spike or none.
+    equal nothing and deviate from nothing. The usual move is the median of |change of cl| between successive bars, to a rank error of
+    1e-4; where that is 0 it is the median of hi - lo, and where that is 0 too any deviation is a spike.
     Empty input gives no rows; other columns are ignored.
     """
     p = {c: F.col(c) for c in ["op", *PRICES]}
@@ -197,9 +198,10 @@ def find_faults(bars: DataFrame, *, row_id: str, source: str, at_ms: str, model:
     shards = with_shards(rows, "__s", "__t", rows=model.shard_rows, halo=model.halo_rows, bucket_ms=model.bucket_ms)
     order = W.partitionBy("__s", "__shard").orderBy("__t", "__id")
     moves = shards.where("not __bad and __cl is not null").select(
-        "__s", "__core", "__t", F.lag("__t").over(order).alias("__t0"), F.abs(F.col("__cl") - F.lag("__cl").over(order)).alias("__move")
+        "__s", "__core", "__t", F.lag("__t").over(order).alias("__t0"), F.abs(F.col("__cl") - F.lag("__cl").over(order)).alias("__move"), (F.col("__hi") - F.col("__lo")).alias("__range")
     )
-    usual = moves.where("__core and __t > __t0").groupBy("__s").agg(F.percentile_approx("__move", 0.5, 10_000).alias("__scale"))
+    usual = moves.where("__core and __t > __t0").groupBy("__s").agg(F.percentile_approx("__move", 0.5, 10_000).alias("m"), F.percentile_approx("__range", 0.5, 10_000).alias("r"))
+    usual = usual.select("__s", F.when(F.col("m") > 0, F.col("m")).otherwise(F.col("r")).alias("__scale"))
     ready = shards.join(materialise(usual, "moves"), "__s", "left")
 
     def flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
