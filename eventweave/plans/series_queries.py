@@ -82,10 +82,12 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = with_instant(bars, table(spark, sf_dir, "feeds"), TimeDictionary(spark))
     # Days have a dictionary of their own: it holds one text per form and day, which stays small enough to broadcast.
     dated = normalise(timed, "date", F.col("tz_name"), F.col("locale_code"), TimeDictionary(spark), kind="day", out="date_ms")
-    local = F.to_date(F.from_utc_timestamp(F.timestamp_millis("instant_ms"), F.col("tz_name")))
-    day = F.coalesce(F.to_date(F.timestamp_millis("date_ms")), local)
+    # Days by arithmetic and timestamps without zone: the session's zone has no say.
+    written = F.expr("date_add(DATE'1970-01-01', cast(date_ms div 86400000 as int))")
+    clock = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(instant_ms as decimal(20, 0)) / 1000)")
+    day = F.coalesce(written, F.to_date(F.convert_timezone(F.lit("UTC"), F.col("tz_name"), clock)))
     own = F.when(F.col("instant_ms").isNull(), F.col("bar_id"))
-    return dated.select("symb", "instant_ms", own.alias("own"), F.to_date(F.timestamp_millis("date_ms")).alias("written"), day.alias("day"), "vlm", "n").groupBy("symb", "instant_ms", "own").agg(
+    return dated.select("symb", "instant_ms", own.alias("own"), written.alias("written"), day.alias("day"), "vlm", "n").groupBy("symb", "instant_ms", "own").agg(
         F.coalesce(F.min("written"), F.min("day")).alias("day"), F.max("vlm").alias("vlm"), F.max("n").alias("count")
     )
 
