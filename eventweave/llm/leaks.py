@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventweave.session import spread
-
 K, WINDOW = 4, 3
+#: Equal words that make a run in the extension of a hit.
+RUN = 3
 #: Items per broadcast block.
 BLOCK_ITEMS = 5_000
 _WORD = re.compile(r"[^\W_]+")
@@ -72,6 +72,13 @@ def winnow(ids: np.ndarray) -> dict[int, list[int]]:
     return out
 
 
+def _triples(ids: np.ndarray) -> np.ndarray:
+    """A number for each RUN successive words."""
+    if len(ids) < RUN:
+        return np.zeros(0, "int64")
+    return (ids[:-2] * (1 << 21) + ids[1:-1]) * (1 << 21) + ids[2:]
+
+
 class Index:
     """Fingerprints of a block of items, and the extension of hits."""
 
@@ -82,7 +89,7 @@ class Index:
         for item, (ws, mine) in items.items():
             ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], "int64")
             own = np.array(mine)
-            self.items[item] = (ids, own, np.concatenate([[0], np.cumsum(own)]))
+            self.items[item] = (ids, own, np.concatenate([[0], np.cumsum(own)]), _triples(ids))
             for h, at in winnow(ids).items():
                 if any(own[i : i + K].any() for i in at):
                     self.prints[h].add(item)
@@ -105,22 +112,31 @@ class Index:
         for i, x in enumerate(ids.tolist()):
             if x:
                 where[x].append(i)
-        doc = ids.tolist()
+        doc, triples = ids.tolist(), np.unique(_triples(ids))
         for item in found:
+            # A run has RUN equal words or more, so words outside common triples are in none: a bound on what extension can find.
+            _, own, upto, mine = self.items[item]
+            at = np.minimum(np.searchsorted(triples, mine), len(triples) - 1)
+            common = np.flatnonzero(triples[at] == mine)
+            held = np.zeros(len(own), bool)
+            for j in range(RUN):
+                held[common + j] = True
+            if held.sum() < share * (1 - 2 * altered) * upto[-1]:
+                continue
             got = self._extend(item, doc, where, altered)
             if got >= share:
                 yield item, got
 
     def _extend(self, item: int, doc: list[int], where: dict[int, list[int]], altered: float) -> float:
         """Largest share of the item's own words that one stretch of the text covers in order."""
-        ids, own, upto = self.items[item]
+        ids, _, upto, _ = self.items[item]
         total = int(upto[-1])
         it = ids.tolist()
-        # Maximal runs of two equal words or more, as (place in item, place in text, length).
+        # Maximal runs of RUN equal words or more, as (place in item, place in text, length).
         runs, seen = [], set()
-        for i in range(len(it) - 1):
+        for i in range(len(it) - RUN + 1):
             for j in where.get(it[i], ()):
-                if j + 1 < len(doc) and doc[j + 1] == it[i + 1] and (i, j) not in seen:
+                if doc[j + 1 : j + RUN] == it[i + 1 : i + RUN] and (i, j) not in seen:
                     n = 0
                     while i + n < len(it) and j + n < len(doc) and it[i + n] == doc[j + n]:
                         seen.add((i + n, j + n))
@@ -175,6 +191,6 @@ def find_leaks(
                 hits = [(d, i, s) for d, t in zip(pdf[doc_id], pdf[text]) if isinstance(t, str) and t for i, s in index.search(t, share, altered)]
                 yield pd.DataFrame(hits, columns=[doc_id, "item_id", "share"])
 
-        part = spread(docs.select(doc_id, text)).mapInPandas(run, schema)
+        part = docs.select(doc_id, text).mapInPandas(run, schema)
         out = part if a == 0 else out.unionByName(part)
     return out
