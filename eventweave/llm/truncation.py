@@ -46,6 +46,8 @@ FLAGS = ["at_limit", "marked", "open", "stopped", "label", "bullet", "lone"]
 END_SHARE = 0.12
 #: Places with the same words that are needed for an opinion.
 ENOUGH = 3
+#: Up to so many hashes of texts that have copies are sent to all executors.
+COPIED_MOST = 2_000_000
 
 
 def lengths(text: Column) -> dict[str, Column]:
@@ -75,19 +77,37 @@ def _bodies(docs: DataFrame, feet: DataFrame, source: str, text: str, *keep: Col
     return rows.withColumn("__body", F.when(F.col("footer").isNotNull() & trimmed.endswith(F.col("footer")), body).otherwise(F.col("__text")))
 
 
+def _once(docs: DataFrame, source: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Sources and texts that aren't null, in two parts: the texts without copies, and each text with copies once for each of its sources.
+
+    Only texts that share their hash with another row are shuffled, and those are compared whole. Where too many have copies for their
+    hashes to be sent around, all texts are brought down to distinct ones instead.
+    """
+    rows = docs.where(F.col(text).isNotNull()).select(source, text)
+    code = F.xxhash64(F.col(text))
+    copied = materialise(rows.groupBy(code.alias("__copied")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__copied"), "copied")
+    if copied.count() > COPIED_MOST:
+        return rows.limit(0), materialise(rows.distinct(), "texts")
+    part = lambda how: rows.join(F.broadcast(copied), code == F.col("__copied"), how)
+    return part("left_anti"), materialise(part("left_semi").distinct(), "texts")
+
+
 def hidden_limits(docs: DataFrame, *, source: str, text: str, least: int = 5, times: float = 6.0, feet: DataFrame | None = None) -> DataFrame:
     """(source, measure, of, field_limit, at_limit): the storage limit of each source that shows one.
 
     A limit is the greatest length of a source under some measure if the BAND of lengths up to it holds at least ``least`` texts, and
     the band or that very length holds ``times`` as many as the hundred lengths below would make one expect. Lengths are taken of the
     whole "text" and of its "body", less the source's footer. Of several limits that show, the one with most texts at that very
-    length counts. Null sources, null and empty texts are left out. ``feet`` are the footers, if known already.
+    length counts. Equal texts of a source count once. Null sources, null and empty texts are left out. ``feet`` are the footers, if known
+    already; ``docs`` then has no equal texts of a source.
     """
     def measured(of: str, col: str, first: int) -> Column:
         ms = lengths(F.col(col))
         return F.array(*[F.struct(F.lit(first + i).alias("rank"), F.lit(of).alias("of"), F.lit(m).alias("measure"), ms[m].cast("bigint").alias("len")) for i, m in enumerate(MEASURES)])
 
-    feet = materialise(_footers(docs, source, text), "footers") if feet is None else feet
+    if feet is None:
+        docs = DataFrame.unionByName(*_once(docs, source, text))
+        feet = materialise(_footers(docs, source, text), "footers")
     long = _bodies(docs, feet, source, text).where((F.length("__text") > 0) & F.col("__src").isNotNull()).select(
         F.col("__src").alias("source"),
         F.explode(F.when(F.col("footer").isNull(), measured("text", "__text", 0)).otherwise(F.concat(measured("text", "__text", 0), measured("body", "__body", len(MEASURES))))).alias("x"),
@@ -205,8 +225,10 @@ def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "so
     other texts too. Equal texts count once in the corpus counts. Empty input gives no rows; other columns are ignored.
     """
     # Small tables and the endings are read several times below; each is written once.
-    feet = materialise(_footers(docs, source, text), "footers")
-    limits = materialise(hidden_limits(docs, source=source, text=text, feet=feet), "limits").withColumnRenamed("source", "__s1")
+    single, several = _once(docs, source, text)
+    once = single.unionByName(several)
+    feet = materialise(_footers(once, source, text), "footers")
+    limits = materialise(hidden_limits(once, source=source, text=text, feet=feet), "limits").withColumnRenamed("source", "__s1")
     base = _bodies(docs, feet, source, text, F.col(doc_id).alias("__id")).where(F.length(F.trim("__text")) > 0)
     reach = F.coalesce(*[F.when((F.col("of") == of) & (F.col("measure") == m), c) for of, col in (("text", "__text"), ("body", "__body")) for m, c in lengths(F.col(col)).items()])
     tagged = base.join(limits, F.col("__src") == F.col("__s1"), "left").select(
@@ -250,10 +272,12 @@ def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "so
                         counts[g][0] += n
             yield pd.DataFrame([(_code(g), *c) for g, c in counts.items()], columns=["g", "ended", "went_on"])
 
-    # How unstopped texts end: once for equal texts, told by their hash, so that no text is shuffled.
+    # Equal texts vote once, with the footer of the least of their sources.
+    voters = _bodies(single.unionByName(several.groupBy(text).agg(F.min(source).alias(source))), feet, source, text).where(F.length(F.trim("__text")) > 0)
+    # How unstopped texts end: once for equal texts, told by their hash.
     grams = F.array("g0", "g3", "g2", "g1")
     lasts = ends.where("not stopped").dropDuplicates(["hash"]).select(F.explode(grams).alias("g"), F.lit(0).cast("bigint").alias("ended"), F.lit(0).cast("bigint").alias("went_on"), F.lit(1).cast("bigint").alias("last"))
-    counted = tagged.select("__text", "footer").mapInPandas(places, "g bigint, ended bigint, went_on bigint").groupBy("g").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
+    counted = voters.select("__text", "footer").mapInPandas(places, "g bigint, ended bigint, went_on bigint").groupBy("g").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
     asked = ends.select(F.explode(F.array_append(grams, F.col("ctx"))).alias("g")).distinct()
     both = counted.join(asked, "g", "left_semi").withColumn("last", F.lit(0).cast("bigint")).unionByName(lasts)
     known = materialise(both.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("ended", "went_on", "last")]), "grams")

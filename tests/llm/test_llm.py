@@ -220,6 +220,24 @@ def test_truncation_on_a_made_corpus(spark):
     assert truncation.find_truncated(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("most", [truncation.COPIED_MOST, 0])
+def test_copies_of_a_text_vote_once(spark, monkeypatch, most):
+    monkeypatch.setattr(truncation, "COPIED_MOST", most)
+    # A cut text whose last words end a sentence of the hot text and go on elsewhere; the hot text is the longest of its source.
+    hot = "They went home. He sat by the old river. Nobody knew where the wide road. " + "x" * 300 + "."
+    docs = [(i, "a", f"Item {w} was near the wide road {w} that day.") for i, w in enumerate("red blue green black white grey brown pink".split())]
+    docs += [(20, "b", "Some men came. We saw it from the wide road")]
+    docs += [(40 + i, "c", f"One {w} ran by.\n[end {w}]") for i, w in enumerate("fox hare deer mole".split())] + [(50, "c", hot)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    copies = spark.createDataFrame([(1000 + i // 2, ["c", "d"][i % 4 == 3], hot) for i in range(1000)], df.schema)
+    verdicts = lambda d: {r.doc_id: (r.at_limit, r.cut) for r in truncation.find_truncated(d).where("doc_id < 1000").collect()}
+    alone, among = verdicts(df), verdicts(df.unionByName(copies))
+    assert alone == among and len(alone) == len(docs) and alone[20] == (False, True)
+    assert truncation.find_truncated(df.unionByName(copies)).count() == len(docs) + 1000
+    limits = truncation.hidden_limits(df.unionByName(copies), source="source", text="text").collect()
+    assert not {"c", "d"} & {r.source for r in limits}
+
+
 def test_lengths(spark):
     import html
     import json
