@@ -138,16 +138,22 @@ def flag_chains(chain: np.ndarray, price: np.ndarray, bad: np.ndarray, scale: np
     stuck = (post[:, STUCK] + post[:, SPIKE] * frozen > 0.5) & (_runs(same) >= model.stuck_bars) & ~bad
     maybe = (post[:, SPIKE] > 0.5) & ~bad & ~stuck
     # Levels come from the nearest bars that are no candidates themselves; a stretch of candidates longer than a spike is a change of level.
-    steady = ~maybe & ~np.isnan(level)
-    ids = np.cumsum(~maybe | starts | np.concatenate([[True], ~maybe[:-1]]))
-    length = np.bincount(ids)[ids]
-    before, after = _nearest(steady, chain, True), _nearest(steady, chain, False)
-    lb, la = np.where(before >= 0, level[before], np.nan), np.where(after >= 0, level[after], np.nan)
-    with np.errstate(invalid="ignore"):
-        bound = model.spike_moves * scale[:, None]
-        up, down = price - lb[:, None], price - la[:, None]
-        clear = ((up > bound) & (down > bound)) | ((up < -bound) & (down < -bound))
-    spike = maybe & (length <= model.spike_bars) & clear.any(1)
+    # Bars of such a stretch that are not clear of the levels around it are no part of it, but levels for the others.
+    while True:
+        steady = ~maybe & ~np.isnan(level)
+        ids = np.cumsum(~maybe | starts | np.concatenate([[True], ~maybe[:-1]]))
+        length = np.bincount(ids)[ids]
+        before, after = _nearest(steady, chain, True), _nearest(steady, chain, False)
+        lb, la = np.where(before >= 0, level[before], np.nan), np.where(after >= 0, level[after], np.nan)
+        with np.errstate(invalid="ignore"):
+            bound = model.spike_moves * scale[:, None]
+            up, down = price - lb[:, None], price - la[:, None]
+            clear = (((up > bound) & (down > bound)) | ((up < -bound) & (down < -bound))).any(1)
+        loose = maybe & (length > model.spike_bars) & ~clear
+        if not loose.any():
+            break
+        maybe = maybe & ~loose
+    spike = maybe & (length <= model.spike_bars) & clear
     return np.where(stuck, 1, np.where(spike, 2, 0))
 
 

@@ -119,6 +119,21 @@ def test_faults_and_shards(spark):
     assert find_faults(df.limit(0), row_id="bar_id", source="symb", at_ms="t").collect() == []
 
 
+@pytest.mark.parametrize("spikes", [[21], [21, 22]])
+@pytest.mark.parametrize("volatile", [[20], [23], [20, 23]])
+def test_spikes_beside_a_volatile_bar(spikes, volatile):
+    cl = 100 + np.tile([0.0, 1.0], 20)
+    price = np.stack([cl + 0.5, cl - 0.5, cl, cl], 1)
+    price[spikes, 1] -= 62
+    price[[i if i < 21 else spikes[-1] + 1 for i in volatile], 0] = 100.5 + 8.4
+    flags = flag_chains(np.zeros(40, int), price, np.zeros(40, bool), np.ones(40), FaultModel())
+    assert np.flatnonzero(flags).tolist() == spikes
+    # Three bars off are a change of level.
+    price[20:23] = [161, 159, 160, 160]
+    price[[20, 22], 0] += 0.25
+    assert not flag_chains(np.zeros(40, int), price, np.zeros(40, bool), np.ones(40), FaultModel())[20:23].any()
+
+
 def test_flags_of_flat_and_null_series():
     none = np.full((20, 4), np.nan)
     assert not flag_chains(np.zeros(20, int), none, np.zeros(20, bool), np.zeros(20), FaultModel()).any()
