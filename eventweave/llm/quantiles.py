@@ -1,9 +1,11 @@
 """Mergeable percentiles with a deterministic rank error: quantile digests over a bounded universe.
 
-A value becomes an ordered code of BITS bits (the leading bits of its float form), the leaf of a binary tree of that depth. A digest
-holds counts at tree nodes; compressing pushes small counts up to their parents, merging adds counts node by node. With n rows and
-budget k, each level above the leaves hides at most floor(n / k) rows from a rank, so a rank is off by BITS * floor(n / k) <= eps * n rows
-at most, in whatever order digests were merged. A code spans a factor of 2 ** -MANTISSA, which bounds the value's own rounding.
+A value is quantized exactly to a signed 64-bit code, in order: an integer is its own code, a decimal its unscaled digits, a float its bit
+pattern put in order. Codes are the leaves of two binary trees (negative codes, and the others) of BITS levels. A digest holds counts at
+tree nodes and with each node the greatest code counted there; compressing pushes small counts up to their parents, merging adds node by
+node. With n rows and k = BITS / eps, a node above the leaves holds floor(n / k) rows at most, in whatever order digests were merged, and
+only those on one path to a root can lie on either side of a value: its rank is off by BITS * floor(n / k) <= eps * n rows at most.
+Digests of fewer than k rows are exact.
 """
 
 from __future__ import annotations
@@ -15,83 +17,99 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MANTISSA = 10
-BITS = 12 + MANTISSA
+#: Levels above the leaves. The node of a code on a level is the code shifted right by it; on level BITS only -1 and 0 are left.
+BITS = 63
+#: The scale of codes that are ordered bit patterns of floats; other scales are the decimals behind the point.
+FLOAT = -1
+#: Rows of a digest taken together before they are compressed.
+CHUNK = 200_000
+_NODE = "scale int, level int, node bigint, top bigint, n bigint"
 
 
-def leaf(value: Column) -> Column:
-    """Heap number (2 ** BITS + code) of a value's leaf; null for null and NaN. Codes keep the order of values, negative ones included."""
+def float_codes(x: np.ndarray) -> np.ndarray:
+    """Signed codes in the order of the floats; both zeros have one."""
+    bits = (np.asarray(x, "float64") + 0.0).view("int64")
+    return np.where(bits >= 0, bits, np.int64(-(2**63)) - bits)
+
+
+def code_values(code: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The values of codes: exact but for rounding to the nearest double."""
+    bits = np.where(code >= 0, code, np.int64(-(2**63)) - code)
+    return np.where(scale == FLOAT, bits.view("float64"), code / 10.0 ** np.maximum(scale, 0))
+
+
+@F.pandas_udf(T.LongType())
+def _float_code(x: pd.Series) -> pd.Series:
+    return pd.Series(float_codes(x.to_numpy("float64", na_value=np.nan)))
+
+
+def code(value: Column, kind: T.DataType) -> tuple[Column, int]:
+    """The code of a value of this type and the scale of its codes; null for null and NaN."""
+    if isinstance(kind, T.IntegralType):
+        return value.cast("bigint"), 0
+    if isinstance(kind, T.DecimalType):
+        if kind.precision > 18:
+            raise ValueError("decimals of more than 18 digits have no 64-bit code; cast them to double first")
+        # Up to 2^50 the nearest double gives the digits by rounding; only beyond is decimal arithmetic needed.
+        near = value.cast("double") * float(10**kind.scale)
+        exact = (value * F.lit(10**kind.scale).cast(T.DecimalType(kind.scale + 1, 0))).cast("bigint")
+        return F.when(F.abs(near) < float(2**50), F.rint(near).cast("bigint")).otherwise(exact), kind.scale
     x = value.cast("double")
-    x = F.when(x == 0, F.lit(0.0)).otherwise(x)
-    # Exponent and leading mantissa bits by arithmetic: there is no bit cast among the built-in functions.
-    a = F.abs(x)
-    e = F.floor(F.log2(a))
-    e = F.when(F.pow(F.lit(2.0), e) > a, e - 1).when(F.pow(F.lit(2.0), e + 1) <= a, e + 1).otherwise(e)
-    e = F.greatest(e, F.lit(-1022))
-    mant = F.floor((a / F.pow(F.lit(2.0), e) - 1) * (1 << MANTISSA))
-    size = F.when(a == 0, F.lit(0)).otherwise((e + 1023) * (1 << MANTISSA) + F.greatest(mant, F.lit(0))).cast("bigint")
-    size = F.when(a == float("inf"), F.lit((2047 << MANTISSA))).otherwise(size)
-    half = 1 << (BITS - 1)
-    code = F.when(x < 0, half - 1 - size).otherwise(half + size)
-    return F.when(x.isNotNull() & ~F.isnan(x), code.cast("bigint") + (1 << BITS))
-
-
-def leaf_bounds(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest and highest value of codes (heap number less 2 ** BITS)."""
-    half = 1 << (BITS - 1)
-    size = np.where(code >= half, code - half, half - 1 - code).astype("int64")
-    low = (size << (52 - MANTISSA)).astype("uint64").view("float64")
-    high = np.nextafter(((size + 1) << (52 - MANTISSA)).astype("uint64").view("float64"), 0)
-    high = np.where(np.isnan(high) | (size == 0), low, high)
-    return np.where(code >= half, low, -high), np.where(code >= half, high, -low)
-
-
-def compress(group: np.ndarray, node: np.ndarray, n: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pushes counts up the tree for many digests at once. ``keep`` is each row's floor(n / k): a node, its sibling and its parent that
-    together hold no more than that become the parent. The outermost leaves stay, so that a digest knows its least and greatest code."""
-    group, node, n, keep = (np.asarray(x, "int64") for x in (group, node, n, keep))
-    done = []
-    leaves = np.flatnonzero(node >= (1 << BITS))
-    if len(leaves):
-        order = leaves[np.lexsort((node[leaves], group[leaves]))]
-        change = group[order][1:] != group[order][:-1]
-        outer = np.unique(np.concatenate([order[np.concatenate([[True], change])], order[np.concatenate([change, [True]])]]))
-        done.append((group[outer], node[outer], n[outer]))
-        inner = np.ones(len(node), bool)
-        inner[outer] = False
-        group, node, n, keep = group[inner], node[inner], n[inner], keep[inner]
-    for level in range(BITS, 0, -1):
-        at = node >= (1 << level)
-        if not at.any():
+    return F.when(x.isNotNull() & ~F.isnan(x), _float_code(x)), FLOAT
+
+
+def _sums(start: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    return [np.add.reduceat(c, start) for c in columns]
+
+
+def compress(group: np.ndarray, level: np.ndarray, node: np.ndarray, top: np.ndarray, n: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pushes counts up the trees for many digests at once: (group, level, node, top, n).
+
+    ``keep`` is each row's floor(n / k). From the leaves up, a node, its sibling and its parent that together hold no more than that
+    become the parent. Rows of one node are added. Digests whose keep is 0 only have their rows added.
+    """
+    group, level, node, top, n, keep = (np.asarray(x, "int64") for x in (group, level, node, top, n, keep))
+    order = np.lexsort((node, group, level))
+    group, level, node, top, n, keep = (x[order] for x in (group, level, node, top, n, keep))
+    if len(group):
+        start = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (level[1:] != level[:-1]) | (node[1:] != node[:-1])]))
+        top, (n,) = np.maximum.reduceat(top, start), _sums(start, n)
+        group, level, node, keep = group[start], level[start], node[start], keep[start]
+    still = keep == 0
+    done = [(group[still], level[still], node[still], top[still], n[still])]
+    group, level, node, top, n, keep = (x[~still] for x in (group, level, node, top, n, keep))
+    at = np.searchsorted(level, np.arange(BITS + 2))
+    live = [x[at[0] : at[1]] for x in (group, node, top, n, keep)]
+    for lv in range(BITS):
+        g, v, t, c, k = live
+        above = [x[at[lv + 1] : at[lv + 2]] for x in (group, node, top, n, keep)]
+        if not len(g):
+            live = above
             continue
-        rest = (group[~at], node[~at], n[~at], keep[~at])
-        g, v, c, k = group[at], node[at], n[at], keep[at]
-        order = np.lexsort((v >> 1, g))
-        g, v, c, k = g[order], v[order], c[order], k[order]
-        head = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] >> 1 != v[:-1] >> 1)])
+        up = v >> 1
+        # Children and what their parents hold already, by parent.
+        ag, av = np.concatenate([g, above[0]]), np.concatenate([up, above[1]])
+        ac, ak, at_top = np.concatenate([c, above[3]]), np.concatenate([k, above[4]]), np.concatenate([t, above[2]])
+        child = np.arange(len(ag)) < len(g)
+        order = np.lexsort((av, ag))
+        ag, av, ac, ak, at_top, child = (x[order] for x in (ag, av, ac, ak, at_top, child))
+        head = np.concatenate([[True], (ag[1:] != ag[:-1]) | (av[1:] != av[:-1])])
         start = np.flatnonzero(head)
-        pair = np.add.reduceat(c, start)
-        # Counts already at the parents.
-        have = {}
-        pg, pv = g[start], v[start] >> 1
-        own = (rest[1] >= (1 << (level - 1))) & (rest[1] < (1 << level))
-        if own.any():
-            have = dict(zip(zip(rest[0][own].tolist(), rest[1][own].tolist()), rest[2][own].tolist()))
-        parent = np.array([have.get(x, 0) for x in zip(pg.tolist(), pv.tolist())], "int64") if have else np.zeros(len(start), "int64")
-        up = pair + parent <= k[start]
-        each = up[np.cumsum(head) - 1]
-        done.append((g[~each], v[~each], c[~each]))
-        raised = (np.concatenate([rest[0], pg[up]]), np.concatenate([rest[1], pv[up]]), np.concatenate([rest[2], pair[up]]), np.concatenate([rest[3], k[start][up]]))
-        # A parent that was there and one that came up are one node.
-        order = np.lexsort((raised[1], raised[0]))
-        g, v, c, k = (x[order] for x in raised)
-        if len(g):
-            head = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])])
-            start = np.flatnonzero(head)
-            g, v, c, k = g[start], v[start], np.add.reduceat(c, start), k[start]
-        group, node, n, keep = g, v, c, k
-    done.append((group, node, n))
+        family = np.cumsum(head) - 1
+        fits = (np.add.reduceat(ac, start) <= ak[start])[family]
+        goes = fits | ~child
+        stays = np.zeros(len(g), bool)
+        stays[order[child & ~fits]] = True
+        done.append((g[stays], np.full(stays.sum(), lv), v[stays], t[stays], c[stays]))
+        ag, av, ac, ak, at_top = (x[goes] for x in (ag, av, ac, ak, at_top))
+        if len(ag):
+            start = np.flatnonzero(np.concatenate([[True], (ag[1:] != ag[:-1]) | (av[1:] != av[:-1])]))
+            live = [ag[start], av[start], np.maximum.reduceat(at_top, start), np.add.reduceat(ac, start), ak[start]]
+        else:
+            live = [ag, av, at_top, ac, ak]
+    done.append((live[0], np.full(len(live[0]), BITS), live[1], live[2], live[3]))
     return tuple(np.concatenate(x) for x in zip(*done))
 
 
@@ -105,23 +123,44 @@ def _heads(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return head
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Frames of whole groups, from batches in which the rows of a group follow each other."""
-    kept: list[pd.DataFrame] = []
+def _compress_frame(pdf: pd.DataFrame, keys: list[str], k: int) -> pd.DataFrame:
+    head = _heads(pdf, keys)
+    group = np.cumsum(head) - 1
+    n = pdf["n"].to_numpy("int64")
+    total = np.zeros(group[-1] + 1, "int64")
+    np.add.at(total, group, n)
+    if total.max() < k and not pdf.duplicated([*keys, "level", "node"]).any():
+        return pdf
+    g, lv, v, t, c = compress(group, pdf["level"].to_numpy(), pdf["node"].to_numpy(), pdf["top"].to_numpy(), n, (total // k)[group])
+    order = np.argsort(g, kind="stable")
+    out = pdf[keys].iloc[np.flatnonzero(head)].reset_index(drop=True).iloc[g[order]].reset_index(drop=True)
+    for name, x in (("level", lv), ("node", v), ("top", t), ("n", c)):
+        out[name] = x[order]
+    return out.astype({"level": "int32"})
+
+
+def _streams(batches: Iterator[pd.DataFrame], keys: list[str], k: int) -> Iterator[pd.DataFrame]:
+    """Compressed digests of whole groups, from batches in which the rows of a group follow each other.
+
+    A group that is longer than CHUNK rows is compressed as it comes, so that a task holds a chunk and a digest at most.
+    """
+    held: list[pd.DataFrame] = []
+    size = 0
     for pdf in batches:
         if not len(pdf):
             continue
-        if kept and _heads(pd.concat([kept[-1].iloc[-1:], pdf.iloc[:1]]), keys)[1]:
-            yield pd.concat(kept, ignore_index=True)
-            kept = []
-        last = np.flatnonzero(_heads(pdf, keys)[1:])
-        if len(last):
-            yield pd.concat([*kept, pdf.iloc[: last[-1] + 1]], ignore_index=True)
-            kept = [pdf.iloc[last[-1] + 1 :]]
-        else:
-            kept.append(pdf)
-    if kept:
-        yield pd.concat(kept, ignore_index=True)
+        held.append(pdf)
+        size += len(pdf)
+        if size < CHUNK:
+            continue
+        whole = pd.concat(held, ignore_index=True)
+        last = int(np.flatnonzero(_heads(whole, keys))[-1])
+        if last:
+            yield _compress_frame(whole.iloc[:last].reset_index(drop=True), keys, k)
+        rest = _compress_frame(whole.iloc[last:].reset_index(drop=True), keys, k)
+        held, size = [rest], 0
+    if held:
+        yield _compress_frame(pd.concat(held, ignore_index=True), keys, k)
 
 
 def budget(eps: float) -> int:
@@ -129,76 +168,72 @@ def budget(eps: float) -> int:
 
 
 def _compressed(nodes: DataFrame, keys: list[str], eps: float) -> DataFrame:
-    """One digest per key from (keys, node, n), in which a node may come several times."""
-    k = budget(eps)
-    summed = nodes.groupBy(*keys, "node").agg(F.sum("n").alias("n"))
-    whole = summed.repartition(*keys).sortWithinPartitions(*keys, "node")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _groups(batches, keys):
-            head = _heads(pdf, keys)
-            group = np.cumsum(head) - 1
-            n = pdf["n"].to_numpy("int64")
-            total = np.bincount(group, n)[group].astype("int64")
-            g, v, c = compress(group, pdf["node"].to_numpy(), n, total // k)
-            first = pdf[keys].iloc[np.flatnonzero(head)].reset_index(drop=True)
-            out = first.iloc[g].reset_index(drop=True)
-            out["node"], out["n"] = v, c
-            yield out
+    """One digest per key from (keys, scale, level, node, top, n), in which a node may come several times.
 
+    Nodes are added first, hashed by key and node, so that a hot key's rows lie in all partitions. Each partition compresses what it
+    has of a key, and only these parts, of 3 * k nodes at most each, come together in one task.
+    """
+    k = budget(eps)
+    by = [*keys, "scale"]
     kinds = dict(nodes.dtypes)
-    return whole.mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "node bigint", "n bigint"]))
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], _NODE])
+    cols = [*by, "level", "node", "top", "n"]
+    run = lambda batches: (x[cols] for x in _streams(batches, by, k))
+    summed = nodes.groupBy(*by, "level", "node").agg(F.max("top").alias("top"), F.sum("n").alias("n")).select(*cols)
+    parts = summed.sortWithinPartitions(*by).mapInPandas(run, schema)
+    return parts.repartition(*keys).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
 def digests(df: DataFrame, keys: list[str], values: list[str], eps: float = 0.01) -> DataFrame:
-    """One digest per key and value column, as rows of (keys, field, node, n).
+    """One digest per key and value column, as rows of (keys, field, scale, level, node, top, n).
 
-    Nulls and NaN are left out; a group of nothing else has no digest. Null keys are groups like others. Rows are counted by leaf
-    before anything moves, so a group's size is bounded by the universe, not by its rows. Other columns are ignored.
+    Values are integers, decimals of up to 18 digits or floats. Nulls and NaN are left out; a group of nothing else has no digest. Null
+    keys are groups like others. Equal values are counted before anything moves. Other columns are ignored, whatever their names.
     """
-    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("field"), leaf(F.col(f"`{v}`")).alias("node")) for v in values])).alias("x"))
-    leaves = long.select(*keys, "x.field", "x.node").where("node is not null").groupBy(*keys, "field", "node").agg(F.count(F.lit(1)).alias("n"))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    coded = [(v, *code(F.col(f"`{v}`"), kinds[v])) for v in values]
+    each = F.array(*[F.struct(F.lit(v).alias("field"), F.lit(s).alias("scale"), c.alias("node")) for v, c, s in coded])
+    long = df.select(*[F.col(f"`{c}`") for c in keys], F.inline(each)).where("node is not null")
+    leaves = long.select(*keys, "field", "scale", F.lit(0).alias("level"), "node", F.col("node").alias("top"), F.lit(1).cast("bigint").alias("n"))
     return _compressed(leaves, [*keys, "field"], eps)
 
 
 def merge(parts: DataFrame, keys: list[str], eps: float = 0.01) -> DataFrame:
     """Digests of unions: adds the nodes of all digests of the same keys and field. ``keys`` are those to keep."""
-    return _compressed(parts.select(*keys, "field", "node", "n"), [*keys, "field"], eps)
+    return _compressed(parts.select(*keys, "field", "scale", "level", "node", "top", "n"), [*keys, "field"], eps)
 
 
 def quantiles(parts: DataFrame, keys: list[str], at: list[float], eps: float = 0.01) -> DataFrame:
-    """(keys, field, q, value, low, high, n, rank_error) for each digest and each q in ``at``.
+    """(keys, field, q, value DOUBLE, n, rank_error) for each digest and each q in ``at``.
 
-    ``value`` is the upper end of the first node, in order of upper ends with smaller nodes first, at which the counts reach
-    ceil(q * n) (1 at least). Its true rank is off by ``rank_error`` = BITS * floor(n / k) at most; ``low`` and ``high`` are the ends of the
-    leaf code it falls in.
+    ``value`` is one of the data's own values. Of the n rows, want = max(1, ceil(q * n)) or more are no greater than it, and fewer than
+    want + rank_error are less. ``rank_error`` is what this digest itself leaves open there, BITS * floor(n / k) <= eps * n at most, and 0
+    where it is exact.
     """
+    by = [*keys, "field", "scale"]
     k = budget(eps)
-    by = [*keys, "field"]
-    whole = parts.select(*by, "node", "n").repartition(*by).sortWithinPartitions(*by)
+    whole = parts.select(*by, "level", "node", "top", "n").repartition(*keys, "field").sortWithinPartitions(*by)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _groups(batches, by):
-            node, n, head = pdf["node"].to_numpy("int64"), pdf["n"].to_numpy("int64"), _heads(pdf, by)
-            group = np.cumsum(head) - 1
-            depth = np.frexp(node.astype("float64"))[1] - 1
-            low = (node << (BITS - depth)) - (1 << BITS)
-            high = ((node + 1) << (BITS - depth)) - 1 - (1 << BITS)
-            # No value lies beyond the outermost leaves, which every digest keeps.
-            top, end = np.full(group[-1] + 1, -1), np.full(group[-1] + 1, 1 << BITS)
-            np.maximum.at(top, group[depth == BITS], high[depth == BITS])
-            np.minimum.at(end, group[depth == BITS], high[depth == BITS])
-            order = np.lexsort((-low, high, group))
-            group, n, high = group[order], n[order], high[order]
-            total = np.bincount(group, n).astype("int64")
-            before = np.concatenate([[0], np.cumsum(total)])[:-1]
-            upto = np.cumsum(n)
-            heads = pdf[by].iloc[np.flatnonzero(head)].reset_index(drop=True)
-            for q in at:
-                want = before + np.maximum(1, np.ceil(q * total - 1e-9).astype("int64"))
-                code = np.clip(high[np.searchsorted(upto, want, "left")], end, top)
-                lo, hi = leaf_bounds(code)
-                yield heads.assign(q=float(q), value=hi, low=lo, high=hi, n=total, rank_error=BITS * (total // k))
+        for pdf in _streams(batches, by, k):
+            head = _heads(pdf, by)
+            for rows in np.split(np.arange(len(pdf)), np.flatnonzero(head)[1:]):
+                level, node, top, n = (pdf[c].to_numpy("int64")[rows] for c in ("level", "node", "top", "n"))
+                mask = (np.int64(1) << np.minimum(level, 62)) - 1
+                mask = np.where(level == BITS, np.int64(2**63 - 1), mask)
+                low = node << level
+                high = low | mask
+                # By the end of a node's span, the shorter span first: what comes before a node lies in it or left of it.
+                order = np.lexsort((level, high))
+                upto = np.cumsum(n[order])
+                most = np.maximum.accumulate(top[order])
+                total = int(upto[-1])
+                want = np.maximum(1, np.ceil(np.asarray(at) * total - 1e-9).astype("int64"))
+                x = most[np.searchsorted(upto, want, "left")]
+                inner = level > 0
+                open_at = ((low[inner][None] < x[:, None]) & (high[inner][None] >= x[:, None])) * n[inner][None]
+                first = pdf[by].iloc[[rows[0]] * len(at)].reset_index(drop=True)
+                yield first[[*keys, "field"]].assign(q=np.asarray(at, float), value=code_values(x, first["scale"].to_numpy()), n=total, rank_error=open_at.sum(1).astype("int64"))
 
     kinds = dict(parts.dtypes)
-    return whole.mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "field string, q double, value double, low double, high double, n bigint, rank_error bigint"]))
+    return whole.mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "field string, q double, value double, n bigint, rank_error bigint"]))

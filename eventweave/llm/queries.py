@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweave.llm import leaks, mixing, quantiles, truncation
+from eventweave.operators.merge import with_position
 from eventweave.session import materialise, spread, table
 
 EPS = 0.01
@@ -29,17 +30,23 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each merged percentile: how many rows there are, and whether its true rank keeps the bound."""
-    found = materialise(p4_percentiles(spark, sf_dir), "percentiles")
-    bars = table(spark, sf_dir, "cdf_bars").select("symb", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("x")) for c in ("vlm", "cl")])).alias("v"))
-    rows = bars.select("symb", "v.field", "v.x").where("x is not null and symb is not null").groupBy("symb", "field", "x").agg(F.count(F.lit(1)).alias("n"))
-    ranked = found.withColumnRenamed("n", "of").join(rows, ["symb", "field"]).groupBy("symb", "field", "q", "of", "rank_error").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("x") <= F.col("value"), F.col("n")).otherwise(0)).alias("upto"),
-        F.sum(F.when(F.col("x") < F.col("low"), F.col("n")).otherwise(0)).alias("below"),
-    )
-    want = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n") - 1e-9))
-    kept = (F.col("upto") >= want) & (F.col("below") < want + F.col("rank_error")) & (F.col("rank_error") <= EPS * F.col("n"))
-    return ranked.select("symb", "field", "q", F.col("n").cast("bigint").alias("n"), (kept & (F.col("of") == F.col("n"))).alias("within_bound"))
+    """For each percentile the true one, by its rank among all rows, if what the merged digest gave keeps its bound, else null.
+
+    The bound is that of `quantiles`: at least `want` rows are no greater than the value, fewer than want + rank_error are less, and
+    rank_error is within EPS of all rows.
+    """
+    found = materialise(p4_percentiles(spark, sf_dir).where("symb is not null"), "percentiles").withColumnRenamed("n", "of")
+    found = found.withColumn("want", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("of") - 1e-9)))
+    bars = table(spark, sf_dir, "cdf_bars").select("symb", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("x")) for c in ("vlm", "cl")])))
+    rows = bars.where("x is not null and symb is not null")
+    by = ["symb", "field"]
+    counts = rows.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("m"))
+    ranks = found.join(counts, by).groupBy(*by, "q", "of", "want", "rank_error").agg(
+        F.sum("m").alias("n"), F.sum(F.when(F.col("x") <= F.col("value"), F.col("m")).otherwise(0)).alias("upto"), F.sum(F.when(F.col("x") < F.col("value"), F.col("m")).otherwise(0)).alias("less")
+    )
+    kept = (F.col("of") == F.col("n")) & (F.col("upto") >= F.col("want")) & (F.col("less") < F.col("want") + F.col("rank_error")) & (F.col("rank_error") <= EPS * F.col("n"))
+    true = with_position(rows, "x", "want", by=by)
+    return ranks.join(true, [*by, "want"]).select(*by, "q", F.col("n").cast("bigint").alias("n"), F.when(kept, F.col("x")).alias("percentile"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +91,13 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p4_percentiles, p4_rank_check, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_sources)}
 
+_VALUES = """v AS (SELECT symb, 'vlm' AS field, CAST(vlm AS DOUBLE) AS x FROM cdf_bars UNION ALL SELECT symb, 'cl', CAST(cl AS DOUBLE) FROM cdf_bars),
+        r AS (SELECT symb, field, x, row_number() OVER (PARTITION BY symb, field ORDER BY x) AS rank, count(*) OVER (PARTITION BY symb, field) AS n FROM v WHERE x IS NOT NULL AND symb IS NOT NULL),
+        p(q) AS (VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE))"""
+
 #: Where the answer follows from the tables alone. The other operators sample, score or parse; tests/llm hold them against brute force.
 ORACLE = {
-    "p4_rank_check": """WITH v AS (SELECT symb, 'vlm' AS field, CAST(vlm AS DOUBLE) AS x FROM cdf_bars UNION ALL SELECT symb, 'cl', CAST(cl AS DOUBLE) FROM cdf_bars),
-        n AS (SELECT symb, field, count(x) AS n FROM v WHERE x IS NOT NULL AND symb IS NOT NULL GROUP BY 1, 2)
-        SELECT symb, field, q, n, true AS within_bound FROM n, (VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) t(q)""",
+    # Groups of fewer than BITS / EPS = 6,300 rows have exact digests, as all have up to sf0.01.
+    "p4_percentiles": f"""WITH {_VALUES} SELECT symb, field, q, x AS value, n, CAST(0 AS BIGINT) AS rank_error FROM r JOIN p ON rank = greatest(1, CAST(ceil(q * n - 1e-9) AS BIGINT))""",
+    "p4_rank_check": f"""WITH {_VALUES} SELECT symb, field, q, n, x AS percentile FROM r JOIN p ON rank = greatest(1, CAST(ceil(q * n - 1e-9) AS BIGINT))""",
 }

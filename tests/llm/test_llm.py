@@ -1,10 +1,13 @@
 """Training-data operators against brute force, round trips and small fixtures, with nulls, empties, repeats and clashing names."""
 
 import random
+from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventweave.llm import leaks, mixing, quantiles, truncation
 
@@ -14,52 +17,71 @@ random.seed(11)
 # Percentiles
 
 
-def test_codes_keep_order_and_bound_values(spark):
+def test_codes_keep_order_and_values(spark):
     rng = np.random.default_rng(2)
     xs = np.concatenate([rng.normal(size=200) * 10.0 ** rng.integers(-30, 30, 200), [0.0, -0.0, 1.0, -1.0, np.inf, -np.inf, 5e-324, 2.0**-1022, 1.7976931348623157e308]])
-    df = spark.createDataFrame([(float(x),) for x in xs] + [(None,), (float("nan"),)], "x double").select("x", quantiles.leaf(F.col("x")).alias("n"))
-    rows = [r for r in df.collect()]
-    assert sum(r.n is None for r in rows) == 2
-    good = sorted((r.x, r.n) for r in rows if r.n is not None)
-    assert all(a[1] <= b[1] for a, b in zip(good, good[1:]))
-    for x, n in good:
-        low, high = quantiles.leaf_bounds(np.array([n - (1 << quantiles.BITS)]))
-        if np.isfinite(x) and abs(x) > 1e-300:
-            assert low[0] <= x <= high[0] and high[0] - low[0] <= abs(x) * 2.0**-quantiles.MANTISSA
+    codes = quantiles.float_codes(xs)
+    order = np.argsort(xs, kind="stable")
+    assert (np.diff(codes[order]) >= 0).all() and (quantiles.code_values(codes, np.full(len(xs), quantiles.FLOAT)) == xs).all()
+    rows = [(Decimal(t), b) for t, b in (("0.0001", 1), ("-0.0001", -1), ("99999999999999.9999", 2**63 - 1), ("-99999999999999.9999", -(2**63)), ("1234567890.1234", 7))] + [(None, None)]
+    df = spark.createDataFrame(rows, "d decimal(18,4), b bigint")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    got = df.select("d", "b", quantiles.code(F.col("d"), kinds["d"])[0].alias("dc"), quantiles.code(F.col("b"), kinds["b"])[0].alias("bc")).collect()
+    assert all((r.d is None and r.dc is None) or r.dc == int(r.d.scaleb(4)) for r in got) and all(r.b == r.bc for r in got)
+    with pytest.raises(ValueError):
+        quantiles.code(F.col("d"), T.DecimalType(20, 2))
 
 
 def test_compress_keeps_counts_and_bound():
     rng = np.random.default_rng(4)
-    node = (1 << quantiles.BITS) + np.unique(rng.integers(0, 1 << quantiles.BITS, 5000))
+    node = np.unique(rng.integers(-(2**62), 2**62, 5000))
     n = rng.integers(1, 50, len(node))
     group = (np.arange(len(node)) % 2).astype("int64")
     keep = np.where(group == 0, n[group == 0].sum() // 100, 0)
-    g, v, c = quantiles.compress(group, node, n, keep)
+    g, level, v, top, c = quantiles.compress(group, np.zeros(len(node), int), node, node, n, keep)
     for k in (0, 1):
         assert c[g == k].sum() == n[group == k].sum()
-    assert (g == 1).sum() == (group == 1).sum() and (g == 0).sum() <= 3 * 100 and len(set(zip(g, v))) == len(g)
+    assert (g == 1).sum() == (group == 1).sum() and (g == 0).sum() <= 3 * 100 and len(set(zip(g, level, v))) == len(g)
+    inner = (level > 0) & (level < 63)
+    assert (c[level > 0] <= keep.max()).all() and (top[inner] >= v[inner] << level[inner]).all() and (top[inner] < (v[inner] + 1) << level[inner]).all()
 
 
-@pytest.mark.parametrize("eps", [0.01, 0.2])
-def test_merged_percentiles_keep_the_rank_bound(spark, eps):
+def _check_ranks(got, rows, eps):
+    for r in got:
+        have = np.sort([v for k, v in rows if k == r.k and v is not None])
+        want = max(1, int(np.ceil(r.q * len(have) - 1e-9)))
+        assert r.n == len(have) and r.rank_error <= eps * len(have) and r.value in have
+        assert (have <= r.value).sum() >= want and (have < r.value).sum() < want + r.rank_error, r
+
+
+@pytest.mark.parametrize("eps", [0.02, 0.2])
+@pytest.mark.parametrize("kind", ["double", "decimal(18,4)", "bigint"])
+def test_merged_percentiles_keep_the_rank_bound(spark, eps, kind):
     rng = np.random.default_rng(7)
-    x = np.concatenate([np.round(rng.pareto(1.1, 6000) * 100), np.zeros(700), [-5.0] * 20])
-    rows = [("hot" if i % 3 else None, i % 5, float(v)) for i, v in enumerate(x)] + [("gone", 1, None)]
-    df = spark.createDataFrame(rows, "k string, day int, x double").withColumns({"node": F.lit(1), "n": F.lit(2), "field": F.lit("y")})
+    # Heavy tails, a narrow band of prices, one value alone, negative ones, and a group of fewer rows than the budget.
+    x = {"tail": np.round(rng.pareto(1.1, 6000) * 100), "band": 1e4 + np.round(rng.normal(0, 40, 6000)), "one": np.full(500, 7.0), "minus": -np.round(rng.pareto(1.1, 4000) * 9), "few": rng.integers(0, 9, 40)}
+    x[None] = np.concatenate([x["tail"][:2000], x["minus"][:2000]])
+    rows = [(k, i % 5, float(v)) for k, vs in x.items() for i, v in enumerate(vs)] + [("gone", 1, None)]
+    df = spark.createDataFrame(rows, "k string, day int, x double").withColumn("x", F.col("x").cast(kind)).withColumns({"node": F.lit(1), "n": F.lit(2), "field": F.lit("y"), "level": F.lit("z")})
     days = quantiles.digests(df, ["k", "day"], ["x"], eps)
     merged = quantiles.merge(quantiles.merge(days.where("day < 3"), ["k"], eps).unionByName(quantiles.merge(days.where("day >= 3"), ["k"], eps)), ["k"], eps)
-    at = [0.0, 0.01, 0.5, 0.9, 1.0]
+    at = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
     got = quantiles.quantiles(merged, ["k"], at, eps).collect()
-    assert len(got) == 2 * len(at)
-    for r in got:
-        have = np.sort([v for k, _, v in rows if k == r.k and v is not None])
-        want = max(1, int(np.ceil(r.q * len(have) - 1e-9)))
-        assert r.n == len(have) and r.rank_error <= eps * len(have)
-        # However often digests were merged and compressed.
-        assert (have <= r.value).sum() >= want and (have < r.low).sum() < want + r.rank_error
+    assert len(got) == 6 * len(at)
+    # However often digests were merged and compressed.
+    _check_ranks(got, [(k, v) for k, _, v in rows], eps)
+    assert all(r.rank_error == 0 for r in got if r.k in ("one", "few"))
     assert quantiles.quantiles(quantiles.digests(df.limit(0), ["k"], ["x"]), ["k"], [0.5]).collect() == []
 
 
+def test_long_groups_are_compressed_as_they_come(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    frames = [pd.DataFrame({"k": "a", "scale": 0, "level": 0, "node": v, "top": v, "n": 1}) for v in np.split(np.arange(60_000), 30)]
+    monkeypatch.setattr(quantiles, "CHUNK", 5_000)
+    out = pd.concat(list(quantiles._streams(iter(frames), ["k", "scale"], 300)))
+    assert out["n"].sum() == 60_000 and len(out) <= 900 and (out["n"][out["level"] > 0] <= 200).all()
+
+
 # Leaks
 
 
