@@ -1,168 +1,258 @@
-"""Evaluation passages in training texts, by winnowed word fingerprints and extension of the hits.
+"""Evaluation passages in training texts: winnowed word fingerprints, joined, and the hits extended where they lie.
 
 Of the hashes of K words at each position, the least in each window of WINDOW positions is kept, so any shared stretch of
-WINDOW + K - 1 words leaves the same fingerprint in both texts. The evaluation side is a stated query set: it goes to the tasks in
-blocks of a fixed number of items, and every training text is read whole against each block. Nothing is shuffled, however many copies a text has.
+WINDOW + K - 1 words leaves the same fingerprint in both texts. The fingerprints of both sides are joined by Catalyst: the items' are
+a written table, so that its size is known, and are broadcast under the threshold or joined by shuffle beyond. Texts are taken apart in
+one vectorized pass, however many items there are; only the surroundings of hits are compared word by word.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventweave.session import materialise
+
 K, WINDOW = 4, 3
-#: Equal words that make a run in the extension of a hit.
-RUN = 3
-#: Items per broadcast block.
-BLOCK_ITEMS = 5_000
-_WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:[A-Za-z]{2,8}|#\d{1,6});")
+#: Equal words that make a run in the extension of a hit, and the altered words that may lie between two runs.
+RUN, GAP = 3, 8
+#: Characters taken apart together.
+CHARS = 1_000_000
+#: Pairs of equal places compared at once; beyond, runs are found diagonal by diagonal.
+PAIRS = 4_000_000
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n+")
+_BASE = 0x9E3779B97F4A7C15
+_U = np.uint64
 
 
-def words(text: str) -> list[str]:
-    """Lower-case words; markup, entities, punctuation and white space only part them, emphasis marks inside a word do not."""
+def fold(text: str) -> str:
+    """Lower case; markup becomes spaces, entities what they stand for."""
     if "<" in text or "&" in text:
         text = _TAG.sub(lambda m: html.unescape(m[0]) if m[0][0] == "&" else " ", text)
-    return _WORD.findall(text.lower())
-
-
-def own_words(items: pd.DataFrame) -> dict[int, tuple[list[str], list[bool]]]:
-    """For each item its words and which of them belong to sentences that no other item has. Items without any own word are left out."""
-    parts = {}
-    for item, text in zip(items["item_id"], items["item_text"]):
-        if isinstance(text, str):
-            parts[int(item)] = [w for s in _SENTENCE.split(text) if s and (w := tuple(words(s)))]
-    held = Counter(s for p in parts.values() for s in set(p))
-    out = {}
-    for item, p in parts.items():
-        ws = [w for s in p for w in s]
-        mine = [held[s] == 1 for s in p for _ in s]
-        if any(mine):
-            out[item] = (ws, mine)
+    return text.lower()
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(c).isalnum() for c in range(0x3000)), bool, 0x3000)
+
+
+def _is_word(points: np.ndarray) -> np.ndarray:
+    """Whether code points are letters or digits; all others part words."""
+    out = _letters()[np.minimum(points, 0x2FFF)]
+    if points.max(initial=0) >= 0x3000:
+        high = points >= 0x3000
+        seen, back = np.unique(points[high], return_inverse=True)
+        out[high] = np.array([chr(c).isalnum() for c in seen.tolist()], bool)[back]
     return out
 
 
-def _gram_hashes(ids: np.ndarray) -> np.ndarray:
-    h = np.zeros(max(0, len(ids) - K + 1), "uint64")
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    ones = lambda b: np.concatenate([[_U(1)], np.full((1 << bits) - 1, b, "uint64")]).cumprod(dtype="uint64")
+    return ones(_U(_BASE)), ones(_U(pow(_BASE, -1, 1 << 64)))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> _U(32))
+
+
+def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of many texts, end to end, and the number of the text it is in.
+
+    Word hashes are differences of one running polynomial over all characters, so there is no loop over words.
+    """
+    folded = [fold(t) for t in texts]
+    points = np.frombuffer("\n".join([*folded, ""]).encode("utf-32-le", "surrogatepass"), "uint32")
+    if not len(points):
+        return np.zeros(0, "uint64"), np.zeros(0, "int64")
+    power, inverse = _powers(max(20, int(len(points)).bit_length()))
+    edge = np.diff(np.concatenate([[0], _is_word(points).view("int8")]))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    upto = np.concatenate([[_U(0)], ((points.astype("uint64") + _U(1)) * power[: len(points)]).cumsum(dtype="uint64")])
+    code = _mix((upto[end] - upto[start]) * inverse[start])
+    code[code == 0] = 1  # nought stands for no word
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in folded), "int64", len(folded)))
+    return code, np.searchsorted(ends, start, "right")
+
+
+def fingerprints(code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chosen hashes of K words and the places of their first words, over texts end to end.
+
+    Texts of fewer than WINDOW such hashes choose their least; those under K words none.
+    """
+    n = len(code) - K + 1
+    if n < 1:
+        return np.zeros(0, "uint64"), np.zeros(0, "int64")
+    h = np.zeros(n, "uint64")
     for j in range(K):
-        h = (h * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + len(h)].astype("uint64") + np.uint64(1)) ^ (h >> np.uint64(29))
-    return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def winnow(ids: np.ndarray) -> dict[int, list[int]]:
-    """Chosen fingerprints and their positions. Texts shorter than a window choose their least hash; under K words, none."""
-    h = _gram_hashes(ids)
-    if not len(h):
-        return {}
-    w = min(WINDOW, len(h))
-    view = np.lib.stride_tricks.sliding_window_view(h, w)
-    at = np.unique(np.arange(len(view)) + w - 1 - view[:, ::-1].argmin(1))
-    out = defaultdict(list)
-    for i in at.tolist():
-        out[int(h[i])].append(i)
-    return out
+        h = h * _U(_BASE) + code[j : j + n]
+    h = _mix(h)
+    whole = row[:n] == row[K - 1 :]
+    far = np.concatenate([np.where(whole, h, _U(2**64 - 1)), np.full(WINDOW - 1, 2**64 - 1, "uint64")])
+    view = np.lib.stride_tricks.sliding_window_view(far, WINDOW)
+    least = np.arange(n) + WINDOW - 1 - view[:, ::-1].argmin(1)
+    m = max(0, n - WINDOW + 1)
+    chosen = whole & np.concatenate([[True], row[1:n] != row[: n - 1]])  # a text's first: its window may be cut short by the K - 1 places behind
+    chosen[:m] |= whole[:m] & whole[WINDOW - 1 :] & (row[:m] == row[WINDOW - 1 : n])
+    at = np.unique(least[chosen])
+    return h[at], at
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about CHARS characters."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= CHARS:
+            yield a, i + 1
+            a, size = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
+def _signed(h: np.ndarray) -> np.ndarray:
+    return h.view("int64")
 
 
-def _triples(ids: np.ndarray) -> np.ndarray:
-    """A number for each RUN successive words."""
-    if len(ids) < RUN:
-        return np.zeros(0, "int64")
-    return (ids[:-2] * (1 << 21) + ids[1:-1]) * (1 << 21) + ids[2:]
-
-
-class Index:
-    """Fingerprints of a block of items, and the extension of hits."""
-
-    def __init__(self, items: dict[int, tuple[list[str], list[bool]]]) -> None:
-        self.vocab: dict[str, int] = {}
-        self.items = {}
-        self.prints: dict[int, set[int]] = defaultdict(set)
-        for item, (ws, mine) in items.items():
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], "int64")
-            own = np.array(mine)
-            self.items[item] = (ids, own, np.concatenate([[0], np.cumsum(own)]), _triples(ids))
-            for h, at in winnow(ids).items():
-                if any(own[i : i + K].any() for i in at):
-                    self.prints[h].add(item)
-
-    def search(self, text: str, share: float, altered: float) -> Iterator[tuple[int, float]]:
-        ids = np.array([self.vocab.get(w, 0) for w in words(text)], "int64")
-        known = ids > 0
-        if known.sum() < K:
-            return
-        # Only stretches of known words can hold a shared one.
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], known.view("int8"), [0]])))
-        found: set[int] = set()
-        for a, b in zip(edge[::2], edge[1::2]):
-            if b - a >= K:
-                for h in winnow(ids[a:b]):
-                    found |= self.prints.get(h, set())
-        if not found:
-            return
-        where = defaultdict(list)
-        for i, x in enumerate(ids.tolist()):
-            if x:
-                where[x].append(i)
-        doc, triples = ids.tolist(), np.unique(_triples(ids))
-        for item in found:
-            # A run has RUN equal words or more, so words outside common triples are in none: a bound on what extension can find.
-            _, own, upto, mine = self.items[item]
-            at = np.minimum(np.searchsorted(triples, mine), len(triples) - 1)
-            common = np.flatnonzero(triples[at] == mine)
-            held = np.zeros(len(own), bool)
-            for j in range(RUN):
-                held[common + j] = True
-            if held.sum() < share * (1 - 2 * altered) * upto[-1]:
-                continue
-            got = self._extend(item, doc, where, altered)
-            if got >= share:
-                yield item, got
-
-    def _extend(self, item: int, doc: list[int], where: dict[int, list[int]], altered: float) -> float:
-        """Largest share of the item's own words that one stretch of the text covers in order."""
-        ids, _, upto, _ = self.items[item]
-        total = int(upto[-1])
-        it = ids.tolist()
-        # Maximal runs of RUN equal words or more, as (place in item, place in text, length).
-        runs, seen = [], set()
-        for i in range(len(it) - RUN + 1):
-            for j in where.get(it[i], ()):
-                if doc[j + 1 : j + RUN] == it[i + 1 : i + RUN] and (i, j) not in seen:
-                    n = 0
-                    while i + n < len(it) and j + n < len(doc) and it[i + n] == doc[j + n]:
-                        seen.add((i + n, j + n))
-                        n += 1
-                    runs.append((i, j, n))
-        if not runs:
-            return 0.0
-        # Chains of runs that go forward in both with few altered words between; the best chain ending in each run.
-        runs.sort(key=lambda r: (r[1], r[0]))
-        starts = [r[1] for r in runs]
-        reach, best, top = 8, [], 0.0
-        for x, (i, j, n) in enumerate(runs):
-            first, equal = i, n
-            for y in range(bisect_left(starts, j - 400), x):
-                pi, pj, pn = runs[y]
-                gi, gj = i - pi - pn, j - pj - pn
-                if -1 <= gi <= reach and -1 <= gj <= reach and abs(gi - gj) <= 4:
-                    e = best[y][1] + n + min(gi, gj, 0)
-                    if e > equal:
-                        first, equal = best[y][0], e
-            best.append((first, equal))
-            span = i + n - first
-            covered = int(upto[i + n] - upto[first])
-            if equal >= (1 - 2 * altered) * span and covered:
-                top = max(top, covered / total)
-        return top
+def _text_prints(batches: Iterator[pd.DataFrame], id_: str) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        texts = pdf["text"].tolist()
+        for a, z in _parts(texts):
+            code, row = word_codes(texts[a:z])
+            h, at = fingerprints(code, row)
+            first = np.searchsorted(row, np.arange(z - a))
+            mine = row[at]
+            yield pd.DataFrame({id_: pdf[id_].iloc[a:z].iloc[mine].array, "h": pdf["h"].to_numpy()[a:z][mine], "j": at - first[mine], "print": _signed(h)})
+
+
+def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for item, text in zip(pdf["item_id"], pdf["item_text"]):
+            parts = _SENTENCE.split(text)
+            code, row = word_codes(parts)
+            for k in range(len(parts)):
+                ws = code[row == k]
+                if len(ws):
+                    weights = np.arange(1, 2 * len(ws), 2).astype("uint64")
+                    rows.append((item, k, int(_signed(_mix((ws * weights).cumsum(dtype="uint64")[-1:]))[0]), int(_signed((_mix(ws) * _mix(weights)).cumsum(dtype="uint64")[-1:])[0]), _signed(ws)))
+        yield pd.DataFrame(rows, columns=["item_id", "k", "s1", "s2", "ws"])
+
+
+def own_words(items: DataFrame) -> DataFrame:
+    """(item_id, ws, own): each item's words, as hashes, and which belong to sentences that no other item has.
+
+    Of rows with the same item_id the least text counts. Items without any own word are left out.
+    """
+    table = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("item_text").cast("string").alias("item_text"))
+    table = table.where("item_id is not null and item_text is not null").groupBy("item_id").agg(F.min("item_text").alias("item_text"))
+    parts = materialise(table.mapInPandas(_sentences, "item_id bigint, k int, s1 bigint, s2 bigint, ws array<bigint>"), "sentences")
+    held = parts.groupBy("s1", "s2").agg((F.min("item_id") == F.max("item_id")).alias("own"))
+    whole = parts.join(held, ["s1", "s2"]).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("k", "own", "ws"))).alias("p"))
+    out = whole.select("item_id", F.flatten(F.col("p.ws")).alias("ws"), F.flatten(F.transform("p", lambda x: F.array_repeat(x["own"], F.size(x["ws"])))).alias("own"))
+    return out.where(F.exists("own", lambda x: x))
+
+
+def _item_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for item, ws, own in zip(pdf["item_id"], pdf["ws"], pdf["own"]):
+            code, own = np.asarray(ws, "int64").view("uint64"), np.asarray(own, bool)
+            h, at = fingerprints(code, np.zeros(len(code), "int64"))
+            good = np.array([own[i : i + K].any() for i in at.tolist()], bool)
+            yield pd.DataFrame({"item_id": item, "words": len(code), "i": at[good], "print": _signed(h[good])})
+
+
+def _surroundings(batches: Iterator[pd.DataFrame], id_: str, altered: float) -> Iterator[pd.DataFrame]:
+    """For each row and item hit the words around its hits, stretches apart by words that equal none."""
+    between = np.zeros(GAP + 2, "uint64")
+    for pdf in batches:
+        texts = pdf["text"].tolist()
+        rows = []
+        for a, z in _parts(texts):
+            code, row = word_codes(texts[a:z])
+            first = np.searchsorted(row, np.arange(z - a + 1))
+            for t in range(a, z):
+                ws = code[first[t - a] : first[t - a + 1]]
+                spans = defaultdict(list)
+                for x in pdf["hits"].iloc[t]:
+                    slack = int(altered * x["words"]) + GAP
+                    spans[x["item_id"]].append((max(0, x["shift"] - slack), min(len(ws), x["shift"] + x["words"] + slack)))
+                for item, got in spans.items():
+                    got.sort()
+                    merged = [list(got[0])]
+                    for lo, hi in got[1:]:
+                        if lo <= merged[-1][1]:
+                            merged[-1][1] = max(merged[-1][1], hi)
+                        else:
+                            merged.append([lo, hi])
+                    near = np.concatenate([y for lo, hi in merged for y in (ws[lo:hi], between)])
+                    rows.append((pdf[id_].iloc[t], item, _signed(near)))
+        yield pd.DataFrame(rows, columns=[id_, "item_id", "near"])
+
+
+def runs(item: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Maximal runs of RUN equal words or more, as rows of (place in item, place in text, length), in order of the text."""
+    if min(len(item), len(doc)) < RUN:
+        return np.zeros((0, 3), "int64")
+    triple = lambda x: _mix((x[:-2] * _U(_BASE) + x[1:-1]) * _U(_BASE) + x[2:])
+    a, b = triple(item), triple(doc)
+    b[(doc[:-2] == 0) | (doc[1:-1] == 0) | (doc[2:] == 0)] = 0
+    order = np.argsort(b, kind="stable")
+    left, right = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    many = right - left
+    if many.sum() <= PAIRS:
+        i = np.repeat(np.arange(len(a)), many)
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(left, many)]
+        by = np.lexsort((i, j - i))
+        i, j = i[by], j[by]
+        head = np.ones(len(i), bool)
+        head[1:] = (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
+        start = np.flatnonzero(head)
+        found = np.stack([i[start], j[start], np.diff(np.append(start, len(i))) + RUN - 1], 1)
+    else:
+        some = []
+        for d in range(-(len(a) - 1), len(b)):
+            lo, hi = max(0, -d), min(len(a), len(b) - d)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], (a[lo:hi] == b[lo + d : hi + d]).view("int8"), [0]])))
+            some += [(lo + s, lo + s + d, e - s + RUN - 1) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())]
+        found = np.array(some, "int64").reshape(-1, 3)
+    return found[np.lexsort((found[:, 0], found[:, 1]))]
+
+
+def extend(item: np.ndarray, own: np.ndarray, doc: np.ndarray, altered: float) -> float:
+    """Largest share of the item's own words that one stretch of the text covers in order.
+
+    A stretch is a chain of runs that go forward in both, with up to GAP altered words between; an equal word counts 2 * altered, one
+    altered or missing 1 - 2 * altered against it, and a chain begins anew where nothing is left of what came before.
+    """
+    upto = np.concatenate([[0], np.cumsum(own)])
+    for_equal, against = 2 * altered, 1 - 2 * altered
+    ends: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
+    top = 0
+    for i, j, n in runs(item, doc).tolist():
+        first, score = i, for_equal * n
+        for end in range(j - GAP, j + 2):
+            for past, begun, had in ends.get(end, ()):
+                gi, gj = i - past, j - end
+                if -1 <= gi <= GAP and abs(gi - gj) <= GAP // 2:
+                    got = had + for_equal * (n + min(gi, gj, 0)) - against * max(gi, 0)
+                    if had - against * max(gi, 0) >= 0 and got > score:
+                        first, score = begun, got
+        ends[j + n].append((i + n, first, score))
+        top = max(top, int(upto[i + n] - upto[first]))
+    return top / int(upto[-1])
 
 
 def find_leaks(
@@ -171,26 +261,30 @@ def find_leaks(
     """(doc_id, item_id, share DOUBLE): each text that holds at least ``share`` of an item's own words in one stretch, in order.
 
     ``items`` has item_id and item_text. Up to ``altered`` of the words may be replaced or missing, and as many again are forgiven in
-    short stretches. Null and empty texts hold nothing; items without a sentence of their own can't leak; items without ``K`` words or
-    empty tables give no rows. Rows repeat as the documents' rows do: one per row of ``docs`` and item. Other columns are ignored.
+    short stretches; more than GAP altered words in a row end a stretch. Null and empty texts hold nothing; items without a sentence of
+    their own can't leak; items without ``K`` words or empty tables give no rows. Rows repeat as the documents' rows do: one per row of
+    ``docs`` and item. Texts and items are taken whole, whatever their length. Other columns are ignored.
     """
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)[doc_id]
-    schema = f"`{doc_id}` {kind}, item_id bigint, share double"
-    # The items are a stated query set of fixed size; ownership of sentences is settled over all of them before blocks are made.
-    # Its size is the caller's: the driver holds it once, a task holds one block.
-    table = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("item_text").cast("string").alias("item_text")).where("item_id is not null").dropDuplicates(["item_id"])
-    owned = sorted(own_words(table.toPandas()).items())
-    out = spark.createDataFrame([], schema)
-    for a in range(0, len(owned), BLOCK_ITEMS):
-        block = spark.sparkContext.broadcast(dict(owned[a : a + BLOCK_ITEMS]))
-
-        def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            index = Index(block.value)
-            for pdf in batches:
-                hits = [(d, i, s) for d, t in zip(pdf[doc_id], pdf[text]) if isinstance(t, str) and t for i, s in index.search(t, share, altered)]
-                yield pd.DataFrame(hits, columns=[doc_id, "item_id", "share"])
-
-        part = docs.select(doc_id, text).mapInPandas(run, schema)
-        out = part if a == 0 else out.unionByName(part)
-    return out
+    known = materialise(own_words(items), "items")
+    prints = materialise(known.mapInPandas(_item_prints, "item_id bigint, words int, i int, print bigint"), "prints")
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0).select("id", F.xxhash64("text").alias("h"), "text")
+    made = texts.mapInPandas(lambda b: _text_prints(b, "id"), f"id {kind}, h bigint, j int, print bigint")
+    # Rows of one id and text have the same hits: told by the text's hash, so that rows that repeat an id with another text stay apart.
+    hits = made.join(prints, "print").groupBy("id", "h").agg(F.collect_set(F.struct("item_id", "words", (F.col("j") - F.col("i")).alias("shift"))).alias("hits"))
+    hits = materialise(hits, "hits").withColumnsRenamed({"id": "id2", "h": "h2"})
+    hit = texts.join(hits, (texts["h"] == hits["h2"]) & texts["id"].eqNullSafe(hits["id2"])).select("id", "text", "hits")
+    near = hit.mapInPandas(lambda b: _surroundings(b, "id", altered), f"id {kind}, item_id bigint, near array<bigint>")
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = np.zeros(len(pdf))
+            for r, (ws, own, doc) in enumerate(zip(pdf["ws"], pdf["own"], pdf["near"])):
+                it, own, doc = np.asarray(ws, "int64").view("uint64"), np.asarray(own, bool), np.asarray(doc, "int64").view("uint64")
+                # Own words that the surroundings don't have are covered by no run: a bound on what extension can find.
+                if np.isin(it[own], doc).sum() >= share * (1 - 2 * altered) * own.sum():
+                    got[r] = extend(it, own, doc, altered)
+            keep = got >= share
+            yield pd.DataFrame({doc_id: pdf["id"][keep], "item_id": pdf["item_id"][keep], "share": got[keep]})
+
+    return near.join(known, "item_id").select("id", "item_id", "ws", "own", "near").mapInPandas(measure, f"`{doc_id}` {kind}, item_id bigint, share double")

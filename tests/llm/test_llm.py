@@ -113,23 +113,65 @@ def test_leaks(spark):
     assert leaks.find_leaks(corpus.limit(0), table).collect() == [] and leaks.find_leaks(corpus, table.limit(0)).collect() == []
 
 
-def test_winnowing_keeps_a_print_of_every_long_shared_stretch():
+def test_long_items_with_few_words_changed(spark):
+    rng = random.Random(21)
+    items = [(n, _item(rng, n).capitalize() + ".") for n in (300, 1200, 1500)]
+    changed = lambda t, at: " ".join("zz" if i in at else w for i, w in enumerate(t.split()))
+    docs = [(1, changed(items[0][1], (100, 200))), (2, changed(items[1][1], (500, 1000))), (3, changed(items[2][1], (500, 1000))), (4, "a a a " * 3000)]
+    table = spark.createDataFrame([*items, (7, "a " * 4000 + ".")], "item_id bigint, item_text string")
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), table).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 300), (2, 1200), (3, 1500), (4, 7)] and all(r.share == 1 for r in got)
+
+
+def test_prints_of_every_long_shared_stretch():
     rng = np.random.default_rng(9)
     for _ in range(200):
         span = rng.integers(1, 50, leaks.K + leaks.WINDOW - 1)
-        a = np.concatenate([rng.integers(50, 90, rng.integers(0, 9)), span, rng.integers(50, 90, rng.integers(0, 9))])
-        b = np.concatenate([rng.integers(90, 99, rng.integers(0, 9)), span, rng.integers(90, 99, rng.integers(0, 9))])
-        assert set(leaks.winnow(a)) & set(leaks.winnow(b))
-    assert leaks.winnow(np.arange(2)) == {}
-
-
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+        a = [rng.integers(50, 90, rng.integers(0, 9)), span, rng.integers(50, 90, rng.integers(0, 9))]
+        b = [rng.integers(90, 99, rng.integers(0, 9)), span, rng.integers(90, 99, rng.integers(0, 9))]
+        both = [np.concatenate(x).astype("uint64") for x in (a, b)]
+        code, row = np.concatenate(both), np.repeat([0, 1], [len(x) for x in both])
+        h, at = leaks.fingerprints(code, row)
+        assert set(h[row[at] == 0]) & set(h[row[at] == 1])
+        # Texts laid end to end leave what each leaves alone.
+        for k in (0, 1):
+            assert set(leaks.fingerprints(both[k], np.zeros(len(both[k]), int))[0]) == set(h[row[at] == k])
+    for n in range(8):
+        h, at = leaks.fingerprints(np.arange(1, n + 1).astype("uint64"), np.zeros(n, int))
+        assert (len(h) > 0) == (n >= leaks.K)
+
+
+def test_word_codes_part_words_like_text():
+    texts = ["Größe_und <b>Maß</b> 42x", "", "größe UND maß", "a&amp;b … c—d 日本 e", "x" * 50]
+    code, row = leaks.word_codes(texts)
+    assert np.bincount(row, minlength=5).tolist() == [4, 0, 3, 6, 1]
+    first = code[row == 0]
+    assert (first[:3] == code[row == 2]).all() and len(set(code.tolist())) == 11
+    assert len(leaks.word_codes([])[0]) == 0 and len(leaks.word_codes(["", "..."])[0]) == 0
+
+
+def test_runs_are_the_same_by_pairs_and_by_diagonals(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(1, 4, 60).astype("uint64"), rng.integers(0, 4, 90).astype("uint64")
+    got = leaks.runs(a, b)
+    monkeypatch.setattr(leaks, "PAIRS", 0)
+    assert len(got) > 20 and (leaks.runs(a, b) == got).all()
+    for i, j, n in got:
+        assert (a[i : i + n] == b[j : j + n]).all() and (b[j : j + n] > 0).all()
+
+
+def test_prints_joined_by_shuffle_give_the_same(spark):
     rng = random.Random(5)
-    items = [(i, _item(rng, 40).capitalize() + ".") for i in range(7)]
-    docs = spark.createDataFrame([(i, "x y z " + t) for i, t in items], "doc_id bigint, text string")
+    items = [(i, _item(rng, 40).capitalize() + ".") for i in range(7)] + [(7, "Same text. " + _item(rng, 9)), (7, "Same")]
+    docs = spark.createDataFrame([(i if i else None, "x y z " + t) for i, t in items], "doc_id bigint, text string")
     table = spark.createDataFrame(items, "item_id bigint, item_text string")
-    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 3)
-    assert sorted((r.doc_id, r.item_id) for r in leaks.find_leaks(docs, table).collect()) == [(i, i) for i in range(7)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = leaks.find_leaks(docs, table).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(i, i) for i in range(7)]
 
 
 # Mixing
