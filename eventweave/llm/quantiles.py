@@ -11,7 +11,7 @@ Digests of fewer than k rows are exact.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -167,8 +167,8 @@ def budget(eps: float) -> int:
     return math.ceil(BITS / eps)
 
 
-def _compressed(nodes: DataFrame, keys: list[str], eps: float) -> DataFrame:
-    """One digest per key from (keys, scale, level, node, top, n), in which a node may come several times.
+def _compressed(nodes: DataFrame, keys: list[str], eps: float, then: Callable[[pd.DataFrame], pd.DataFrame] | None = None, made: str = "") -> DataFrame:
+    """One digest per key from (keys, scale, level, node, top, n), in which a node may come several times; or what ``then`` makes of them.
 
     Nodes are added first, hashed by key and node, so that a hot key's rows lie in all partitions. Each partition compresses what it
     has of a key, and only these parts, of 3 * k nodes at most each, come together in one task.
@@ -181,7 +181,10 @@ def _compressed(nodes: DataFrame, keys: list[str], eps: float) -> DataFrame:
     run = lambda batches: (x[cols] for x in _streams(batches, by, k))
     summed = nodes.groupBy(*by, "level", "node").agg(F.max("top").alias("top"), F.sum("n").alias("n")).select(*cols)
     parts = summed.sortWithinPartitions(*by).mapInPandas(run, schema)
-    return parts.repartition(*keys).sortWithinPartitions(*by).mapInPandas(run, schema)
+    whole = parts.repartition(*keys).sortWithinPartitions(*by)
+    if then is None:
+        return whole.mapInPandas(run, schema)
+    return whole.mapInPandas(lambda batches: (then(x) for x in _streams(batches, by, k)), made)
 
 
 def digests(df: DataFrame, keys: list[str], values: list[str], eps: float = 0.01) -> DataFrame:
@@ -204,36 +207,35 @@ def merge(parts: DataFrame, keys: list[str], eps: float = 0.01) -> DataFrame:
 
 
 def quantiles(parts: DataFrame, keys: list[str], at: list[float], eps: float = 0.01) -> DataFrame:
-    """(keys, field, q, value DOUBLE, n, rank_error) for each digest and each q in ``at``.
+    """(keys, field, q, value DOUBLE, n, rank_error) for each key and field and each q in ``at``, of the union of its digests.
 
-    ``value`` is one of the data's own values. Of the n rows, want = max(1, ceil(q * n)) or more are no greater than it, and fewer than
-    want + rank_error are less. ``rank_error`` is what this digest itself leaves open there, BITS * floor(n / k) <= eps * n at most, and 0
-    where it is exact.
+    ``parts`` may hold one digest per key or many (of days, say), which are merged on the way. ``value`` is one of the data's own values.
+    Of the n rows, want = max(1, ceil(q * n)) or more are no greater than it, and fewer than want + rank_error are less. ``rank_error`` is
+    what the merged digest itself leaves open there, BITS * floor(n / k) <= eps * n at most, and 0 where it is exact.
     """
-    by = [*keys, "field", "scale"]
-    k = budget(eps)
-    whole = parts.select(*by, "level", "node", "top", "n").repartition(*keys, "field").sortWithinPartitions(*by)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _streams(batches, by, k):
-            head = _heads(pdf, by)
-            for rows in np.split(np.arange(len(pdf)), np.flatnonzero(head)[1:]):
-                level, node, top, n = (pdf[c].to_numpy("int64")[rows] for c in ("level", "node", "top", "n"))
-                mask = (np.int64(1) << np.minimum(level, 62)) - 1
-                mask = np.where(level == BITS, np.int64(2**63 - 1), mask)
-                low = node << level
-                high = low | mask
-                # By the end of a node's span, the shorter span first: what comes before a node lies in it or left of it.
-                order = np.lexsort((level, high))
-                upto = np.cumsum(n[order])
-                most = np.maximum.accumulate(top[order])
-                total = int(upto[-1])
-                want = np.maximum(1, np.ceil(np.asarray(at) * total - 1e-9).astype("int64"))
-                x = most[np.searchsorted(upto, want, "left")]
-                inner = level > 0
-                open_at = ((low[inner][None] < x[:, None]) & (high[inner][None] >= x[:, None])) * n[inner][None]
-                first = pdf[by].iloc[[rows[0]] * len(at)].reset_index(drop=True)
-                yield first[[*keys, "field"]].assign(q=np.asarray(at, float), value=code_values(x, first["scale"].to_numpy()), n=total, rank_error=open_at.sum(1).astype("int64"))
+    by, wanted = [*keys, "field", "scale"], np.asarray(at, float)
+
+    def read(pdf: pd.DataFrame) -> pd.DataFrame:
+        level, node, top, n = (pdf[c].to_numpy("int64") for c in ("level", "node", "top", "n"))
+        mask = np.where(level == BITS, np.int64(2**63 - 1), (np.int64(1) << np.minimum(level, 62)) - 1)
+        low = node << level
+        high = low | mask
+        head = np.flatnonzero(_heads(pdf, by))
+        values, errors, totals = [], [], []
+        for a, z in zip(head, np.append(head[1:], len(pdf))):
+            # By the end of a node's span, the shorter span first: what comes before a node lies in it or left of it.
+            order = a + np.lexsort((level[a:z], high[a:z]))
+            upto = np.cumsum(n[order])
+            want = np.maximum(1, np.ceil(wanted * upto[-1] - 1e-9).astype("int64"))
+            x = np.maximum.accumulate(top[order])[np.searchsorted(upto, want, "left")]
+            inner = a + np.flatnonzero(level[a:z] > 0)
+            values.append(x)
+            errors.append((((low[inner] < x[:, None]) & (high[inner] >= x[:, None])) * n[inner]).sum(1))
+            totals.append(np.full(len(wanted), upto[-1]))
+        first = pdf[by].iloc[np.repeat(head, len(wanted))].reset_index(drop=True)
+        value = code_values(np.concatenate(values), first["scale"].to_numpy())
+        return first[[*keys, "field"]].assign(q=np.tile(wanted, len(head)), value=value, n=np.concatenate(totals), rank_error=np.concatenate(errors).astype("int64"))
 
     kinds = dict(parts.dtypes)
-    return whole.mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "field string, q double, value double, n bigint, rank_error bigint"]))
+    made = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "field string, q double, value double, n bigint, rank_error bigint"])
+    return _compressed(parts.select(*by, "level", "node", "top", "n"), [*keys, "field"], eps, read, made)

@@ -25,8 +25,7 @@ def _daily_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of each symb, from the merged digests of its days and feeds."""
-    merged = quantiles.merge(_daily_digests(spark, sf_dir), ["symb"], EPS)
-    return quantiles.quantiles(merged, ["symb"], PERCENTS, EPS)
+    return quantiles.quantiles(_daily_digests(spark, sf_dir), ["symb"], PERCENTS, EPS)
 
 
 def p4_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
