@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from eventweave.session import materialise
 
@@ -171,24 +172,23 @@ def _item_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             code, own = np.asarray(ws, "int64").view("uint64"), np.asarray(own, bool)
             h, at = fingerprints(code, np.zeros(len(code), "int64"))
             good = np.array([own[i : i + K].any() for i in at.tolist()], bool)
-            yield pd.DataFrame({"item_id": item, "words": len(code), "i": at[good], "print": _signed(h[good])})
+            yield pd.DataFrame({"item_id": item, "words": len(code), "n_own": int(own.sum()), "i": at[good], "print": _signed(h[good])})
 
 
-def _surroundings(batches: Iterator[pd.DataFrame], id_: str, altered: float) -> Iterator[pd.DataFrame]:
+def _surroundings(batches: Iterator[pd.DataFrame], id_: str) -> Iterator[pd.DataFrame]:
     """For each row and item hit the words around its hits, stretches apart by words that equal none."""
     between = np.zeros(GAP + 2, "uint64")
     for pdf in batches:
         texts = pdf["text"].tolist()
-        rows = []
         for a, z in _parts(texts):
+            rows = []
             code, row = word_codes(texts[a:z])
             first = np.searchsorted(row, np.arange(z - a + 1))
             for t in range(a, z):
                 ws = code[first[t - a] : first[t - a + 1]]
                 spans = defaultdict(list)
                 for x in pdf["hits"].iloc[t]:
-                    slack = int(altered * x["words"]) + GAP
-                    spans[x["item_id"]].append((max(0, x["shift"] - slack), min(len(ws), x["shift"] + x["words"] + slack)))
+                    spans[x["item_id"]].append((max(0, x["lo"]), min(len(ws), x["hi"])))
                 for item, got in spans.items():
                     got.sort()
                     merged = [list(got[0])]
@@ -199,16 +199,39 @@ def _surroundings(batches: Iterator[pd.DataFrame], id_: str, altered: float) ->
                             merged.append([lo, hi])
                     near = np.concatenate([y for lo, hi in merged for y in (ws[lo:hi], between)])
                     rows.append((pdf[id_].iloc[t], item, _signed(near)))
-        yield pd.DataFrame(rows, columns=[id_, "item_id", "near"])
+            yield pd.DataFrame(rows, columns=[id_, "item_id", "near"])
+
+
+def _dense(hits: DataFrame, share: float, altered: float) -> DataFrame:
+    """(id, h, hits) of the texts in which an item's hits lie close enough together, hits being spans of words around them.
+
+    A stretch of L words of the item of which a share of ``altered`` is altered has at least (L * (1 - 6 * altered) - 5) / 3 hits: each altered
+    word parts two unaltered runs, and a run of R words keeps (R - 5) / 3 fingerprints. The places of a stretch's hits differ, between
+    text and item, by no more than the altered words, so hits are counted in bins of that width and each is taken with its neighbours.
+    """
+    width = F.ceil(F.col("words") * altered).cast("int") + GAP
+    binned = hits.withColumn("bin", F.floor((F.col("j") - F.col("i")) / width).cast("int")).groupBy("id", "h", "item_id", "words", "n_own", "bin").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("id", "h", "item_id").orderBy("bin").rangeBetween(-1, 1)
+    need = F.ceil((F.col("n_own") * share * (1 - (K + WINDOW - 1) * altered) - (K + WINDOW - 2)) / WINDOW)
+    near = binned.withColumn("around", F.sum("n").over(order)).where(F.col("around") >= need)
+    span = F.struct("item_id", ((F.col("bin") - 1) * width).alias("lo"), ((F.col("bin") + 2) * width + F.col("words")).alias("hi"))
+    return near.groupBy("id", "h").agg(F.collect_list(span).alias("hits"))
+
+
+def triples(ws: np.ndarray) -> np.ndarray:
+    """A hash for each RUN successive words; nought where one of them is no word."""
+    if len(ws) < RUN:
+        return np.zeros(0, "uint64")
+    h = _mix((ws[:-2] * _U(_BASE) + ws[1:-1]) * _U(_BASE) + ws[2:])
+    h[(ws[:-2] == 0) | (ws[1:-1] == 0) | (ws[2:] == 0)] = 0
+    return h
 
 
 def runs(item: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Maximal runs of RUN equal words or more, as rows of (place in item, place in text, length), in order of the text."""
-    if min(len(item), len(doc)) < RUN:
+    a, b = triples(item), triples(doc)
+    if not len(a) or not len(b):
         return np.zeros((0, 3), "int64")
-    triple = lambda x: _mix((x[:-2] * _U(_BASE) + x[1:-1]) * _U(_BASE) + x[2:])
-    a, b = triple(item), triple(doc)
-    b[(doc[:-2] == 0) | (doc[1:-1] == 0) | (doc[2:] == 0)] = 0
     order = np.argsort(b, kind="stable")
     left, right = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
     many = right - left
@@ -267,22 +290,26 @@ def find_leaks(
     """
     kind = dict(docs.dtypes)[doc_id]
     known = materialise(own_words(items), "items")
-    prints = materialise(known.mapInPandas(_item_prints, "item_id bigint, words int, i int, print bigint"), "prints")
+    prints = materialise(known.mapInPandas(_item_prints, "item_id bigint, words int, n_own int, i int, print bigint"), "prints")
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0).select("id", F.xxhash64("text").alias("h"), "text")
     made = texts.mapInPandas(lambda b: _text_prints(b, "id"), f"id {kind}, h bigint, j int, print bigint")
+    hits = _dense(made.join(prints, "print"), share, altered)
     # Rows of one id and text have the same hits: told by the text's hash, so that rows that repeat an id with another text stay apart.
-    hits = made.join(prints, "print").groupBy("id", "h").agg(F.collect_set(F.struct("item_id", "words", (F.col("j") - F.col("i")).alias("shift"))).alias("hits"))
     hits = materialise(hits, "hits").withColumnsRenamed({"id": "id2", "h": "h2"})
     hit = texts.join(hits, (texts["h"] == hits["h2"]) & texts["id"].eqNullSafe(hits["id2"])).select("id", "text", "hits")
-    near = hit.mapInPandas(lambda b: _surroundings(b, "id", altered), f"id {kind}, item_id bigint, near array<bigint>")
+    near = hit.mapInPandas(lambda b: _surroundings(b, "id"), f"id {kind}, item_id bigint, near array<bigint>")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = np.zeros(len(pdf))
             for r, (ws, own, doc) in enumerate(zip(pdf["ws"], pdf["own"], pdf["near"])):
                 it, own, doc = np.asarray(ws, "int64").view("uint64"), np.asarray(own, bool), np.asarray(doc, "int64").view("uint64")
-                # Own words that the surroundings don't have are covered by no run: a bound on what extension can find.
-                if np.isin(it[own], doc).sum() >= share * (1 - 2 * altered) * own.sum():
+                # Own words outside common triples are in no run: a bound on what extension can find.
+                common = np.flatnonzero(np.isin(triples(it), triples(doc)))
+                held = np.zeros(len(own), bool)
+                for d in range(RUN):
+                    held[common + d] = True
+                if (held & own).sum() >= share * (1 - 2 * altered) * own.sum():
                     got[r] = extend(it, own, doc, altered)
             keep = got >= share
             yield pd.DataFrame({doc_id: pdf["id"][keep], "item_id": pdf["item_id"][keep], "share": got[keep]})
