@@ -69,7 +69,7 @@ def tie_break_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heartbeat_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and hourly beats in a window, numbered."""
     run = Run(START, END).source(_source(spark, sf_dir)).source(HeartbeatSource("hb", {BEATS: None}, "BEAT", HOUR, START))
-    return with_position(run.plan(spark).events).select("pos", "topic", "key", "t")
+    return with_position(run.plan(spark).events.select("ord", "topic", "key", "t")).select("pos", "topic", "key", "t")
 
 
 def window_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,16 +116,15 @@ def _echoed(spark: SparkSession, sf_dir: str, delay: int) -> DataFrame:
     topic = Topic("orders", kind)
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("prio"), ms("o_orderdate").alias("t"), F.col("o_orderkey").alias("id"))
     # The source's order is that of its times, so that the guard keeps all.
-    ordered = with_position(orders.withColumn("o", F.array("t", "id")), "o", "place")
-    source = FrameSource("orders", {topic: None}, ordered, {"prio": "prio", "t": "t", "id": "id"}, ["place"])
+    source = FrameSource("orders", {topic: None}, orders, {"prio": "prio", "t": "t", "id": "id"}, ["t", "id"])
     run = Run(0, 4_102_444_800_000).source(source).actor(echo("echo", topic, ECHOES, delay_ms=delay, keys=["1-URGENT"]))
-    return with_position(run.plan(spark).events)
+    return with_position(run.plan(spark).events.select("ord", "topic", "key", "t"))
 
 
 def delayed_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Echoes six hours later, those within the window only, also after the last source event."""
     run = Run(START, END).source(_source(spark, sf_dir)).actor(echo("echo", STREAM, ECHOES, delay_ms=6 * HOUR))
-    return with_position(run.plan(spark).events).select("pos", "topic", "key", "t")
+    return with_position(run.plan(spark).events.select("ord", "topic", "key", "t")).select("pos", "topic", "key", "t")
 
 
 def _shift(name: str, events: DataFrame) -> dict[str, DataFrame]:
@@ -145,13 +144,13 @@ def causality_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_hop_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An echo at the same tick and a later echo of the echo."""
     run = Run(START, END).source(_source(spark, sf_dir)).actor(echo("one", STREAM, ECHOES, keys=["error"])).actor(echo("two", ECHOES, SECOND, delay_ms=1000))
-    return with_position(run.plan(spark).events).select("pos", "topic", "key", "t", "gen")
+    return with_position(run.plan(spark).events.select("ord", "topic", "key", "t", "gen")).select("pos", "topic", "key", "t", "gen")
 
 
 def printer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An actor's running count of its deliveries per key."""
     run = Run(START, END).source(_source(spark, sf_dir)).actor(ColumnarActor("printer", {STREAM: None}))
-    return with_position(run.plan(spark).deliveries, by=["target", "key"], out="seen").select("target", "key", "t", "seen")
+    return with_position(run.plan(spark).deliveries.select("ord", "target", "key", "t"), by=["target", "key"], out="seen").select("target", "key", "t", "seen")
 
 
 def unrouted_positions(spark: SparkSession, sf_dir: str) -> DataFrame:

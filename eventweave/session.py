@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Scratch folders made where the session names none, and paths written, by application.
+#: Scratch folders made where the session names none, and paths written with the thread that did, by application.
 _own: dict[str, str] = {}
-_written: dict[str, list[str]] = {}
+_written: dict[str, list[tuple[int, str]]] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, scratch: str | None = None) -> SparkSession:
@@ -32,9 +33,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, scratch:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="eventweave-")
@@ -44,14 +47,22 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append((threading.get_ident(), path))
     return path
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what this application wrote to the scratch folder. Only once no frame that reads it is needed any more."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def scratch_mark(spark: SparkSession) -> int:
+    """A point in what was written, for `clear_scratch`."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def clear_scratch(spark: SparkSession, mark: int | None = None) -> None:
+    """Deletes what this application wrote to the scratch folder; with a mark, what this thread wrote since. Only once no frame that reads it is needed any more."""
+    held, me = _written.get(spark.sparkContext.applicationId, []), threading.get_ident()
+    gone = list(held) if mark is None else [x for x in held[mark:] if x[0] == me]
+    for x in gone:
+        held.remove(x)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x[1])
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 

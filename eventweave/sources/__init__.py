@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import json
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from eventweave.functions.codec import parse, parse_tagged, type_id
-from eventweave.operators.merge import in_window, until_stop
+from eventweave.operators.actors import check_payload
+from eventweave.operators.merge import in_window
+from eventweave.session import materialise
 from eventweave.topics import HEART_BEAT, Topic
 
 
@@ -38,6 +41,10 @@ class Source:
     def read(self, spark: SparkSession, start: int, end: int) -> Read:
         raise NotImplementedError
 
+    def stream(self, spark: SparkSession, start: int, end: int) -> list[DataFrame]:
+        """Live events (topic, key, t, json), a frame per topic."""
+        raise NotImplementedError(f"{type(self).__name__} has no live form")
+
     def _envelope(self, df: DataFrame, topic: Topic, payload: Column, *seq: Column) -> DataFrame:
         made = df.select(payload.alias("payload"), *[s.cast("bigint").alias("seq" if i == 0 else f"seq{i}") for i, s in enumerate(seq)])
         kind = topic.payload
@@ -108,13 +115,21 @@ class JsonlSource(Source):
             keys = self.topics[topic]
             mine = payload[topic.payload.key].isin(*keys) if keys is not None else F.lit(True)
             late = late | F.coalesce(mine & (payload[topic.payload.time] > z), F.lit(False))
-        first_bad = lines.where(broken).agg(F.min("at")).first()[0]
-        kept = until_stop(lines, "at", broken | late)
+        first = lines.agg(F.min(F.when(broken, F.col("at"))).alias("broken"), F.min(F.when(late, F.col("at"))).alias("late")).first()
+        stop = min((x for x in first if x is not None), default=None)
+        kept = lines if stop is None else lines.where(F.col("at") < F.lit(stop))
         frames = {}
         for topic, payload in kinds.items():
             rows = kept.withColumn("p", payload).where("p is not null")
             frames[topic.name] = in_window(self._envelope(rows, topic, F.col("p"), F.col("at")), a, None)
-        return Read(frames, None if first_bad is None else f"broken line in {self.path}")
+        # A broken line behind the reader's own stop is never met.
+        failed = first.broken is not None and (first.late is None or first.broken < first.late)
+        return Read(frames, f"broken line in {self.path}" if failed else None)
+
+    def stream(self, spark: SparkSession, start: int, end: int) -> list[DataFrame]:
+        from eventweave.streaming.live import live_jsonl
+
+        return [live_jsonl(spark, topic, self.path, keys, tagged=self.tagged) for topic, keys in self.topics.items()]
 
 
 @dataclass
@@ -136,37 +151,49 @@ class HeartbeatSource(Source):
         struct = F.struct(F.lit(self.key).alias(HEART_BEAT.key), F.col("id").alias(HEART_BEAT.time))
         return Read({topic.name: self._envelope(beats, topic, struct, F.col("id"))})
 
+    def stream(self, spark: SparkSession, start: int, end: int) -> list[DataFrame]:
+        from eventweave.streaming.live import live_heartbeats
+
+        (topic,) = self.topics
+        return [live_heartbeats(spark, topic, self.key, self.period_ms, self.first, end if self.end is None else self.end)]
+
 
 @dataclass
 class IterableSource(Source):
     """Events of a Python iterable of (topic name, payload dict), in the order yielded.
 
     A topic it doesn't declare, a payload without its required fields or an exception ends the source; what came before stays. The
-    iterable runs on the driver, so it is for generated and small inputs; larger ones belong into files or frames.
+    iterable is run once, in one task, and written as it comes, a chunk at a time: neither the driver nor the task holds it whole. If
+    that task is lost, the iterable is run again, so it should yield the same each time.
     """
 
     produce: Callable[[], Iterable[tuple[str, dict[str, Any]]]] = tuple
+    chunk: int = 10_000
 
     def read(self, spark: SparkSession, start: int, end: int) -> Read:
-        by_name = {t.name: t for t in self.topics}
-        rows: dict[str, list[tuple]] = {n: [] for n in by_name}
-        failure = None
-        try:
-            for i, (name, payload) in enumerate(self.produce()):
-                topic = by_name.get(name)
-                if topic is None:
-                    raise KeyError(f"unknown topic {name!r}")
-                kind = topic.payload
-                if gone := [c for c in (kind.key, kind.time, *kind.required) if payload.get(c) is None]:
-                    raise ValueError(f"{kind.type_id} lacks {gone}")
-                for a, b in kind.parallel:
-                    if payload.get(b) is not None and len(payload[a]) != len(payload[b]):
-                        raise ValueError(f"{a} and {b} differ in length")
-                rows[name].append((i, tuple(payload.get(f) for f in kind.schema.fieldNames())))
-        except Exception as x:  # noqa: BLE001
-            failure = f"{type(x).__name__}: {x}"
+        kinds, produce, chunk = {t.name: t.payload for t in self.topics}, self.produce, self.chunk
+        columns = ["seq", "topic", "json", "failure"]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for _ in batches:
+                rows: list[tuple] = []
+                try:
+                    for i, (name, payload) in enumerate(produce()):
+                        if name not in kinds:
+                            raise KeyError(f"unknown topic {name!r}")
+                        check_payload(kinds[name], payload)
+                        rows.append((i, name, json.dumps(payload, default=str), None))
+                        if len(rows) >= chunk:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                except Exception as x:  # noqa: BLE001
+                    rows.append((None, None, None, f"{type(x).__name__}: {x}"))
+                yield pd.DataFrame(rows, columns=columns).astype({"seq": "Int64"})
+
+        made = materialise(spark.range(0, 1, 1, 1).mapInPandas(run, "seq bigint, topic string, json string, failure string"), "iterable")
+        lost = made.where("failure is not null").select("failure").first()
         frames = {}
-        for name, topic in by_name.items():
-            schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("payload", topic.payload.schema)])
-            frames[name] = self._envelope(spark.createDataFrame(rows[name], schema), topic, F.col("payload"), F.col("seq"))
-        return Read(frames, failure)
+        for topic in self.topics:
+            rows = made.where(F.col("topic") == topic.name).select("seq", parse(F.col("json"), topic.payload).alias("payload"))
+            frames[topic.name] = self._envelope(rows.where("payload is not null"), topic, F.col("payload"), F.col("seq"))
+        return Read(frames, None if lost is None else lost.failure)

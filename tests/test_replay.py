@@ -14,7 +14,7 @@ from eventweave.functions import codec
 from eventweave.operators.actors import ColumnarActor, Component, RowActor, Unbound, echo
 from eventweave.operators.merge import monotonic_guard, with_position
 from eventweave.operators.routing import RouteConflict
-from eventweave.plans.run import Mode, Run, RunFailed, Status, mode_of
+from eventweave.plans.run import Mode, NotOver, Run, RunFailed, Status, mode_of
 from eventweave.report import CallbackReporter, ComponentReporter, ReportLevel, set_default_reporter
 from eventweave.sources import FrameSource, HeartbeatSource, IterableSource, JsonlSource
 from eventweave.sources.sinks import CallbackSink, FrameSink, JsonlSink, ParquetSink, PrintSink
@@ -236,9 +236,169 @@ class Counter(Component):
 def test_row_actor_life(spark):
     run = Run(S, S + 9000).source(messages("m", ONE, [1000, 2000, 3000])).actor(RowActor("c", {ONE: None}, {ECHO: None}, make=Counter))
     got = run.plan(spark).events.where("topic = 'echo'").sort("ord").collect()
-    assert [(r.key, r.t - S, json.loads(r.json)["text"]) for r in got] == [("start", 0, "start"), ("stop", 3000, "3")]
+    # What is published at shutdown comes behind the last event: it is noted, and heard by nobody.
+    assert [(r.key, r.t - S, json.loads(r.json)["text"]) for r in got] == [("start", 0, "start")]
+    late = lambda plan: [(r.kind, json.loads(r.message.split(": ", 1)[1])["msgTime"] - S) for r in plan.errors.collect()]
+    assert late(run.plan(spark)) == [("late", 3000)]
     idle = Run(S, S + 9000).source(messages("m", ONE, [])).actor(RowActor("c", {ONE: None}, {ECHO: None}, make=Counter)).plan(spark)
-    assert [(r.key, r.t - S) for r in idle.events.sort("ord").collect()] == [("start", 0), ("stop", 9000)]
+    assert [(r.key, r.t - S) for r in idle.events.sort("ord").collect()] == [("start", 0)] and late(idle) == [("late", 0)]
+
+
+class Logs(Component):
+    """Writes its life to a file, one line per call."""
+
+    def __init__(self, path, name, fails=""):
+        self.path, self.name, self.fails = path, name, fails
+
+    def note(self, what):
+        with open(self.path, "a") as f:
+            f.write(f"{self.name} {what}\n")
+        if what.split()[0] == self.fails:
+            raise RuntimeError("fails")
+
+    def on_startup(self, start_ms):
+        self.note(f"start {start_ms - S}")
+
+    def on_event(self, topic, payload):
+        self.note("event")
+
+    def on_shutdown(self, last_ms):
+        self.note(f"stop {last_ms - S}")
+
+    def on_abort(self):
+        self.note("abort")
+
+
+class Bare:
+    """No base, no life-cycle calls, no publishing."""
+
+    __slots__ = ()
+
+    def on_event(self, topic, payload):
+        assert payload["text"]
+
+
+def test_life_cycle_times_and_order(spark, tmp_path):
+    log = str(tmp_path / "log")
+    logs = lambda name, fails="": lambda: Logs(log, name, fails)
+    run = Run(S, S + 9000).source(messages("m", ONE, [1000])).source(messages("n", TWO, [5000]))
+    # "high" goes first in dispatch, but starts and ends as registered; the shutdown has the run's last time, an echo's.
+    run.actor(RowActor("low", {ONE: None}, {}, make=logs("low"))).actor(RowActor("high", {ONE: None}, {}, True, make=logs("high"))).actor(echo("e", TWO, ECHO, delay_ms=2000)).actor(RowActor("bare", {ONE: None}, make=Bare))
+    result = run.execute(spark)
+    lines = open(log).read().split("\n")[:-1]
+    assert run.status is Status.COMPLETE and result.errors.count() == 0 and result.last_time == S + 7000
+    assert sorted(lines[:4]) == ["high event", "high start 0", "low event", "low start 0"] and sorted(lines[4:]) == ["high stop 7000", "low stop 7000"]
+    open(log, "w").close()
+    # Members of a cycle share a task: here the order of calls shows.
+    pair = Run(S, S + 9000).source(messages("m", ONE, [1000]))
+    pair.actor(RowActor("low", {ONE: None, ECHO: None}, {ECHO: None}, make=logs("low"))).actor(RowActor("high", {ONE: None, ECHO: None}, {ECHO: None}, True, make=logs("high"))).plan(spark)
+    assert open(log).read().split("\n")[:-1] == ["low start 0", "high start 0", "high event", "low event", "low stop 1000", "high stop 1000"]
+
+
+def test_failed_start_end_and_sink_abort_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for fails, want in (("start", ["a start 0", "a abort"]), ("stop", ["a start 0", "a event", "a stop 1000", "a abort", "a abort"])):
+        open(log, "w").close()
+        run = Run(S, S + 9000).source(messages("m", ONE, [1000])).actor(RowActor("a", {ONE: None}, make=lambda fails=fails: Logs(log, "a", fails)))
+        with pytest.raises(RunFailed, match="fails"):
+            run.execute(spark)
+        assert run.status is Status.STOPPED and open(log).read().split("\n")[:-1] == want
+    open(log, "w").close()
+
+    def handler():
+        def handle(kind, topic, text, t):
+            if kind == "DATA":
+                raise RuntimeError("sink")
+
+        return handle
+
+    run = Run(S, S + 9000).source(messages("m", ONE, [1000])).actor(RowActor("a", {ONE: None}, make=lambda: Logs(log, "a"))).sink(CallbackSink("s", handler), ONE)
+    with pytest.raises(RunFailed):
+        run.execute(spark)
+    assert run.status is Status.STOPPED and open(log).read().split("\n")[:-1] == ["a start 0", "a event", "a abort"]
+
+
+class Sloppy(Component):
+    def on_event(self, topic, payload):
+        n = payload["msgTime"] - S
+        self.publish("echo", {1000: {"msgKey": "A", "msgTime": S + n}, 2000: {"msgKey": None, "msgTime": S + n, "text": "x"}, 3000: {"msgKey": "A", "msgTime": S + n, "text": "fine"}}[n])
+
+
+def test_invalid_publishes_become_error_rows(spark):
+    plan = Run(S, S + 9000).source(messages("m", ONE, [1000, 2000, 3000])).actor(RowActor("s", {ONE: None}, {ECHO: None}, make=Sloppy)).plan(spark)
+    assert ordered(plan.events.where("topic = 'echo'")) == [("echo", 3000)]
+    assert sorted((r.t - S, r.kind) for r in plan.errors.collect()) == [(1000, "error"), (2000, "error")]
+
+    def fn(name, events):
+        payload = F.struct(F.when(F.col("t") == S + 1000, "A").alias("msgKey"), F.col("t").alias("msgTime"), F.lit("x").alias("text"))
+        return {"echo": events.select("ord", "t", F.lit(0).cast("bigint").alias("emit"), payload.alias("payload"))}
+
+    plan = Run(S, S + 9000).source(messages("m", ONE, [1000, 2000])).actor(ColumnarActor("c", {ONE: None}, {ECHO: None}, fn=fn)).plan(spark)
+    assert ordered(plan.events.where("topic = 'echo'")) == [("echo", 1000)] and [(r.t - S, r.kind) for r in plan.errors.collect()] == [(2000, "error")]
+
+
+class Tally(Component):
+    """Counts what it hears and passes the count on, to its partner's topic."""
+
+    def __init__(self, out, key=None):
+        self.out, self.key, self.n = out, key, 0
+
+    def on_event(self, topic, payload):
+        self.n += 1
+        if topic == "one":
+            self.publish(self.out, {"msgKey": self.key or payload["msgKey"], "msgTime": payload["msgTime"], "text": f"{payload['msgKey']}{self.n}"})
+
+
+def test_components_by_key_in_a_cycle(spark):
+    three = Topic("three", TEXT_MESSAGE)
+    source = IterableSource("m", {ONE: None}, lambda: [("one", {"msgKey": k, "msgTime": S + i, "text": "x"}) for i, k in enumerate("ABA")])
+
+    def run(by_key=(True, True), key=None):
+        pair = Run(S, S + 9000).source(source).actor(RowActor("p", {ONE: None, three: None}, {ECHO: None}, make=lambda: Tally("echo", key), by_key=by_key[0]))
+        return pair.actor(RowActor("q", {ECHO: None}, {three: None}, make=lambda: Tally("three"), by_key=by_key[1])).plan(spark)
+
+    texts = lambda plan: [json.loads(r.json)["text"] for r in plan.events.where("topic = 'echo'").sort("ord").collect()]
+    assert texts(run()) == ["A1", "B1", "A2"] and texts(run((False, False))) == ["A1", "B2", "A3"]
+    with pytest.raises(ValueError, match="all have components by key"):
+        run((True, False))
+    # In a cycle by key a component may publish for its own key only.
+    other = run(key="A")
+    assert texts(other) == ["A1", "A2"] and [r.message.split(": ")[0] for r in other.errors.collect()] == ["ValueError"]
+
+
+def test_window_that_is_not_over_is_live(spark):
+    with pytest.raises(NotOver):
+        Run(S, 4_102_444_800_000).source(messages("m", ONE, [1])).execute(spark)
+    assert Run(S, S + 9).mode is Mode.COMPRESSED_TIME
+
+
+def test_broken_line_behind_the_readers_stop_is_never_met(spark, tmp_path):
+    lines = [{"msgKey": "A", "msgTime": S + t, "text": "x"} for t in (10, 20, 999, 30)] + ["broken"]
+    plan = Run(S, S + 100).source(JsonlSource("r", {ONE: None}, jsonl(tmp_path / "f.jsonl", lines))).plan(spark)
+    assert ordered(plan.events) == [("one", 10), ("one", 20)] and plan.failed_sources == {}
+
+
+def test_isolating_sink_notes_what_it_passes_over(spark):
+    def handler():
+        def handle(kind, topic, text, t):
+            if t == S + 3500:
+                raise RuntimeError("sink")
+
+        return handle
+
+    run = Run(S, S + 6000).source(HeartbeatSource("b", {HB: None}, "BEAT", 2000, S + 1500)).sink(CallbackSink("s", handler, on_error="isolate"), HB)
+    assert [(r.actor, r.t - S, r.message) for r in run.execute(spark).errors.collect()] == [("s", 3500, "RuntimeError: sink")]
+
+
+def test_guard_over_sparse_places(spark):
+    rng = random.Random(2)
+    rows = [(n, rng.randint(0, 500) + i) for i, n in enumerate(sorted({rng.randrange(-(2**62), 2**62) for _ in range(400)}))]
+    top, want = None, []
+    for n, t in rows:
+        if top is None or t >= top:
+            want.append(n)
+            top = t
+    assert sorted(r.seq for r in monotonic_guard(spark.createDataFrame(rows, "seq bigint, t bigint"), "seq").collect()) == want
 
 
 def test_frames_and_other_sinks(spark, tmp_path):
