@@ -1,14 +1,16 @@
 """Evaluation passages in training texts: winnowed word fingerprints, joined, and the hits extended where they lie.
 
 Of the hashes of K words at each position, the least in each window of WINDOW positions is kept, so any shared stretch of
-WINDOW + K - 1 words leaves the same fingerprint in both texts. The fingerprints of both sides are joined by Catalyst: the items' are
-a written table, so that its size is known, and are broadcast under the threshold or joined by shuffle beyond. Texts are taken apart in
-one vectorized pass, however many items there are; only the surroundings of hits are compared word by word.
+WINDOW + K - 1 words leaves the same fingerprint in both texts. Texts are taken apart in vectorized passes, however many items there are,
+and only the surroundings of hits are compared word by word. Fingerprints of both sides are joined in one of two ways with the same
+result: while all items together have up to AT_HAND words (counted first), each task has them at hand, the texts are read once and
+nothing is shuffled; beyond, fingerprints, hits and the texts that have hits are joined by Catalyst.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,6 +27,8 @@ from eventweave.session import materialise
 K, WINDOW = 4, 3
 #: Equal words that make a run in the extension of a hit, and the altered words that may lie between two runs.
 RUN, GAP = 3, 8
+#: Up to so many words of items in all are sent to every executor (17 bytes each, and half as many fingerprints); more are joined by shuffle.
+AT_HAND = 4_000_000
 #: Characters taken apart together.
 CHARS = 1_000_000
 #: Pairs of equal places compared at once; beyond, runs are found diagonal by diagonal.
@@ -166,18 +170,42 @@ def own_words(items: DataFrame) -> DataFrame:
     return out.where(F.exists("own", lambda x: x))
 
 
+def _own_prints(code: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of an item that hold an own word, and their places."""
+    h, at = fingerprints(code, np.zeros(len(code), "int64"))
+    upto = np.concatenate([[0], np.cumsum(own)])
+    good = upto[at + K] > upto[at]
+    return h[good], at[good]
+
+
+def _need(n_own: int, share: float, altered: float) -> int:
+    """Hits that a stretch of ``share`` of an item's own words has at least; see `_dense`."""
+    return math.ceil((n_own * share * (1 - (K + WINDOW - 1) * altered) - (K + WINDOW - 2)) / WINDOW)
+
+
 def _item_prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for item, ws, own in zip(pdf["item_id"], pdf["ws"], pdf["own"]):
             code, own = np.asarray(ws, "int64").view("uint64"), np.asarray(own, bool)
-            h, at = fingerprints(code, np.zeros(len(code), "int64"))
-            good = np.array([own[i : i + K].any() for i in at.tolist()], bool)
-            yield pd.DataFrame({"item_id": item, "words": len(code), "n_own": int(own.sum()), "i": at[good], "print": _signed(h[good])})
+            h, at = _own_prints(code, own)
+            yield pd.DataFrame({"item_id": item, "words": len(code), "n_own": int(own.sum()), "i": at, "print": _signed(h)})
+
+
+def _near(ws: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """The words within any of the spans, stretches apart by words that equal none."""
+    out: list[np.ndarray] = []
+    end = -1
+    for lo, hi in sorted((max(0, lo), min(len(ws), hi)) for lo, hi in spans):
+        if lo > end and out:
+            out.append(np.zeros(GAP + 2, "uint64"))
+        if hi > max(lo, end):
+            out.append(ws[max(lo, end) if end >= lo else lo : hi])
+            end = hi
+    return np.concatenate(out) if out else np.zeros(0, "uint64")
 
 
 def _surroundings(batches: Iterator[pd.DataFrame], id_: str) -> Iterator[pd.DataFrame]:
-    """For each row and item hit the words around its hits, stretches apart by words that equal none."""
-    between = np.zeros(GAP + 2, "uint64")
+    """For each row and item hit the words around its hits."""
     for pdf in batches:
         texts = pdf["text"].tolist()
         for a, z in _parts(texts):
@@ -185,20 +213,11 @@ def _surroundings(batches: Iterator[pd.DataFrame], id_: str) -> Iterator[pd.Data
             code, row = word_codes(texts[a:z])
             first = np.searchsorted(row, np.arange(z - a + 1))
             for t in range(a, z):
-                ws = code[first[t - a] : first[t - a + 1]]
                 spans = defaultdict(list)
                 for x in pdf["hits"].iloc[t]:
-                    spans[x["item_id"]].append((max(0, x["lo"]), min(len(ws), x["hi"])))
+                    spans[x["item_id"]].append((x["lo"], x["hi"]))
                 for item, got in spans.items():
-                    got.sort()
-                    merged = [list(got[0])]
-                    for lo, hi in got[1:]:
-                        if lo <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], hi)
-                        else:
-                            merged.append([lo, hi])
-                    near = np.concatenate([y for lo, hi in merged for y in (ws[lo:hi], between)])
-                    rows.append((pdf[id_].iloc[t], item, _signed(near)))
+                    rows.append((pdf[id_].iloc[t], item, _signed(_near(code[first[t - a] : first[t - a + 1]], got))))
             yield pd.DataFrame(rows, columns=[id_, "item_id", "near"])
 
 
@@ -210,10 +229,11 @@ def _dense(hits: DataFrame, share: float, altered: float) -> DataFrame:
     text and item, by no more than the altered words, so hits are counted in bins of that width and each is taken with its neighbours.
     """
     width = F.ceil(F.col("words") * altered).cast("int") + GAP
-    binned = hits.withColumn("bin", F.floor((F.col("j") - F.col("i")) / width).cast("int")).groupBy("id", "h", "item_id", "words", "n_own", "bin").agg(F.count(F.lit(1)).alias("n"))
-    order = W.partitionBy("id", "h", "item_id").orderBy("bin").rangeBetween(-1, 1)
+    binned = hits.withColumn("bin", F.floor((F.col("j") - F.col("i")) / width).cast("int")).groupBy("id", "h", "item_id", "words", "n_own", "bin").agg(F.size(F.collect_set("i")).alias("n"))
+    by = W.partitionBy("id", "h", "item_id").orderBy("bin")
+    around = F.greatest(F.sum("n").over(by.rangeBetween(-1, 0)), F.sum("n").over(by.rangeBetween(0, 1)))
     need = F.ceil((F.col("n_own") * share * (1 - (K + WINDOW - 1) * altered) - (K + WINDOW - 2)) / WINDOW)
-    near = binned.withColumn("around", F.sum("n").over(order)).where(F.col("around") >= need)
+    near = binned.withColumn("around", around).where(F.col("around") >= need)
     span = F.struct("item_id", ((F.col("bin") - 1) * width).alias("lo"), ((F.col("bin") + 2) * width + F.col("words")).alias("hi"))
     return near.groupBy("id", "h").agg(F.collect_list(span).alias("hits"))
 
@@ -278,6 +298,67 @@ def extend(item: np.ndarray, own: np.ndarray, doc: np.ndarray, altered: float) -
     return top / int(upto[-1])
 
 
+def covered(item: np.ndarray, own: np.ndarray, doc: np.ndarray, share: float, altered: float) -> float:
+    """What `extend` gives, or 0 where that can't reach ``share``: own words outside common triples are in no run."""
+    common = np.flatnonzero(np.isin(triples(item), triples(doc)))
+    held = np.zeros(len(own), bool)
+    for d in range(RUN):
+        held[common + d] = True
+    return extend(item, own, doc, altered) if (held & own).sum() >= share * (1 - 2 * altered) * own.sum() else 0.0
+
+
+class Index:
+    """Words and fingerprints of all items, for tasks that have them at hand."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], share: float, altered: float) -> None:
+        self.items, self.share, self.altered = items, share, altered
+        self.width = np.array([math.ceil(len(ws) * altered) + GAP for _, ws, _ in items])
+        self.need = np.array([_need(int(own.sum()), share, altered) for *_, own in items])
+        parts = [(*_own_prints(ws, own), k) for k, (_, ws, own) in enumerate(items)]
+        prints = np.concatenate([h for h, _, _ in parts])
+        order = np.argsort(prints, kind="stable")
+        self.prints, self.place = prints[order], np.concatenate([at for _, at, _ in parts])[order]
+        self.item = np.repeat([k for *_, k in parts], [len(h) for h, *_ in parts])[order]
+
+    def search(self, texts: list[str]) -> Iterator[tuple[int, int, float]]:
+        """(number of the text, item, share) of all leaks."""
+        code, row = word_codes(texts)
+        h, at = fingerprints(code, row)
+        left = np.searchsorted(self.prints, h, "left")
+        many = np.searchsorted(self.prints, h, "right") - left
+        if not many.sum():
+            return
+        x = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(left, many)
+        at = np.repeat(at, many)
+        first = np.searchsorted(row, np.arange(len(texts) + 1))
+        text, item, place = row[at], self.item[x], self.place[x]
+        bins = (at - first[text] - place) // self.width[item]
+        # Hits by text, item and bin, each place of the item once.
+        order = np.lexsort((place, bins, item, text))
+        text, item, bins, place = text[order], item[order], bins[order], place[order]
+        step = np.ones(len(text), bool)
+        step[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (bins[1:] != bins[:-1])
+        new = step.copy()
+        new[1:] |= place[1:] != place[:-1]
+        start = np.flatnonzero(step)
+        n = np.add.reduceat(new.astype("int64"), start)
+        text, item, bins = text[start], item[start], bins[start]
+        next_to = (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (bins[1:] == bins[:-1] + 1)
+        best = n.copy()
+        best[1:] = np.maximum(best[1:], n[1:] + n[:-1] * next_to)
+        best[:-1] = np.maximum(best[:-1], n[:-1] + n[1:] * next_to)
+        good = np.flatnonzero(best >= self.need[item])
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for t, k, b in zip(text[good].tolist(), item[good].tolist(), bins[good].tolist()):
+            w = int(self.width[k])
+            spans[t, k].append(((b - 1) * w, (b + 2) * w + len(self.items[k][1])))
+        for (t, k), got in spans.items():
+            id_, ws, own = self.items[k]
+            share = covered(ws, own, _near(code[first[t] : first[t + 1]], got), self.share, self.altered)
+            if share >= self.share:
+                yield t, id_, share
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", share: float = 0.45, altered: float = 0.125,
 ) -> DataFrame:
@@ -288,30 +369,47 @@ def find_leaks(
     their own can't leak; items without ``K`` words or empty tables give no rows. Rows repeat as the documents' rows do: one per row of
     ``docs`` and item. Texts and items are taken whole, whatever their length. Other columns are ignored.
     """
+    spark = docs.sparkSession
     kind = dict(docs.dtypes)[doc_id]
+    # Ids travel as text: pandas would make floats of integers beside nulls.
+    schema = "id string, item_id bigint, share double"
+    out = lambda df: df.select(F.col("id").cast(kind).alias(doc_id), "item_id", "share")
     known = materialise(own_words(items), "items")
+    texts = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
+    size = known.agg(F.sum(F.size("ws"))).first()[0]
+    if size is None:
+        return out(spark.createDataFrame([], schema))
+    if size > AT_HAND:
+        return out(_by_join(texts, known, schema, share, altered))
+    rows = known.sort("item_id").collect()
+    index = spark.sparkContext.broadcast([(r.item_id, np.array(r.ws, "int64").view("uint64"), np.array(r.own, bool)) for r in rows])
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = Index(index.value, share, altered)
+        for pdf in batches:
+            ids, all_texts = pdf["id"], pdf["text"].tolist()
+            for a, z in _parts(all_texts):
+                got = list(made.search(all_texts[a:z]))
+                yield pd.DataFrame({"id": ids.iloc[[a + t for t, *_ in got]].array, "item_id": [i for _, i, _ in got], "share": [s for *_, s in got]})
+
+    return out(texts.mapInPandas(search, schema))
+
+
+def _by_join(texts: DataFrame, known: DataFrame, schema: str, share: float, altered: float) -> DataFrame:
+    """The same for items of any size: fingerprints joined, hits counted and surroundings measured by shuffles."""
     prints = materialise(known.mapInPandas(_item_prints, "item_id bigint, words int, n_own int, i int, print bigint"), "prints")
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0).select("id", F.xxhash64("text").alias("h"), "text")
-    made = texts.mapInPandas(lambda b: _text_prints(b, "id"), f"id {kind}, h bigint, j int, print bigint")
-    hits = _dense(made.join(prints, "print"), share, altered)
+    texts = texts.select("id", F.xxhash64("text").alias("h"), "text")
+    made = texts.mapInPandas(lambda b: _text_prints(b, "id"), "id string, h bigint, j int, print bigint")
     # Rows of one id and text have the same hits: told by the text's hash, so that rows that repeat an id with another text stay apart.
-    hits = materialise(hits, "hits").withColumnsRenamed({"id": "id2", "h": "h2"})
+    hits = materialise(_dense(made.join(prints, "print"), share, altered), "hits").withColumnsRenamed({"id": "id2", "h": "h2"})
     hit = texts.join(hits, (texts["h"] == hits["h2"]) & texts["id"].eqNullSafe(hits["id2"])).select("id", "text", "hits")
-    near = hit.mapInPandas(lambda b: _surroundings(b, "id"), f"id {kind}, item_id bigint, near array<bigint>")
+    near = hit.mapInPandas(lambda b: _surroundings(b, "id"), "id string, item_id bigint, near array<bigint>")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = np.zeros(len(pdf))
-            for r, (ws, own, doc) in enumerate(zip(pdf["ws"], pdf["own"], pdf["near"])):
-                it, own, doc = np.asarray(ws, "int64").view("uint64"), np.asarray(own, bool), np.asarray(doc, "int64").view("uint64")
-                # Own words outside common triples are in no run: a bound on what extension can find.
-                common = np.flatnonzero(np.isin(triples(it), triples(doc)))
-                held = np.zeros(len(own), bool)
-                for d in range(RUN):
-                    held[common + d] = True
-                if (held & own).sum() >= share * (1 - 2 * altered) * own.sum():
-                    got[r] = extend(it, own, doc, altered)
+            view = lambda x: np.asarray(x, "int64").view("uint64")
+            got = np.array([covered(view(ws), np.asarray(own, bool), view(doc), share, altered) for ws, own, doc in zip(pdf["ws"], pdf["own"], pdf["near"])], float)
             keep = got >= share
-            yield pd.DataFrame({doc_id: pdf["id"][keep], "item_id": pdf["item_id"][keep], "share": got[keep]})
+            yield pd.DataFrame({"id": pdf["id"][keep], "item_id": pdf["item_id"][keep], "share": got[keep]})
 
-    return near.join(known, "item_id").select("id", "item_id", "ws", "own", "near").mapInPandas(measure, f"`{doc_id}` {kind}, item_id bigint, share double")
+    return near.join(known, "item_id").select("id", "item_id", "ws", "own", "near").mapInPandas(measure, schema)

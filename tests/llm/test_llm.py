@@ -160,7 +160,25 @@ def test_runs_are_the_same_by_pairs_and_by_diagonals(monkeypatch):
         assert (a[i : i + n] == b[j : j + n]).all() and (b[j : j + n] > 0).all()
 
 
-def test_prints_joined_by_shuffle_give_the_same(spark):
+def test_items_beyond_what_is_at_hand_give_the_same(spark, monkeypatch):
+    rng = random.Random(31)
+    items = [(i, _item(rng, 50).capitalize() + ". Same end.") for i in range(30)]
+    docs = []
+    for d in range(60):
+        parts = [" ".join(w for w in items[rng.randrange(30)][1].split()[rng.randint(0, 20) : rng.randint(25, 52)] if rng.random() > 0.06) for _ in range(3)]
+        docs.append((d, f" {_item(rng, 20)} ".join(parts)))
+    args = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string")
+    one = sorted(map(tuple, leaks.find_leaks(*args).collect()))
+    monkeypatch.setattr(leaks, "AT_HAND", 0)
+    assert len(one) > 30 and sorted(map(tuple, leaks.find_leaks(*args).collect())) == one
+    # Every item against every whole text: what the fingerprints pass over has no such stretch.
+    index = leaks.Index([(r.item_id, np.array(r.ws, "int64").view("uint64"), np.array(r.own)) for r in leaks.own_words(args[1]).collect()], 0.45, 0.125)
+    brute = {(d, i) for d, text in docs for i, ws, own in index.items if leaks.extend(ws, own, leaks.word_codes([text])[0], 0.125) >= 0.5}
+    assert brute <= {(d, i) for d, i, _ in one}
+
+
+def test_prints_joined_by_shuffle_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "AT_HAND", 0)
     rng = random.Random(5)
     items = [(i, _item(rng, 40).capitalize() + ".") for i in range(7)] + [(7, "Same text. " + _item(rng, 9)), (7, "Same")]
     docs = spark.createDataFrame([(i if i else None, "x y z " + t) for i, t in items], "doc_id bigint, text string")
