@@ -77,15 +77,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut off."""
-    return truncation.find_truncated(_documents(spark, sf_dir, "doc_id", "source", "text")).where("cut").select("doc_id")
+    return truncation.find_truncated(_documents(spark, sf_dir, "doc_id", "source", "text"))[0].where("cut").select("doc_id")
 
 
 def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each source its texts, those cut off, their share, and the field limit that shows."""
-    docs = _documents(spark, sf_dir, "doc_id", "source", "text")
-    per = truncation.find_truncated(docs).groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.col("cut").cast("bigint")).alias("n_cut"))
-    limits = truncation.hidden_limits(docs, source="source", text="text").select("source", "measure", "field_limit")
-    return per.withColumn("cut_share", F.round(F.col("n_cut") / F.col("n_texts"), 6)).join(limits, "source", "left")
+    """For each source its texts, those cut off by what told them, their share, and the field limit that shows."""
+    verdicts, limits = truncation.find_truncated(_documents(spark, sf_dir, "doc_id", "source", "text"))
+    told = [F.count_if(F.col("reason") == r).alias(f"by_{r}") for r in ("limit", "mark", "block", "ending")]
+    per = verdicts.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("cut").alias("n_cut"), *told)
+    return per.withColumn("cut_share", F.round(F.col("n_cut") / F.col("n_texts"), 6)).join(limits.select("source", "measure", "field_limit"), "source", "left")
 
 
 QUERIES = {f.__name__: f for f in (p4_percentiles, p4_rank_check, p6_found, p6_items, p7_mixture, p7_shares, p8_found, p8_sources)}

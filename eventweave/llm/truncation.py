@@ -1,19 +1,23 @@
 """Texts cut off by field limits or in transfer.
 
 First, lengths under several encodings are counted per source: a hidden limit of storage shows as a pile of texts at the greatest
-length under the measure that the storage used. Then endings are inspected: counts over the whole corpus tell how often the last words
-end a sentence or line elsewhere and how often they go on.
+length under the measure that the storage used, and a text at the limit is cut unless its ending is plainly whole. Then the other endings are
+inspected: counts over the whole corpus tell how often the last words end a sentence or line elsewhere and how often they go on.
+
+Texts are read twice, each time in vectorized passes over their characters. The first keeps lengths and the hashes of each ending; the
+second counts, of all places in the corpus, only those whose words some ending has: a filter of bounded size, built from the endings,
+drops the others before anything moves.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,265 +28,460 @@ from eventweave.session import materialise
 BAND = 4
 #: Reading order in case of equal evidence, the plainest measure first.
 MEASURES = ["chars", "utf8_bytes", "utf16_units", "latin1_bytes", "html_chars", "html_bytes", "json_chars", "json_ascii", "crlf_chars", "crlf_bytes"]
-
-#: Marks that are set behind a cut. Fixed values.
-MARKS = ["…", "...", "[...]", "[…]", "(...)", "[truncated]", "(truncated)", "[cut]", "[more]", "(more)", "(cont.)", "[continued]", "<truncated>", ">>>", "..", "[snip]"]
-
-_SPLIT = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+(?=\S)|\n+")
-_STOP = re.compile(r"[.!?…]+[\"'»”’)\]]*$")
-_BULLET = re.compile(r"^(?:[-*•+]|\d{1,3}[.)])\s+")
-_LABEL = re.compile(r"^[A-ZÄÖÜÉ][\w ]{1,20}:\s+\S")
-_DIGITS = re.compile(r"\d+")
-_SYMBOL = re.compile(r"^[A-Z]{3}\d\d$")
-_GATE = re.compile(r"^[a-z]+-[a-z]\d\d$")
 #: Words of context kept of an ending.
 CONTEXT = 3
 #: Lines and sentences up to so many words are also compared whole.
 SHORT = 7
-#: Stands for the place before the first word; a lone last word (a sign-off) counts from this share of all sentences and lines on.
-START, LONE_SHARE = "^", 1e-4
-FLAGS = ["at_limit", "marked", "open", "stopped", "label", "bullet", "lone"]
-#: An ending counts as one if at least this share of the places with the same words ends there.
-END_SHARE = 0.12
-#: Places with the same words that are needed for an opinion.
-ENOUGH = 3
-#: Up to so many hashes of texts that have copies are sent to all executors.
-COPIED_MOST = 2_000_000
-
-
-def lengths(text: Column) -> dict[str, Column]:
-    """Length of the text under each measure."""
-    chars, octets = F.length(text), F.octet_length(text)
-    count = lambda letters: chars - F.length(F.translate(text, letters, ""))
-    entity = count("&") * 4 + count("<>") * 3 + count("\"'") * 5
-    escapes = count('"\\\n\r\t')
-    # Patterns only for texts beyond ASCII.
-    beyond = lambda c: F.when(octets == chars, 0).otherwise(chars - F.length(F.regexp_replace(text, c, "")))
-    wide, foreign, not_latin = beyond(r"[^\x00-\x{FFFF}]"), beyond(r"[^\x00-\x7F]"), beyond(r"[^\x00-\xFF]")
-    bare = count("\n") - (chars - F.length(F.replace(text, F.lit("\r\n"), F.lit("\n"))))
-    return {
-        "chars": chars, "utf8_bytes": octets, "utf16_units": chars + wide, "latin1_bytes": chars + not_latin, "html_chars": chars + entity,
-        "html_bytes": octets + entity, "json_chars": chars + escapes, "json_ascii": chars + escapes + foreign * 5 + wide * 6, "crlf_chars": chars + bare, "crlf_bytes": octets + bare,
-    }
-
-
-def _bodies(docs: DataFrame, feet: DataFrame, source: str, text: str, *keep: Column) -> DataFrame:
-    """source, text, footer and body (the text less its source's footer) of each text that isn't null."""
-    feet = feet.withColumnRenamed("source", "__s2")
-    rows = docs.where(F.col(text).isNotNull()).select(*keep, F.col(source).alias("__src"), F.col(text).alias("__text"))
-    # Written tables: broadcast while their size is under the threshold.
-    rows = rows.join(feet, F.col("__src") == F.col("__s2"), "left").drop("__s2")
-    trimmed = F.regexp_replace("__text", r"\s+$", "")
-    body = F.regexp_replace(F.substring(trimmed, F.lit(1), F.length(trimmed) - F.length("footer")), r"\s+$", "")
-    return rows.withColumn("__body", F.when(F.col("footer").isNotNull() & trimmed.endswith(F.col("footer")), body).otherwise(F.col("__text")))
-
-
-def _once(docs: DataFrame, source: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Sources and texts that aren't null, in two parts: the texts without copies, and each text with copies once for each of its sources.
-
-    Only texts that share their hash with another row are shuffled, and those are compared whole. Where too many have copies for their
-    hashes to be sent around, all texts are brought down to distinct ones instead.
+#: An ending counts as one if at least this share of the places with the same words ends there; a lone last word (a sign-off) from this
+#: share of all sentences and lines on.
+END_SHARE, LONE_SHARE = 0.12, 1e-4
+#: Places with the same words that are needed for an opinion, and for one that a stopped ending never is one.
+ENOUGH, MANY = 3, 20
+#: A tail in brackets is a source's footer if this share of its texts has it, and a mark if it comes this often behind unstopped words.
+FOOTER_SHARE, MARK_SHARE, MARK_TEXTS = 0.5, 0.8, 5
+#: The filter's bits for each hash, and its most bits (32 MB); beyond, it only drops less.
+FILTER_BITS, FILTER_MOST = 16, 1 << 28
+#: Characters taken apart together.
+CHARS = 1_000_000
+
+_ELLIPSIS = re.compile(r"\s*(?:…|\.\.+)[\s…]*$")
+_LAST_LINE = re.compile(r"\n([\[(<-][^\n]*[\])>-])$")
+_LAST_GROUP = re.compile(r"\s([\[(<][^\[\](){}<>\n]+[\])>])$")
+_BULLET = re.compile(r"^(?:[-*•+]|\d{1,3}[.)])\s+")
+_LABEL = re.compile(r"^[A-ZÄÖÜÉ][\w ]{1,20}:\s+\S")
+GRAMS = ["g0", "g3", "g2", "g1"]
+FLAGS = ["marked", "open", "stopped", "label", "bullet", "lone"]
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+SPACE, STOP, EDGE, DIGIT, UPPER, LETTER, OTHER = range(7)
+
+
+@lru_cache(maxsize=1)
+def _table() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower-case form of the code points below 0x3000."""
+    kind, low = np.full(0x3000, OTHER, "int8"), np.arange(0x3000, dtype="uint32")
+    for c in range(0x3000):
+        x = chr(c)
+        if x.isspace():
+            kind[c] = SPACE
+        elif x in ".!?…":
+            kind[c] = STOP
+        elif x in "\"'»«“”’)(][*_`":
+            kind[c] = EDGE
+        elif x.isdigit():
+            kind[c] = DIGIT
+        elif x.isalpha():
+            kind[c] = UPPER if x.isupper() else LETTER
+        if len(x.lower()) == 1:
+            low[c] = ord(x.lower())
+    return kind, low
+
+
+def _classes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kind, low = _table()
+    at = np.minimum(points, 0x2FFF)
+    k, v = kind[at], low[at]
+    if points.max(initial=0) >= 0x3000:
+        high = points >= 0x3000
+        seen, back = np.unique(points[high], return_inverse=True)
+        k[high] = np.array([SPACE if chr(c).isspace() else LETTER if chr(c).isalpha() else OTHER for c in seen.tolist()], "int8")[back]
+        v[high] = points[high]
+    return k, v
+
+
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    ones = lambda b: np.concatenate([[_U(1)], np.full((1 << bits) - 1, b, "uint64")]).cumprod(dtype="uint64")
+    return ones(_U(_BASE)), ones(_U(pow(_BASE, -1, 1 << 64)))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> _U(32))
+
+
+def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of values[start:end] for each pair."""
+    power, inverse = _powers(max(20, int(len(values) + 1).bit_length()))
+    upto = np.concatenate([[_U(0)], ((values + _U(1)) * power[: len(values)]).cumsum(dtype="uint64")])
+    return _mix((upto[end] - upto[start]) * inverse[start] + (end - start).astype("uint64"))
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts end to end, each followed by a line break, and where each text begins (and the last ends)."""
+    points = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), "uint32")
+    begin = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), "int64", len(texts)))])
+    return points, begin
+
+
+def lengths(texts: list[str]) -> np.ndarray:
+    """Length of each text under each measure: a row per text, a column per measure."""
+    points, begin = _points(texts)
+    upto = lambda x: np.concatenate([[0], np.cumsum(x, dtype="int64")])
+    count = lambda x: (s := upto(x))[begin[1:] - 1] - s[begin[:-1]]
+    chars = begin[1:] - 1 - begin[:-1]
+    beyond = count(points > 0x7F) if len(points) and points.max() > 0x7F else 0
+    not_latin, wide, three = (count(points > x) if np.any(beyond) else 0 for x in (0xFF, 0xFFFF, 0x7FF))
+    octets = chars + beyond + three + wide
+    entity = count(points == 38) * 4 + count((points == 60) | (points == 62)) * 3 + count((points == 34) | (points == 39)) * 5
+    lf, cr = points == 10, points == 13
+    escapes = count((points == 34) | (points == 92) | lf | cr | (points == 9))
+    bare = count(lf & ~np.concatenate([[False], cr[:-1]]))
+    return np.stack([
+        chars, octets, chars + wide, chars + not_latin, chars + entity, octets + entity, chars + escapes, chars + escapes + beyond * 5 + wide * 6, chars + bare, octets + bare,
+    ], 1)
+
+
+@dataclass
+class Taken:
+    """Words of texts end to end: a hash, the number of the text, the place in the sentence or line, whether it is the last there, and whether
+    that ended in a stop."""
+
+    word: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+    last: np.ndarray
+    stopped: np.ndarray
+
+    def grams(self) -> np.ndarray:
+        """Hashes of the words up to each word: all of its sentence or line (of the last SHORT and their place, from then on), and the last 3, 2
+        and 1 of them."""
+        n, at = len(self.word), np.arange(len(self.word))
+        short = np.minimum(self.place, SHORT)
+        whole = _spans(self.word, at + 1 - short, at + 1) + np.where(self.place > SHORT, self.place, 0).astype("uint64")
+        one, two = np.full(n, 1, "uint64"), np.full(n, 2, "uint64")
+        one[1:] = np.where(self.place[1:] > 1, self.word[:-1], 1)
+        two[2:] = np.where(self.place[2:] > 2, self.word[:-2], 2)
+        pair = one * _U(_BASE) + self.word
+        return np.stack([_mix(whole), _mix(two * _U(0x94D049BB133111EB) + pair + _U(3)), _mix(pair + _U(2)), _mix(self.word + _U(1))], 1)
+
+
+#: Hash of the place before the first word.
+START = 0x5BD1E995
+
+
+def take_apart(texts: list[str]) -> Taken:
+    """Words parted by white space, in sentences and lines, without quotes and brackets around them.
+
+    Words are lower case. A plain number is one figure; figures that belong to times, decimals or keys stay as many as they are, and in words
+    in which a figure stands by a letter all letters (and hyphens between them) are one, so that keys, versions and paths are told by shape.
     """
-    rows = docs.where(F.col(text).isNotNull()).select(source, text)
-    code = F.xxhash64(F.col(text))
-    copied = materialise(rows.groupBy(code.alias("__copied")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__copied"), "copied")
-    if copied.count() > COPIED_MOST:
-        return rows.limit(0), materialise(rows.distinct(), "texts")
-    part = lambda how: rows.join(F.broadcast(copied), code == F.col("__copied"), how)
-    return part("left_anti"), materialise(part("left_semi").distinct(), "texts")
+    points, begin = _points(texts)
+    kind, value = _classes(points)
+    n = len(points)
+    if not n:
+        return Taken(*(np.zeros(0, t) for t in ("uint64", "int64", "int64", "bool", "bool")))
+    space = kind == SPACE
+    edge = np.diff(np.concatenate([[1], space.view("int8"), [1]]))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if len(end) and end[-1] == n:
+        end = end[:-1] if len(end) > len(start) else end
+    at = np.arange(n)
+    # Quotes and brackets at both ends, and the stops behind them, aren't part of a word.
+    first_in = np.minimum.accumulate(np.where((kind != EDGE) & ~space, at, n)[::-1])[::-1]
+    last_in = np.maximum.accumulate(np.where((kind != EDGE) & ~space, at, -1))
+    last_plain = np.maximum.accumulate(np.where((kind != EDGE) & (kind != STOP) & ~space, at, -1))
+    a = np.minimum(first_in[start], end)
+    z1 = np.maximum(last_in[end - 1] + 1, start)
+    stop = (z1 > start) & (kind[np.maximum(z1 - 1, 0)] == STOP)
+    z = np.where(stop, np.maximum(last_plain[end - 1] + 1, a), np.maximum(z1, a))
+    # A line break, or the text's end, between a word and the next.
+    breaks = np.concatenate([[0], np.cumsum(points == 10)])
+    ends = stop | (breaks[np.append(start[1:], n)] > breaks[end])
+    digit, letter = kind == DIGIT, (kind == UPPER) | (kind == LETTER)
+    if digit.any():
+        before, after = np.concatenate([[-1], kind[:-1]]), np.concatenate([kind[1:], [-1]])
+        left, right = np.concatenate([[0], points[:-1]]), np.concatenate([points[1:], [0]])
+        head, tail = digit & (before != DIGIT), digit & (after != DIGIT)
+        h, t = np.flatnonzero(head), np.flatnonzero(tail)
+        two_left = np.concatenate([[-1, -1], kind[:-2]])
+        two_right = np.concatenate([kind[2:], [-1, -1]])
+        by_letter = (letter[np.maximum(h - 1, 0)] & (h > 0)) | (letter[np.minimum(t + 1, n - 1)])
+        timed = ((left[h] == 58) & (two_left[h] == DIGIT)) | ((right[t] == 58) & (two_right[t] == DIGIT))
+        decimal = (left[h] == 46) & (two_left[h] == DIGIT)
+        kept_whole = by_letter | timed | decimal
+        run = np.cumsum(head) - 1
+        each = np.zeros(n, bool)
+        each[digit] = kept_whole[run[digit]]
+        value = np.where(digit, np.where(each, 48, 57), value)
+        drop = digit & ~each & ~head
+        # Words in which a figure stands by a letter.
+        word_of = np.cumsum(edge[:-1] == -1) - 1
+        mixed = np.zeros(len(start), bool)
+        mixed[word_of[h[by_letter]]] = True
+        inside = (letter | (((points == 45) | (points == 95)) & letter[np.maximum(at - 1, 0)] & letter[np.minimum(at + 1, n - 1)])) & mixed[np.maximum(word_of, 0)]
+        value = np.where(inside, 97, value)
+        drop |= inside & np.concatenate([[False], inside[:-1]])
+        keep = ~drop
+    else:
+        keep = np.ones(n, bool)
+    slot = np.concatenate([[0], np.cumsum(keep)])
+    lo, hi = slot[a], slot[np.maximum(z, a)]
+    text = np.searchsorted(begin, start, "right") - 1
+    full = hi > lo
+    # What a word without letters (a lone stop) ends is ended by the word before it.
+    group = np.cumsum(full) - 1
+    ended, stopped = np.zeros(full.sum(), bool), np.zeros(full.sum(), bool)
+    mine = (group >= 0) & (text == text[np.flatnonzero(full)[np.maximum(group, 0)]] if full.any() else False)
+    np.logical_or.at(ended, group[mine & ends], True)
+    np.logical_or.at(stopped, group[mine & stop], True)
+    word, text = _spans(value[keep].astype("uint64"), lo[full], hi[full]), text[full]
+    first = np.ones(len(word), bool)
+    first[1:] = ended[:-1] | (text[1:] != text[:-1])
+    last = np.append(first[1:], True) if len(word) else first
+    head = np.maximum.accumulate(np.where(first, np.arange(len(word)), 0)) if len(word) else np.zeros(0, "int64")
+    return Taken(word, text, np.arange(len(word)) - head + 1, last, stopped)
+
+
+def strip_ellipsis(text: str) -> tuple[str, bool]:
+    """The text without white space and an ellipsis at its end, and whether one was there."""
+    body = text.rstrip()
+    if body.endswith(("…", "..")):
+        return _ELLIPSIS.sub("", body), True
+    return body, False
+
+
+def _tail(body: str) -> str | None:
+    """A last line in brackets, or else a last group of words in brackets."""
+    if body[-1:] not in "])>-":
+        return None
+    m = _LAST_LINE.search(body) or _LAST_GROUP.search(body)
+    return m[1] if m else None
+
+
+def _free_line(t: str) -> bool:
+    """Whether the text ends in a short line behind a label, or in the second or later line of a sign-off of short lines."""
+    lines = t.rsplit("\n\n", 1)[-1].split("\n")
+    if len(lines[-1].split()) > SHORT:
+        return False
+    return bool(_LABEL.match(lines[-1])) or ("\n\n" in t and len(lines) > 1 and all(len(x.split()) <= CONTEXT and x[:1].isupper() for x in lines))
+
+
+def _open_block(t: str) -> bool:
+    """Whether the text ends inside a code fence, or inside a bracketed data block on its last line."""
+    if "```" in t and sum(line.lstrip().startswith("```") for line in t.split("\n")) % 2:
+        return True
+    last = t.rsplit("\n", 1)[-1].strip()
+    return last[:1] in "{[" and last.count("{") + last.count("[") > last.count("}") + last.count("]") if last else False
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about CHARS characters."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= CHARS:
+            yield a, i + 1
+            a, size = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
+_ENDING = ["tail", "cutoff", *FLAGS, "ctx", *GRAMS]
+
+
+def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per text, and a second one (cutoff) of the text less the tail that may be a footer or mark."""
+    for pdf in batches:
+        everything = pdf["text"].tolist()
+        for lo, hi in _parts(everything):
+            texts = everything[lo:hi]
+            bodies = [strip_ellipsis(t) for t in texts]
+            tails = [_tail(b) for b, _ in bodies]
+            rows = [(i, tails[i], False, b, m) for i, (b, m) in enumerate(bodies)]
+            measured = list(texts)
+            for i, tail in enumerate(tails):
+                if tail is not None:
+                    less, m = strip_ellipsis(bodies[i][0][: -len(tail)])
+                    rows.append((i, tail, True, less, m))
+                    measured.append(bodies[i][0][: -len(tail)].rstrip())
+            took = take_apart([b for *_, b, _ in rows])
+            grams = took.grams().view("int64")
+            n = len(rows)
+            final = np.searchsorted(took.text, np.arange(n), "right") - 1
+            there = (final >= 0) & (took.text[np.maximum(final, 0)] == np.arange(n)) if len(took.text) else np.zeros(n, bool)
+            final = np.where(there, final, 0)
+            out = pdf[["id", "src", "hash"]].iloc[[lo + r[0] for r in rows]].reset_index(drop=True)
+            out["tail"] = [r[1] for r in rows]
+            out["cutoff"] = [r[2] for r in rows]
+            out["marked"] = [r[4] for r in rows]
+            out["open"] = [_open_block(r[3]) for r in rows]
+            stopped = there & took.stopped[final] if len(took.text) else there
+            out["stopped"] = stopped
+            out["label"] = [not s and _free_line(r[3]) for s, r in zip(stopped.tolist(), rows)]
+            out["bullet"] = [bool(_BULLET.match(r[3].rsplit("\n", 1)[-1].lstrip())) for r in rows]
+            place = took.place[final] if len(took.text) else np.zeros(n, "int64")
+            out["lone"] = there & (place == 1)
+            blank = np.zeros((1, 4), "int64")
+            ending = np.where(there[:, None], grams[final] if len(grams) else blank, 0)
+            before = np.where(place > 1, grams[np.maximum(final - 1, 0), 0] if len(grams) else 0, START)
+            out["ctx"] = np.where(there, before, 0)
+            for k, g in enumerate(GRAMS):
+                out[g] = ending[:, k]
+            out["lens"] = list(lengths(measured))
+            yield out
+
+
+def _codes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> _U(64 - bits)).astype("int64"), ((h * _U(_BASE)) >> _U(64 - bits)).astype("int64")
+
+
+def _filter(asked: DataFrame, n: int) -> np.ndarray:
+    """Bits set by two hashes of each number in ``asked`` (g): of FILTER_MOST bits at most, whatever there is; made of parts that tasks make."""
+    bits = min(FILTER_MOST, 1 << max(16, int(n * FILTER_BITS).bit_length())).bit_length() - 1
+    chunk = min(1 << bits, 1 << 19)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(1 << bits, bool)
+        for pdf in batches:
+            for at in _codes(pdf["g"].to_numpy("int64").view("uint64"), bits):
+                held[at] = True
+        some = [(i // chunk, np.packbits(x).tobytes()) for i in range(0, len(held), chunk) if (x := held[i : i + chunk]).any()]
+        yield pd.DataFrame(some, columns=["part", "bits"])
+
+    def both(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.bitwise_or.reduce([np.frombuffer(b, "uint8") for b in pdf["bits"]])
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [x.tobytes()]})
+
+    made = asked.mapInPandas(part, "part bigint, bits binary").groupBy("part").applyInPandas(both, "part bigint, bits binary")
+    out = np.zeros((1 << bits) // 8, "uint8")
+    for r in made.toLocalIterator():
+        x = np.frombuffer(r.bits, "uint8")
+        out[r.part * chunk // 8 : r.part * chunk // 8 + len(x)] = x
+    return out
 
 
-def hidden_limits(docs: DataFrame, *, source: str, text: str, least: int = 5, times: float = 6.0, feet: DataFrame | None = None) -> DataFrame:
+def inspect(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Endings (a row per row of ``docs`` with a text), hidden limits and footers, as `find_truncated` takes them; all written tables."""
+    # Ids travel as text: pandas would make floats of integers beside nulls.
+    texts = docs.where(F.length(F.trim(F.regexp_replace(F.col(text), r"\s", " "))) > 0).select(
+        F.col(doc_id).cast("string").alias("id"), F.col(source).alias("src"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")
+    )
+    flags = ", ".join(f"{c} boolean" for c in FLAGS)
+    ends = materialise(
+        texts.mapInPandas(_endings, f"id string, src string, hash bigint, tail string, cutoff boolean, {flags}, ctx bigint, {', '.join(f'{g} bigint' for g in GRAMS)}, lens array<bigint>"), "endings"
+    )
+    once = ends.where("not cutoff").groupBy("src", "hash").agg(F.first("tail", ignorenulls=True).alias("tail"))
+    n = once.groupBy("src").agg(F.count(F.lit(1)).alias("all"))
+    best = W.partitionBy("src").orderBy(F.desc("n"), "tail")
+    feet = once.where("tail is not null").groupBy("src", "tail").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(best)).where("r = 1")
+    feet = feet.join(n, feet["src"].eqNullSafe(n["src"])).where(F.col("n") >= FOOTER_SHARE * F.col("all")).select(feet["src"].alias("f_src"), F.col("tail").alias("footer"))
+    feet = materialise(feet.where("f_src is not null"), "footers")
+    marks = ends.where("cutoff").dropDuplicates(["hash"]).groupBy("tail").agg(F.count(F.lit(1)).alias("n"), F.avg((~F.col("stopped")).cast("double")).alias("bare"))
+    marks = materialise(marks.where((F.col("n") >= MARK_TEXTS) & (F.col("bare") >= MARK_SHARE)).select(F.col("tail").alias("m_tail")), "marks")
+    told = ends.join(feet, F.col("src") == F.col("f_src"), "left").join(marks, F.col("tail") == F.col("m_tail"), "left")
+    foot, mark = F.coalesce(F.col("tail") == F.col("footer"), F.lit(False)), F.col("m_tail").isNotNull()
+    # Of the two forms of a text with a tail, the one that counts: less its footer or mark, else whole.
+    text_only, both = F.array(F.lit("text")), F.array(F.lit("text"), F.lit("body"))
+    # In a source with a footer, a text that lacks it is its own body.
+    forms = F.when(F.col("cutoff"), F.array(F.lit("body"))).when(F.col("f_src").isNotNull() & ~foot, both).otherwise(text_only)
+    told = told.withColumns({"forms": forms, "foot": foot, "taken_off": foot | mark, "marked": F.col("marked") | (F.col("cutoff") & mark & ~foot)})
+    limits = materialise(_limits(told), "limits")
+    reach = told.join(limits.withColumnRenamed("source", "l_src"), F.col("src") == F.col("l_src"), "left")
+    length = F.element_at("lens", F.array_position(F.array(*[F.lit(m) for m in MEASURES]), F.col("measure")).cast("int"))
+    measured = F.coalesce((length > F.col("field_limit") - BAND) & F.array_contains("forms", F.col("of")), F.lit(False))
+    reach = reach.withColumn("reaches", measured)
+    # The whole text's length counts also where its tail was taken off, so it is carried over from the other form.
+    off = reach.where("not cutoff and taken_off and reaches").select("hash", F.col("src").alias("o_src")).distinct().withColumnRenamed("hash", "o_hash")
+    chosen = reach.where(F.col("cutoff") == F.col("taken_off"))
+    chosen = chosen.join(off, (F.col("hash") == F.col("o_hash")) & (F.col("src") == F.col("o_src")), "left").withColumn("at_limit", F.col("reaches") | F.col("o_hash").isNotNull())
+    return materialise(chosen.select("id", "src", "hash", "at_limit", *FLAGS, "ctx", *GRAMS), "chosen"), limits, feet
+
+
+def _limits(told: DataFrame, least: int = 5, times: float = 6.0) -> DataFrame:
     """(source, measure, of, field_limit, at_limit): the storage limit of each source that shows one.
 
     A limit is the greatest length of a source under some measure if the BAND of lengths up to it holds at least ``least`` texts, and
     the band or that very length holds ``times`` as many as the hundred lengths below would make one expect. Lengths are taken of the
     whole "text" and of its "body", less the source's footer. Of several limits that show, the one with most texts at that very
-    length counts. Equal texts of a source count once. Null sources, null and empty texts are left out. ``feet`` are the footers, if known
-    already; ``docs`` then has no equal texts of a source.
+    length counts. Equal texts of a source count once. Null sources have no limits.
     """
-    def measured(of: str, col: str, first: int) -> Column:
-        ms = lengths(F.col(col))
-        return F.array(*[F.struct(F.lit(first + i).alias("rank"), F.lit(of).alias("of"), F.lit(m).alias("measure"), ms[m].cast("bigint").alias("len")) for i, m in enumerate(MEASURES)])
-
-    if feet is None:
-        docs = DataFrame.unionByName(*_once(docs, source, text))
-        feet = materialise(_footers(docs, source, text), "footers")
-    long = _bodies(docs, feet, source, text).where((F.length("__text") > 0) & F.col("__src").isNotNull()).select(
-        F.col("__src").alias("source"),
-        F.explode(F.when(F.col("footer").isNull(), measured("text", "__text", 0)).otherwise(F.concat(measured("text", "__text", 0), measured("body", "__body", len(MEASURES))))).alias("x"),
-    )
-    counted = long.groupBy("source", "x.rank", "x.of", "x.measure", "x.len").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.withColumn("most", F.max("len").over(W.partitionBy("source", "rank")))
-    piles = top.groupBy("source", "rank", "of", "measure", "most").agg(
+    once = told.where("src is not null and (not cutoff or foot)").select("src", "hash", F.explode("forms").alias("of"), "lens").dropDuplicates(["src", "hash", "of"])
+    each = F.transform("lens", lambda x, i: F.struct((i + F.when(F.col("of") == "body", len(MEASURES)).otherwise(0)).alias("rank"), x.alias("len")))
+    counted = once.select("src", "of", F.inline(each)).groupBy("src", "of", "rank", "len").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.withColumn("most", F.max("len").over(W.partitionBy("src", "rank")))
+    piles = top.groupBy("src", "of", "rank", "most").agg(
         F.sum(F.when(F.col("len") > F.col("most") - BAND, F.col("n")).otherwise(0)).alias("at_limit"),
         F.sum(F.when(F.col("len") == F.col("most"), F.col("n")).otherwise(0)).alias("exact"),
         F.sum(F.when((F.col("len") <= F.col("most") - BAND) & (F.col("len") > F.col("most") - BAND - 100), F.col("n")).otherwise(0)).alias("below"),
     )
     piles = piles.withColumn("excess", F.greatest(F.col("at_limit") / (F.col("below") * BAND / 100.0 + 0.5), F.col("exact") / (F.col("below") / 100.0 + 0.25)))
-    best = W.partitionBy("source").orderBy(F.desc("exact"), "rank")
+    best = W.partitionBy("src").orderBy(F.desc("exact"), "rank")
+    name = F.element_at(F.array(*[F.lit(m) for m in MEASURES]), (F.col("rank") % len(MEASURES) + 1).cast("int"))
     return piles.where((F.col("at_limit") >= least) & (F.col("excess") >= times)).withColumn("r", F.row_number().over(best)).where("r = 1").select(
-        "source", "measure", "of", F.col("most").alias("field_limit"), "at_limit"
+        F.col("src").alias("source"), name.alias("measure"), "of", F.col("most").alias("field_limit"), "at_limit"
     )
 
 
-@lru_cache(maxsize=1 << 17)
-def _token(word: str) -> str:
-    """A word with figures and keys made alike. Figures keep their form where it tells whether they are whole: times and decimals."""
-    core = word.strip("\"'»«“”()[]*_`")
-    if core[:1] == "@":
-        return "@<key>" if _token(core[1:]) == "<key>" else core.lower()
-    if "/" in core:
-        return "/".join("<key>" if re.search(r"[a-z]\W*\d|-", x) else _DIGITS.sub("9", x) for x in core.lower().split("/"))
-    bare = core.rstrip(",;:")
-    if _SYMBOL.match(bare) or _GATE.match(bare):
-        return "<key>" + core[len(bare) :]
-    if any(c.isdigit() for c in core):
-        if ":" in core or "." in core:
-            return re.sub(r"\d", "0", core) if ":" in core else re.sub(r"^\d+", "9", re.sub(r"(?<=\.)\d", "0", core))
-        return _DIGITS.sub("9", core)
-    return core.lower()
-
-
-def _units(text: str) -> list[tuple[list[str], bool]]:
-    """Sentences and lines as tokens, and whether each ended in a stop."""
-    out = []
-    for part in _SPLIT.split(text):
-        part = _BULLET.sub("", part.strip())
-        if not part:
-            continue
-        stopped = bool(_STOP.search(part))
-        body = _STOP.sub("", part) if stopped else part
-        tokens = [t for w in body.split() if (t := _token(w))]
-        if tokens:
-            out.append((tokens, stopped))
-    return out
-
-
-def _grams(tokens: list[str], end: int) -> list[str]:
-    """All words of the sentence or line up to a place, up to SHORT, and the last CONTEXT, ..., 1 of them, each marked by how many they are."""
-    whole = "0 " + " ".join(tokens[:end]) if end <= SHORT else f"0 {' '.join(tokens[end - SHORT : end])} {end}"
-    return [whole] + [f"{n} " + " ".join(tokens[max(0, end - n) : end] if end >= n else ["^", *tokens[:end]]) for n in range(CONTEXT, 0, -1)]
-
-
-def _code(gram: str) -> int:
-    """A signed 64-bit hash."""
-    return xxhash.xxh3_64_intdigest(gram) - (1 << 63)
+def hidden_limits(docs: DataFrame, *, source: str, text: str) -> DataFrame:
+    """(source, measure, of, field_limit, at_limit): the storage limit of each source that shows one; see `_limits`."""
+    return inspect(docs.withColumn("__none", F.lit(None).cast("string")), doc_id="__none", source=source, text=text)[1]
 
 
-def _context(tokens: list[str]) -> int:
-    """Hash of the place just before the last word."""
-    return (_code(_grams(tokens, len(tokens) - 1)[0]) if len(tokens) > 1 else _code(START)) if tokens else 0
+def _places(docs: DataFrame, ends: DataFrame, feet: DataFrame, source: str, text: str) -> DataFrame:
+    """(g, ended, went_on): of the hashes that endings have, how many places of the corpus end there and go on there; START counts all lines."""
+    asked = ends.select(F.explode(F.array("ctx", *GRAMS)).alias("g"))
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(_filter(asked, ends.count() * (len(GRAMS) + 1)))
+    texts = docs.where(F.length(F.trim(F.regexp_replace(F.col(text), r"\s", " "))) > 0).select(F.col(source).alias("src"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    # Equal texts have one vote between them: no text need be chosen or moved for that.
+    copies = materialise(ends.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("hash", "c_hash"), "copies")
+    texts = texts.join(copies, F.col("hash") == F.col("c_hash"), "left").join(feet, F.col("src") == F.col("f_src"), "left")
+    texts = texts.select("text", F.coalesce("n", F.lit(1)).alias("n"), "footer")
 
-
-def strip_marks(text: str, footer: str | None = None) -> tuple[str, bool]:
-    """The text without white space, footers and cut marks at its end, and whether a mark was there."""
-    marked = False
-    t = text.rstrip()
-    while True:
-        before = t
-        if footer and t.endswith(footer):
-            t = t[: -len(footer)].rstrip()
-        for m in MARKS:
-            if t.endswith(m):
-                t, marked = t[: -len(m)].rstrip(), True
-        if t == before:
-            return t, marked
-
-
-def _free_line(t: str, tokens: list[str], stopped: bool) -> bool:
-    """Whether the text ends in a short line behind a label, or in the second or later line of a sign-off of short lines."""
-    if stopped or len(tokens) > SHORT:
-        return False
-    lines = t.rsplit("\n\n", 1)[-1].split("\n")
-    return bool(_LABEL.match(lines[-1])) or ("\n\n" in t and len(lines) > 1 and all(len(x.split()) <= 3 and x[:1].isupper() for x in lines))
-
-
-def _open_block(t: str) -> bool:
-    """Whether the text ends inside a code fence, or inside a bracketed data block on its last line."""
-    if sum(line.lstrip().startswith("```") for line in t.split("\n")) % 2:
-        return True
-    last = t.rsplit("\n", 1)[-1].strip()
-    return last[:1] in "{[" and last.count("{") + last.count("[") > last.count("}") + last.count("]") if last else False
-
-
-def _footers(docs: DataFrame, source: str, text: str, share: float = 0.5) -> DataFrame:
-    """(source, footer): a last line in brackets that at least ``share`` of a source's texts end with."""
-    last = F.regexp_extract(F.rtrim(F.regexp_replace(F.col(text), r"\s+$", "")), r"\n([\[(<-][^\n]{2,60}[\])>-])$", 1)
-    per = docs.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), last.alias("footer"))
-    n = per.groupBy("source").agg(F.count(F.lit(1)).alias("all"))
-    f = per.where("footer <> ''").groupBy("source", "footer").agg(F.count(F.lit(1)).alias("n"))
-    best = W.partitionBy("source").orderBy(F.desc("n"), "footer")
-    return f.withColumn("r", F.row_number().over(best)).where("r = 1").join(n, "source").where(F.col("n") >= share * F.col("all")).select("source", "footer")
-
-
-def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row per row of ``docs`` with a text: (doc_id, source, at_limit BOOLEAN, cut BOOLEAN).
-
-    Null, empty and blank texts have no row; a null source is a source of its own without limits or footers. A cut text ends inside a
-    code or data block, or its last words (less marks and footers behind them) go on elsewhere rather than end; last words nobody else
-    has count as cut if unstopped. At its source's hidden limit a text counts as cut unless it ends in a stop or in a line that ends
-    other texts too. Equal texts count once in the corpus counts. Empty input gives no rows; other columns are ignored.
-    """
-    # Small tables and the endings are read several times below; each is written once.
-    single, several = _once(docs, source, text)
-    once = single.unionByName(several)
-    feet = materialise(_footers(once, source, text), "footers")
-    limits = materialise(hidden_limits(once, source=source, text=text, feet=feet), "limits").withColumnRenamed("source", "__s1")
-    base = _bodies(docs, feet, source, text, F.col(doc_id).alias("__id")).where(F.length(F.trim("__text")) > 0)
-    reach = F.coalesce(*[F.when((F.col("of") == of) & (F.col("measure") == m), c) for of, col in (("text", "__text"), ("body", "__body")) for m, c in lengths(F.col(col)).items()])
-    tagged = base.join(limits, F.col("__src") == F.col("__s1"), "left").select(
-        "__id", "__src", "__text", "footer", F.coalesce(reach > F.col("field_limit") - BAND, F.lit(False)).alias("at_limit")
-    )
-
-    def endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for i, s, t, footer, at in pdf.itertuples(index=False, name=None):
-                body, marked = strip_marks(t, footer if isinstance(footer, str) else None)
-                units = _units(body)
-                tokens, stopped = units[-1] if units else ([], False)
-                bullet = bool(_BULLET.match(body.rsplit("\n", 1)[-1].strip()))
-                flags = (bool(at), marked, _open_block(body), stopped, _free_line(body, tokens, stopped), bullet, len(tokens) == 1)
-                rows.append((i, s, *flags, _code(t), _context(tokens), *(map(_code, _grams(tokens, len(tokens))) if tokens else [0] * (CONTEXT + 1))))
-            yield pd.DataFrame(rows, columns=["id", "src", *FLAGS, "hash", "ctx", "g0", "g3", "g2", "g1"])
-
-    kind = dict(docs.dtypes)[doc_id]
-    flags = ", ".join(f"{c} boolean" for c in FLAGS)
-    # Read several times below, so written once.
-    ends = materialise(tagged.mapInPandas(endings, f"id {kind}, src string, {flags}, hash bigint, ctx bigint, g0 bigint, g3 bigint, g2 bigint, g1 bigint"), "endings")
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = held.value
+        wide = int(len(bits) * 8).bit_length() - 1
+        table = np.unpackbits(bits).view(bool)
         for pdf in batches:
-            # Equal sentences and lines are counted before they are taken apart.
-            seen: Counter[tuple[tuple[str, ...], bool]] = Counter()
-            for t, footer in zip(pdf["__text"], pdf["footer"]):
-                body, _ = strip_marks(t, footer if isinstance(footer, str) else None)
-                units = _units(body)
-                seen.update((tuple(tokens), stopped or k < len(units) - 1) for k, (tokens, stopped) in enumerate(units))
-            counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-            counts[START][1] = sum(seen.values())
-            for (unit, ends_there), n in seen.items():
-                tokens = list(unit)
-                for e in range(1, len(tokens)):
-                    for g in _grams(tokens, e):
-                        counts[g][1] += n
-                if ends_there:
-                    for g in _grams(tokens, len(tokens)):
-                        counts[g][0] += n
-            yield pd.DataFrame([(_code(g), *c) for g, c in counts.items()], columns=["g", "ended", "went_on"])
-
-    # Equal texts vote once, with the footer of the least of their sources.
-    voters = _bodies(single.unionByName(several.groupBy(text).agg(F.min(source).alias(source))), feet, source, text).where(F.length(F.trim("__text")) > 0)
+            everything, copied, footers = pdf["text"].tolist(), pdf["n"].to_numpy("float64"), pdf["footer"].tolist()
+            for lo, hi in _parts(everything):
+                bodies = []
+                for t, footer in zip(everything[lo:hi], footers[lo:hi]):
+                    body = strip_ellipsis(t)[0]
+                    bodies.append(strip_ellipsis(body[: -len(footer)])[0] if isinstance(footer, str) and body.endswith(footer) else body)
+                took = take_apart(bodies)
+                if not len(took.word):
+                    continue
+                vote = (1.0 / copied[lo:hi])[took.text]
+                ending = np.append(took.text[1:] != took.text[:-1], True)
+                # The last line of a text ends there only if it has a stop.
+                ended, on = took.last & (took.stopped | ~ending), ~took.last
+                grams = took.grams()
+                g = grams.ravel()
+                e, w = np.repeat(ended * vote, 4), np.repeat(on * vote, 4)
+                one, two = _codes(g, wide)
+                some = table[one]
+                some[some] = table[two[some]]
+                some &= (e > 0) | (w > 0)
+                seen, back = np.unique(g[some], return_inverse=True)
+                total = float((took.last * vote).sum())
+                yield pd.DataFrame({
+                    "g": np.append(seen.view("int64"), START), "ended": np.append(np.bincount(back, e[some], len(seen)), 0.0), "went_on": np.append(np.bincount(back, w[some], len(seen)), total),
+                })
+
+    counted = texts.mapInPandas(count, "g bigint, ended double, went_on double").groupBy("g").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
+    return counted.select("g", F.round("ended").cast("bigint").alias("ended"), F.round("went_on").cast("bigint").alias("went_on"))
+
+
+def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(verdicts, limits). Verdicts: one row per row of ``docs`` with a text: (doc_id, source, at_limit BOOLEAN, cut BOOLEAN, reason STRING).
+
+    Null, empty and blank texts have no row; a null source is a source of its own without limits or footers. At its source's hidden limit
+    a text is cut unless it ends in a stop or in a line that ends other texts too ("limit"); so it is before an ellipsis or a mark
+    ("mark"). Else it is cut if it ends inside a code or data block ("block"), or if its last words, less footers behind them, go on
+    elsewhere rather than end ("ending"); last words nobody else has count as cut if unstopped. Equal texts count once in the corpus
+    counts. Empty input gives no rows; other columns are ignored. Limits are those of `hidden_limits`.
+    """
+    ends, limits, feet = inspect(docs, doc_id=doc_id, source=source, text=text)
     # How unstopped texts end: once for equal texts, told by their hash.
-    grams = F.array("g0", "g3", "g2", "g1")
-    lasts = ends.where("not stopped").dropDuplicates(["hash"]).select(F.explode(grams).alias("g"), F.lit(0).cast("bigint").alias("ended"), F.lit(0).cast("bigint").alias("went_on"), F.lit(1).cast("bigint").alias("last"))
-    counted = voters.select("__text", "footer").mapInPandas(places, "g bigint, ended bigint, went_on bigint").groupBy("g").agg(F.sum("ended").alias("ended"), F.sum("went_on").alias("went_on"))
-    asked = ends.select(F.explode(F.array_append(grams, F.col("ctx"))).alias("g")).distinct()
-    both = counted.join(asked, "g", "left_semi").withColumn("last", F.lit(0).cast("bigint")).unionByName(lasts)
+    lasts = ends.where("not stopped").dropDuplicates(["hash"]).select(F.explode(F.array(*GRAMS)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("last"))
+    counted = _places(docs, ends, feet, source, text)
+    both = counted.withColumn("last", F.lit(0).cast("bigint")).unionByName(lasts.select("g", F.lit(0).cast("bigint").alias("ended"), F.lit(0).cast("bigint").alias("went_on"), "last"))
     known = materialise(both.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("ended", "went_on", "last")]), "grams")
     out = ends
-    for c in ("ctx", "g0", "g3", "g2", "g1"):
+    for c in ("ctx", *GRAMS):
         k = known.select(F.col("g").alias(f"{c}_"), F.struct("ended", "went_on", "last").alias(f"{c}n"))
         out = out.join(k, F.col(c) == F.col(f"{c}_"), "left")
     n = lambda c, what: F.coalesce(F.col(f"{c}n.{what}"), F.lit(0))
@@ -294,14 +493,18 @@ def find_truncated(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "so
     # the stumps of cut words only now and then.
     often = last("g0") / F.greatest(on("ctx"), F.lit(1))
     final = (last("g0") >= ENOUGH) & (on("g0") == 0) & (often >= F.when(F.col("lone"), LONE_SHARE).otherwise(END_SHARE))
-    share = F.when(final, 1.0).otherwise(F.coalesce(opinion("g0"), opinion("g3"), opinion("g2"), opinion("g1"), F.lit(0.0)))
+    share = F.when(final, 1.0).otherwise(F.coalesce(*[opinion(g) for g in GRAMS], F.lit(0.0)))
     # Such a line ("Tags: ...", a name under a greeting) has free words: it is whole if its last word is a word.
-    known = ended("g1") + on("g1") + F.when(last("g1") >= ENOUGH, last("g1")).otherwise(0) >= ENOUGH
-    share = F.when(F.col("label") & known & (on("g0") < ENOUGH) & ~F.col("at_limit"), 1.0).otherwise(share)
+    is_word = ended("g1") + on("g1") + F.when(last("g1") >= ENOUGH, last("g1")).otherwise(0) >= ENOUGH
+    share = F.when(F.col("label") & is_word & (on("g0") < ENOUGH) & ~F.col("at_limit"), 1.0).otherwise(share)
     # An item of a list is whole if its last two words end other items or sentences.
     share = F.when(F.col("bullet") & (ended("g2") >= ENOUGH), 1.0).otherwise(share)
-    never = (ended("g3") == 0) & F.coalesce(opinion("g2") < 0.02, opinion("g1") < 0.02, F.lit(False))
-    cut = F.col("open") | F.when(F.col("stopped"), never & (on("g2") + on("g1") >= 20)).when(
-        F.col("at_limit") | F.col("marked"), ~(final & (last("g0") > ended("g0")))
-    ).otherwise(share < END_SHARE)
-    return out.select(F.col("id").alias(doc_id), F.col("src").alias(source), "at_limit", cut.alias("cut"))
+    never = (ended("g3") == 0) & F.coalesce(opinion("g2") < 0.02, opinion("g1") < 0.02, F.lit(False)) & (on("g2") + on("g1") >= MANY)
+    bare = ~F.col("stopped") & ~(final & (last("g0") > ended("g0")))
+    reason = (
+        F.when(F.col("at_limit") & bare, "limit").when(F.col("marked") & bare, "mark").when(F.col("open"), "block")
+        .when(F.col("stopped") & never, "ending").when(~F.col("stopped") & ~F.col("at_limit") & ~F.col("marked") & (share < END_SHARE), "ending")
+    )
+    kind = dict(docs.dtypes)[doc_id]
+    verdicts = out.select(F.col("id").cast(kind).alias(doc_id), F.col("src").alias(source), "at_limit", reason.isNotNull().alias("cut"), reason.alias("reason"))
+    return verdicts, limits
