@@ -34,12 +34,23 @@ def with_shards(df: DataFrame, key: str, at_ms: str, *, rows: int, halo: int, bu
     Adds __shard and __core (false on halo copies). A series of up to ``rows`` rows is one shard. For the longer ones, of which there are
     fewer than one per ``rows`` rows of input, a histogram of rows by (key, time bucket) gives each bucket's place in its series; a bucket
     belongs to the shard of its place, and is copied whole to each shard of which it holds some of the ``halo`` rows just before or
-    after. So every shard is one unbroken stretch, however skewed the keys, and no task gets more than about ``rows`` plus three buckets.
-    The buckets' plan is written as a table of its own, so that Catalyst knows its size: it is broadcast under the threshold and joined
+    after. A bucket that alone has more than ``rows`` rows is parted in 16 as often as it takes, down to a millisecond, so that every shard is
+    one unbroken stretch, however skewed the keys or busy a moment, and no task gets more than about ``rows`` plus three buckets.
+    The plans are written as tables of their own, so that Catalyst knows their size: they are broadcast under the threshold and joined
     by shuffle beyond. Rows with a null key or time are left out.
     """
-    bucketed = df.where(F.col(key).isNotNull() & F.col(at_ms).isNotNull()).withColumn("__bucket", F.call_function("div", F.col(at_ms), F.lit(bucket_ms).cast("bigint")))
-    sizes = bucketed.groupBy(F.col(key).alias("__key"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    width = F.lit(bucket_ms).cast("bigint")
+    bucketed = df.where(F.col(key).isNotNull() & F.col(at_ms).isNotNull()).withColumn("__bucket", F.col(at_ms) - F.pmod(F.col(at_ms), width))
+    count = lambda d: d.groupBy(F.col(key).alias("__key"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = materialise(count(bucketed), "buckets")
+    while (busy := sizes.where(F.col("__n") > rows)).limit(1).count() and bucket_ms > 1:
+        # Only the busy buckets are parted.
+        bucket_ms = max(1, bucket_ms // 16)
+        heavy = materialise(busy.select(F.col("__key").alias("__k2"), F.col("__b").alias("__b2")), "busy")
+        finer = F.col(at_ms) - F.pmod(F.col(at_ms), F.lit(bucket_ms).cast("bigint"))
+        at = (F.col(key) == F.col("__k2")) & (F.col("__bucket") == F.col("__b2"))
+        bucketed = bucketed.join(heavy, at, "left").withColumn("__bucket", F.when(F.col("__b2").isNotNull(), finer).otherwise(F.col("__bucket"))).drop("__k2", "__b2")
+        sizes = materialise(count(bucketed), "buckets")
     order = W.partitionBy("__key").orderBy("__b")
     placed = sizes.withColumn("__all", F.sum("__n").over(W.partitionBy("__key"))).where(F.col("__all") > rows)
     placed = placed.withColumn("__to", F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("__from", F.col("__to") - F.col("__n"))

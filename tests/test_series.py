@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from eventweave.operators import faults
 from eventweave.operators.bars import with_shards
-from eventweave.operators.faults import FaultModel, find_faults, flag_chains, forward_backward
+from eventweave.operators.faults import FACTS, UNKNOWN, FaultModel, find_faults, flag_chains, forward_backward
 from eventweave.operators.grid import DAY_MS, regular_grid
 from eventweave.operators.rolling import trailing_totals
 
@@ -74,10 +75,13 @@ def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     emit, starts = rng.normal(size=(150, 4)) * 2, np.zeros(150, bool)
     starts[[0, 1, 70]] = True
-    a = FaultModel().transitions()
-    pi = np.linalg.matrix_power(a, 200)[0]
-    got = forward_backward(emit, starts, a)
-    for lo, hi in ((0, 1), (1, 70), (70, 150)):
+    facts = np.tile([UNKNOWN[f] for f in FACTS], (3, 1))
+    facts[1, 3:] = [0.1, 0.05, 0.6, 0.02]
+    each = FaultModel().transitions(facts)
+    assert np.allclose(each.sum(2), 1)
+    got = forward_backward(emit, starts, each)
+    for a, (lo, hi) in zip(each, ((0, 1), (1, 70), (70, 150))):
+        pi = np.linalg.matrix_power(a, 200)[0]
         e = np.exp(emit[lo:hi])
         f, b = [pi * e[0]], [np.ones(4)]
         for i in range(1, hi - lo):
@@ -89,6 +93,13 @@ def test_forward_backward_is_exact():
         assert np.allclose(got[lo:hi], want / want.sum(1, keepdims=True), atol=1e-9)
 
 
+def _known(scale, n=1):
+    """Facts of n series with this usual move."""
+    out = np.tile([UNKNOWN[f] for f in FACTS], (n, 1))
+    out[:, 0] = scale
+    return out
+
+
 def _bars(n=400, seed=3):
     rng = np.random.default_rng(seed)
     cl = (100 + rng.normal(size=n).cumsum() * 0.2).tolist()
@@ -126,21 +137,60 @@ def test_spikes_beside_a_volatile_bar(spikes, volatile):
     price = np.stack([cl + 0.5, cl - 0.5, cl, cl], 1)
     price[spikes, 1] -= 62
     price[[i if i < 21 else spikes[-1] + 1 for i in volatile], 0] = 100.5 + 8.4
-    flags = flag_chains(np.zeros(40, int), price, np.zeros(40, bool), np.ones(40), FaultModel())
+    flags = flag_chains(np.zeros(40, int), price, np.zeros(40, bool), _known(1.0), FaultModel())
     assert np.flatnonzero(flags).tolist() == spikes
     # Three bars off are a change of level.
     price[20:23] = [161, 159, 160, 160]
     price[[20, 22], 0] += 0.25
-    assert not flag_chains(np.zeros(40, int), price, np.zeros(40, bool), np.ones(40), FaultModel())[20:23].any()
+    assert not flag_chains(np.zeros(40, int), price, np.zeros(40, bool), _known(1.0), FaultModel())[20:23].any()
 
 
 def test_flags_of_flat_and_null_series():
     none = np.full((20, 4), np.nan)
-    assert not flag_chains(np.zeros(20, int), none, np.zeros(20, bool), np.zeros(20), FaultModel()).any()
+    assert not flag_chains(np.zeros(20, int), none, np.zeros(20, bool), _known(0.0), FaultModel()).any()
     flat = np.ones((20, 4))
-    assert (flag_chains(np.zeros(20, int), flat, np.zeros(20, bool), np.zeros(20), FaultModel()) == 1).all()
-    assert not flag_chains(np.arange(20), flat, np.zeros(20, bool), np.zeros(20), FaultModel()).any()
-    assert len(flag_chains(np.zeros(0, int), np.zeros((0, 4)), np.zeros(0, bool), np.zeros(0), FaultModel())) == 0
+    assert (flag_chains(np.zeros(20, int), flat, np.zeros(20, bool), _known(0.0), FaultModel()) == 1).all()
+    assert not flag_chains(np.arange(20), flat, np.zeros(20, bool), _known(0.0, 20), FaultModel()).any()
+    assert len(flag_chains(np.zeros(0, int), np.zeros((0, 4)), np.zeros(0, bool), _known(1.0, 0), FaultModel())) == 0
+
+
+def test_the_model_decides_what_is_usual_for_a_source(spark, monkeypatch):
+    """Deviations and repeats that the bounds alone would flag are normal for a source that always has them."""
+    n, rng = 600, np.random.default_rng(8)
+    calm = 100 + rng.normal(size=n).cumsum() * 0.2
+    restless = calm.copy()
+    restless[5::7] += 15 * 0.2 * rng.choice([-1, 1], len(restless[5::7]))
+    lengths = [x for _ in range(60) for x in (5, 4, 3, 2, 5, 3)]
+    lengths[60] = 6
+    sleepy = np.repeat(100 + rng.normal(size=len(lengths)).cumsum() * 0.2, lengths)[:n]
+    calm[300] += 15
+    calm[400:406] = calm[400]
+    rows = []
+    for k, cl in enumerate((calm, restless, sleepy)):
+        rows += [(1000 * k + i, "crs"[k], i * 60_000, *[float(x) for x in (c, c + 0.1, c - 0.1, c, c)]) for i, c in enumerate(cl)]
+    df = spark.createDataFrame(rows, "bar_id bigint, symb string, t bigint, op double, hi double, lo double, cl double, vwap double")
+    find = lambda: {r.bar_id: r.fault for r in find_faults(df, row_id="bar_id", source="symb", at_ms="t").collect()}
+    want = {300: "spike"} | {i: "stuck" for i in range(400, 406)}
+    assert find() == want
+    # With the posteriors taken away and the bounds left, the other two are flagged as well.
+    price = np.stack([restless + 0.1, restless - 0.1, restless, restless], 1)
+    facts = _known(float(np.median(np.abs(np.diff(restless)))))
+    assert (flag_chains(np.zeros(n, int), price, np.zeros(n, bool), facts, FaultModel()) == 2).sum() > 20
+    facts[0, 1] = 8.0
+    assert (flag_chains(np.zeros(n, int), price, np.zeros(n, bool), facts, FaultModel()) == 2).sum() == 0
+    still = np.stack([sleepy + 0.1, sleepy - 0.1, sleepy, sleepy], 1)
+    facts[0, :3] = [0.2, 2.0, 0.7]
+    assert (flag_chains(np.zeros(n, int), still, np.zeros(n, bool), facts, FaultModel()) == 1).sum() == 0
+    monkeypatch.setattr(faults, "forward_backward", lambda emit, *args: np.tile([0.0, 0.0, 1.0, 0.0], (len(emit), 1)))
+    assert (flag_chains(np.zeros(n, int), still, np.zeros(n, bool), _known(0.1), FaultModel()) == 1).sum() == 6
+
+
+def test_a_busy_moment_is_parted(spark):
+    rows = [("hot", 86_400_000 * 5 + 17 * i) for i in range(500)] + [("hot", 86_400_000 * 9), ("cold", 3)] + [("hot", 86_400_000 * 7)] * 40
+    df = spark.createDataFrame(rows, "k string, t bigint")
+    got = with_shards(df, "k", "t", rows=50, halo=5, bucket_ms=DAY_MS).collect()
+    core = [r for r in got if r["__core"]]
+    assert len(core) == len(rows) and max(np.unique([r["__shard"] for r in core if r.k == "hot"], return_counts=True)[1]) <= 150
 
 
 @pytest.mark.parametrize(("rows", "halo", "bucket"), [(30, 5, 1000), (30, 29, 7000), (200, 10, 100), (1000, 5, 1000)])
