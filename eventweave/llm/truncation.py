@@ -355,7 +355,7 @@ def _filter(asked: DataFrame, n: int) -> np.ndarray:
 def inspect(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Endings (a row per row of ``docs`` with a text), hidden limits and footers, as `find_truncated` takes them; all written tables."""
     # Ids travel as text: pandas would make floats of integers beside nulls.
-    texts = docs.where(F.length(F.trim(F.regexp_replace(F.col(text), r"\s", " "))) > 0).select(
+    texts = docs.where(F.col(text).rlike(r"\S")).select(
         F.col(doc_id).cast("string").alias("id"), F.col(source).alias("src"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")
     )
     flags = ", ".join(f"{c} boolean" for c in FLAGS)
@@ -424,7 +424,7 @@ def _places(docs: DataFrame, ends: DataFrame, feet: DataFrame, source: str, text
     asked = ends.select(F.explode(F.array("ctx", *GRAMS)).alias("g"))
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(_filter(asked, ends.count() * (len(GRAMS) + 1)))
-    texts = docs.where(F.length(F.trim(F.regexp_replace(F.col(text), r"\s", " "))) > 0).select(F.col(source).alias("src"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    texts = docs.where(F.col(text).rlike(r"\S")).select(F.col(source).alias("src"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
     # Equal texts have one vote between them: no text need be chosen or moved for that.
     copies = materialise(ends.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("hash", "c_hash"), "copies")
     texts = texts.join(copies, F.col("hash") == F.col("c_hash"), "left").join(feet, F.col("src") == F.col("f_src"), "left")
