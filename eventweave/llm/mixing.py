@@ -22,8 +22,6 @@ from eventweave.session import materialise
 TOKENIZERS = "/opt/tokenizers"
 #: The usual splitting pattern of the byte-level vocabulary. Fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Key buckets per source in the two-level prefix sum.
-BUCKETS = 4096
 
 
 @lru_cache(maxsize=2)
@@ -39,22 +37,37 @@ def token_counts(docs: DataFrame, *, doc_id: str, text: str, keep: list[str], fo
     """(doc_id, keep..., n_tokens): tokens of each whole text under a public tokenizer; null and empty texts have 0."""
     path = os.path.join(folder or os.environ.get("EVENTWEAVE_TOKENIZERS", TOKENIZERS), vocabulary)
     kinds = dict(docs.dtypes)
+    # Ids and what is kept travel in one column, untouched: pandas would make floats of integers beside nulls.
+    rows = docs.select(F.to_json(F.struct(F.col(doc_id).cast("string").alias("id"), *[F.col(f"`{c}`").cast("string").alias(f"k{i}") for i, c in enumerate(keep)])).alias("kept"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoding(path)
         for pdf in batches:
-            out = pdf[[doc_id, *keep]].copy()
-            out["n_tokens"] = [len(enc.encode_ordinary(t)) if isinstance(t, str) and t else 0 for t in pdf[text]]
-            yield out
+            yield pd.DataFrame({"kept": pdf["kept"], "n_tokens": [len(enc.encode_ordinary(t)) if isinstance(t, str) and t else 0 for t in pdf["text"]]})
 
-    return docs.select(doc_id, *keep, text).mapInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in (doc_id, *keep)], "n_tokens bigint"]))
+    fields = F.from_json("kept", ", ".join(["id string", *[f"k{i} string" for i in range(len(keep))]]))
+    counted = rows.mapInPandas(run, "kept string, n_tokens bigint").withColumn("f", fields)
+    return counted.select(F.col("f.id").cast(kinds[doc_id]).alias(doc_id), *[F.col(f"f.k{i}").cast(kinds[c]).alias(c) for i, c in enumerate(keep)], "n_tokens")
 
 
 def quality_weight(text: Column) -> Column:
-    """A weight in 0.1 to 1: the share of letters and spaces in the text, low for tables, logs and fragments; 0.1 for null and empty."""
+    """A weight in 0.1 to 1 from what commonly tells running text from tables, logs, menus and fragments; 0.1 for null and empty texts.
+
+    The product of four shares, each 1 for plain prose: letters and spaces among the characters; words with a letter among the words; distinct
+    lines among the lines that aren't blank; and length, up to 20 words. Words of 3 to 10 letters on average are usual; longer or shorter
+    means count less, in proportion.
+    """
     n = F.length(text)
-    plain = F.length(F.regexp_replace(text, r"[^\p{L}\s]", ""))
-    return F.when(n > 0, F.greatest(F.lit(0.1), plain / n)).otherwise(F.lit(0.1))
+    plain = F.length(F.regexp_replace(text, r"[^\p{L}\s]", "")) / n
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    many = F.size(words)
+    wordy = F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) / many
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    distinct = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
+    mean = n / many - 1
+    usual = F.when(mean < 3, F.greatest(mean, F.lit(0.0)) / 3).when(mean > 10, 10 / mean).otherwise(1.0)
+    weight = plain * wordy * distinct * F.least(many / 20, F.lit(1.0)) * usual
+    return F.when(n > 0, F.greatest(F.lit(0.1), F.least(F.lit(1.0), weight))).otherwise(F.lit(0.1))
 
 
 def _key(doc_id: Column, mix: Column, weight: Column, seed: int) -> Column:
@@ -102,21 +115,24 @@ def mix(docs: DataFrame, targets: DataFrame, *, weight: str | None = None, total
     wanted = plan.where("budget > 0").select("mix_name", "source", "epochs", "rest")
     weighed = F.when(F.col("__w") > 0, F.col("__w")).otherwise(F.lit(1e-9))
     drawn = usable.join(wanted, "source").withColumn("key", _key(F.col("doc_id"), F.col("mix_name"), weighed, seed))
-    # Prefix sums in key order without ordering a whole source in one task: buckets of keys are summed first, then only the bucket in
-    # which the budget ends is ordered. Exponential keys spread evenly over 1 - exp(-key).
-    drawn = drawn.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
-    by_bucket = drawn.where("rest > 0").groupBy("mix_name", "source", "bucket", "rest").agg(F.sum("n_tokens").alias("t"))
-    upto = W.partitionBy("mix_name", "source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    border = by_bucket.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0)))
-    border = border.where("before < rest and before + t >= rest").select("mix_name", "source", F.col("bucket").alias("border"), "before")
-    at = drawn.join(F.broadcast(border), ["mix_name", "source"], "left")
-    inside = at.where("bucket = border")
+    # Prefix sums in key order without ordering a whole source in one task: ranges of keys, even whatever the weights, are summed first,
+    # then only the range in which the budget ends is ordered. Written once; sources that give whole epochs alone stay out.
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = drawn.where("rest > 0").repartitionByRange(ranges, "mix_name", "source", "key", "doc_id")
+    ranged = materialise(ranged.select("mix_name", "source", "doc_id", "n_tokens", "epochs", "rest", "key", F.spark_partition_id().alias("range")), "drawn")
+    by_range = ranged.groupBy("mix_name", "source", "range", "rest").agg(F.sum("n_tokens").alias("t"))
+    upto = W.partitionBy("mix_name", "source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    border = by_range.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0)))
+    # A row per listed source, written so that its size is known: broadcast under the threshold.
+    border = materialise(border.where("before < rest and before + t >= rest").select("mix_name", "source", F.col("range").alias("border"), "before"), "border")
+    at = ranged.join(border, ["mix_name", "source"])
     order = W.partitionBy("mix_name", "source").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    cut = inside.withColumn("end", F.col("before") + F.sum("n_tokens").over(order)).withColumn("begin", F.col("end") - F.col("n_tokens"))
+    cut = at.where("range = border").withColumn("end", F.col("before") + F.sum("n_tokens").over(order)).withColumn("begin", F.col("end") - F.col("n_tokens"))
     cut = cut.withColumn("part", ((F.col("end") <= F.col("rest")) | ((F.col("begin") < F.col("rest")) & (F.col("end") - F.col("rest") <= F.col("rest") - F.col("begin")))).cast("int"))
-    outside = at.where("border is null or bucket <> border").withColumn("part", F.when(F.col("bucket") < F.col("border"), 1).otherwise(0))
+    clear = at.where("range <> border").withColumn("part", (F.col("range") < F.col("border")).cast("int"))
+    even = drawn.where("rest = 0").withColumn("part", F.lit(0))
     cols = ["mix_name", "source", "doc_id", "n_tokens", (F.col("epochs") + F.col("part")).cast("int").alias("copies")]
-    selection = outside.select(*cols).unionByName(cut.select(*cols)).where("copies > 0")
+    selection = even.select(*cols).unionByName(clear.select(*cols)).unionByName(cut.select(*cols)).where("copies > 0")
     reached = selection.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     report = plan.join(reached, ["mix_name", "source"], "left").fillna(0, ["tokens", "most_copies"])
     total = F.sum("tokens").over(W.partitionBy("mix_name"))

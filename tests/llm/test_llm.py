@@ -244,7 +244,24 @@ def test_token_counts_and_weights(spark):
     got = {r.doc_id: r.n_tokens for r in mixing.token_counts(df, doc_id="doc_id", text="text", keep=[]).collect()}
     assert got[1] == 6 and got[2] == got[3] == 0 and got[4] > 100 and got[5] > 1
     w = {r.doc_id: r.w for r in df.select("doc_id", mixing.quality_weight(F.col("text")).alias("w")).collect()}
-    assert w[2] == w[3] == 0.1 and w[4] == 1.0 and 0.8 < w[1] < 1
+    assert w[2] == w[3] == 0.1 and w[4] == 0.1 and 0.1 < w[1] < 0.3
+    prose, table = "The late feed was quiet after lunch and nobody saw the gap until the next morning came round again in the hall. " * 2, "12 | 44 | 9\n" * 40
+    w = [r.w for r in spark.createDataFrame([(prose,), (table,), (" \n",)], "t string").select(mixing.quality_weight(F.col("t")).alias("w")).collect()]
+    assert w[0] > 0.9 and w[1] == w[2] == 0.1
+    nulls = spark.createDataFrame([(None, "a b"), (2**60 + 1, "c")], "doc_id bigint, text string")
+    assert {r.doc_id for r in mixing.token_counts(nulls, doc_id="doc_id", text="text", keep=[]).collect()} == {None, 2**60 + 1}
+
+
+@pytest.mark.parametrize("weight", [0.1, 1e-9, 10.0])
+def test_ranges_are_even_at_any_weight(spark, weight):
+    docs = [(i, "s", 1 + i % 7, weight) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint, w double")
+    targets = spark.createDataFrame([("m", "s", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    selection, report = mixing.mix(df, targets, weight="w", total_tokens=5000)
+    assert abs(report.first().tokens - 5000) <= 4 and selection.agg(F.sum("n_tokens")).first()[0] == report.first().tokens
+    key = mixing._key(F.col("doc_id"), F.lit("m"), F.col("w"), 17)
+    sizes = df.withColumn("key", key).repartitionByRange(8, "key", "doc_id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 3 * 3000 / 8
 
 
 # Truncation
