@@ -28,8 +28,8 @@ MONTHS = {
     "nov": 11, "dec": 12, "dez": 12, "déc": 12, "dic": 12, "juin": 6, "juil": 7,
 }
 
-#: Instants outside are no times: years 2000 to 2099.
-EARLIEST_MS, LATEST_MS = 946_684_800_000, 4_102_444_800_000
+#: Instants outside are no times, unless a caller says otherwise: years 1900 to 2199. Zone rules are worked out for these years.
+EARLIEST_MS, LATEST_MS = -2_208_988_800_000, 7_258_118_400_000
 DAY_MS = 86_400_000
 
 _CLOCK = r"(?:(?:[T,]?\s*)(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d{1,9}))?)?(?:\s*(?P<ap>[AaPp]\.?[Mm]\.?|Uhr)(?![A-Za-z]))?)?"
@@ -74,12 +74,14 @@ def _year(y: int) -> int:
 def parse_text(raw: str | None, order: str) -> tuple[int, int | None, str | None, int] | None:
     """(local ms, minutes east of UTC or None, named zone or None, precision in ms), or None where the text names no time.
 
-    An epoch count comes back with 0 minutes. Digits beyond ms are dropped; parts not written are zero.
+    An epoch count comes back with 0 minutes. Digits beyond ms are dropped; parts not written are zero. A second 60 (a leap second) is the
+    first of the minute after it. Texts may be of any length.
     """
     if raw is None:
         return None
-    s = raw.strip()
-    if not 6 <= len(s) <= 64:
+    # White space of any length is one space, so that no pattern has to go over it twice.
+    s = " ".join(raw.split())
+    if not s:
         return None
     try:
         if s[:4].isdigit():
@@ -122,7 +124,7 @@ def parse_text(raw: str | None, order: str) -> tuple[int, int | None, str | None
         if not 1 <= h <= 12:
             return None
         h = h % 12 + 12 * (ap[0] == "p")
-    if h > 23 or mi > 59 or sec > 59:
+    if h > 23 or mi > 59 or sec > 60:
         return None
     local = (day.toordinal() - _TO_1970) * DAY_MS + ((h * 60 + mi) * 60 + sec) * 1000 + int(frac.ljust(3, "0") or 0)
     precision = DAY_MS if g["h"] is None else 60_000 if g["s"] is None else 10 ** (3 - len(frac))
@@ -141,7 +143,7 @@ def parse_text(raw: str | None, order: str) -> tuple[int, int | None, str | None
 
 @lru_cache(maxsize=256)
 def zone_rules(name: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """Instants (ms) at which the zone's offset changes from 2000 to 2099, and the offset (ms) from each on; None for an unknown zone."""
+    """Instants (ms) at which the zone's offset changes from EARLIEST_MS to LATEST_MS, and the offset (ms) from each on; None for an unknown zone."""
     try:
         zone = ZoneInfo(name)
     except (KeyError, ValueError, OSError):

@@ -3,8 +3,10 @@
 Every distinct (kind, text, zone, locale) is parsed once, written to a Parquet dictionary that later runs only add to, and the
 instants are joined back to the rows. Texts already in the standard form skip the dictionary: a cast gives their instant.
 
-Defined results: null, empty, blank and unreadable texts, impossible dates and clock times, unknown zones, years outside 2000 to
-2099, and local times that the clock skipped give a null instant. A local time shown twice gives the occurrence nearer to the
+Typed epoch counts are told apart by size alone and don't come here (`functions.epoch`); those written as texts do.
+
+Defined results: null, empty, blank and unreadable texts, impossible dates and clock times, unknown zones, instants outside the
+dictionary's span (years 1900 to 2199, if not said otherwise), and local times that the clock skipped give a null instant. A local time shown twice gives the occurrence nearer to the
 row's reference instant, the first where there is none. A null zone or one the zone database lacks gives null for texts that carry
 no zone of their own. Columns of the input are kept, whatever their names; the result column replaces one of the same name.
 """
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventweave.functions.timeparse import EARLIEST_MS, LATEST_MS, order_of, parse_text, to_utc
-from eventweave.session import scratch_path
+from eventweave.session import scratch_path, scratch_root
 
 #: Standard forms by kind. An "instant" has zone Z and ms; a "day" is a plain ISO date.
 STANDARD = {"instant": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$", "day": r"^\d{4}-\d{2}-\d{2}$"}
@@ -31,14 +33,14 @@ def is_standard(raw: Column, kind: str) -> Column:
     return raw.rlike(STANDARD[kind])
 
 
-def standard_ms(raw: Column, kind: str) -> Column:
-    """Instant of a text in standard form; null for any other text and for impossible dates."""
+def standard_ms(raw: Column, kind: str, span: tuple[int, int] = (EARLIEST_MS, LATEST_MS)) -> Column:
+    """Instant of a text in standard form; null for any other text, for impossible dates and instants outside ``span``."""
     written = raw if kind == "instant" else F.concat(raw, F.lit("T00:00:00.000Z"))
     ms = F.unix_millis(F.try_to_timestamp(written, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")))
-    return F.when(is_standard(raw, kind) & (ms >= EARLIEST_MS) & (ms < LATEST_MS), ms)
+    return F.when(is_standard(raw, kind) & (ms >= span[0]) & (ms < span[1]), ms)
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(batches: Iterator[pd.DataFrame], span: tuple[int, int]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         n = len(pdf)
         first, last, good = np.zeros(n, "int64"), np.zeros(n, "int64"), np.zeros(n, bool)
@@ -59,7 +61,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 zones.setdefault(got[2] or zone, []).append(i)
         for name, at in zones.items():
             first[at], last[at], good[at] = to_utc(local[at], name)
-        good &= (first >= EARLIEST_MS) & (first < LATEST_MS)
+        good &= (first >= span[0]) & (first < span[1])
         out = pdf[_KEYS].copy()
         out["first_ms"] = pd.array(np.where(good, first, 0), dtype="Int64")
         out["last_ms"] = pd.array(np.where(good, last, 0), dtype="Int64")
@@ -67,30 +69,39 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+#: Raised when texts come to be read otherwise, so that no dictionary of before is taken up.
+READING = 2
+
+
 class TimeDictionary:
-    """Distinct time texts and their instants, kept as Parquet files under ``path``; each ``add`` appends only what is new.
+    """Distinct time texts and their instants, kept as Parquet files under ``path``; each ``add`` parses and appends only what is new.
 
-    Without a path, a fresh folder under the cluster's shared scratch folder is used. One writer at a time.
+    With a ``name`` instead of a path it lies in the cluster's shared scratch folder, where later runs find it and go on with it; with
+    neither, in a folder of its own there. One writer at a time; should an append come twice all the same, its entries count once.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path = spark, path or scratch_path(spark, "times")
+    def __init__(self, spark: SparkSession, path: str | None = None, *, name: str | None = None, span: tuple[int, int] = (EARLIEST_MS, LATEST_MS)) -> None:
+        if path is None and name is not None:
+            path = f"{scratch_root(spark)}/times-{name}-{READING}" + ("" if span == (EARLIEST_MS, LATEST_MS) else f"-{span[0]}-{span[1]}")
+        self.spark, self.path, self.span = spark, path or scratch_path(spark, "times"), span
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
-        self._written = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        self._written = self._taken_up = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
     def table(self) -> DataFrame:
         if not self._written:
             return self.spark.createDataFrame([], _ENTRY)
-        return self.spark.read.schema(_ENTRY).parquet(self.path)
+        entries = self.spark.read.schema(_ENTRY).parquet(self.path)
+        # Only what other runs have written may hold an entry twice.
+        return entries.dropDuplicates(_KEYS) if self._taken_up else entries
 
     def add(self, texts: DataFrame) -> None:
         """``texts`` has kind, raw, zone and locale; rows may repeat, nulls in raw are left out. Parses what the dictionary lacks."""
-        new = texts.select(*_KEYS).where(F.col("raw").isNotNull()).distinct()
+        new, span = texts.select(*_KEYS).where(F.col("raw").isNotNull()).distinct(), self.span
         if self._written:
             old = self.table().select(*_KEYS)
             new = new.join(old, [F.equal_null(new[k], old[k]) if k in ("zone", "locale") else new[k] == old[k] for k in _KEYS], "left_anti")
-        new.mapInPandas(_parse, _ENTRY).write.mode("append").parquet(self.path)
+        new.mapInPandas(lambda batches: _parse(batches, span), _ENTRY).write.mode("append").parquet(self.path)
         self._written = True
 
 
@@ -101,7 +112,7 @@ def resolve(values: DataFrame, dictionary: TimeDictionary, reference: str | None
     sort-merge join whose hot keys the adaptive skew join splits. Null texts get spread keys that match nothing.
     """
     raw = F.col("raw")
-    canonical = F.when(F.col("kind") == "day", standard_ms(raw, "day")).otherwise(standard_ms(raw, "instant"))
+    canonical = F.when(F.col("kind") == "day", standard_ms(raw, "day", dictionary.span)).otherwise(standard_ms(raw, "instant", dictionary.span))
     todo = ~F.when(F.col("kind") == "day", is_standard(raw, "day")).otherwise(is_standard(raw, "instant"))
     dictionary.add(values.where(todo))
     entries = dictionary.table().select(

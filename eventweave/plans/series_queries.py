@@ -37,7 +37,7 @@ def _time_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each value that names a time but not in the standard form, with its instant."""
     odd = _time_values(spark, sf_dir).where(F.col("raw").isNotNull() & ~F.when(F.col("kind") == "day", is_standard(F.col("raw"), "day")).otherwise(is_standard(F.col("raw"), "instant")))
-    texts = resolve(odd, TimeDictionary(spark), "ref_ms").where("norm_ms is not null").select("src_table", "row_id", "field_name", "norm_ms")
+    texts = resolve(odd, TimeDictionary(spark, name="all"), "ref_ms").where("norm_ms is not null").select("src_table", "row_id", "field_name", "norm_ms")
     counts = table(spark, sf_dir, "cdf_bars").select(
         F.lit("cdf_bars").alias("src_table"), F.col("bar_id").alias("row_id"), F.lit("timestamp").alias("field_name"), epoch_ms(F.col("timestamp")).alias("norm_ms"), "timestamp"
     )
@@ -46,7 +46,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_bars_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every bar with its `timestamp`, `datetime` and `date` normalised (null where they name no time)."""
-    times = TimeDictionary(spark)
+    times = TimeDictionary(spark, name="all")
     bars = with_home(table(spark, sf_dir, "cdf_bars").select("bar_id", "feed", "timestamp", "datetime", "date"), table(spark, sf_dir, "feeds"))
     bars = bars.withColumn("timestamp_ms", epoch_ms(F.col("timestamp")))
     bars = normalise(bars, "datetime", F.col("tz_name"), F.col("locale_code"), times, reference="timestamp_ms", out="datetime_ms")
@@ -72,16 +72,16 @@ def p2_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of a faulty bar."""
     bars = table(spark, sf_dir, "cdf_bars").select("bar_id", "symb", "feed", "timestamp", "datetime", "op", "hi", "lo", "cl", "vwap")
-    timed = with_instant(bars, table(spark, sf_dir, "feeds"), TimeDictionary(spark))
+    timed = with_instant(bars, table(spark, sf_dir, "feeds"), TimeDictionary(spark, name="bars"))
     return find_faults(timed, row_id="bar_id", source="symb", at_ms="instant_ms")
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per bar: symb, calendar day, vlm and count. Rows of a symb at one instant are one bar; rows without an instant are each their own."""
     bars = table(spark, sf_dir, "cdf_bars").select("bar_id", "symb", "feed", "timestamp", "datetime", "date", "vlm", F.col("count").alias("n"))
-    timed = with_instant(bars, table(spark, sf_dir, "feeds"), TimeDictionary(spark))
+    timed = with_instant(bars, table(spark, sf_dir, "feeds"), TimeDictionary(spark, name="bars"))
     # Days have a dictionary of their own: it holds one text per form and day, which stays small enough to broadcast.
-    dated = normalise(timed, "date", F.col("tz_name"), F.col("locale_code"), TimeDictionary(spark), kind="day", out="date_ms")
+    dated = normalise(timed, "date", F.col("tz_name"), F.col("locale_code"), TimeDictionary(spark, name="days"), kind="day", out="date_ms")
     # Days by arithmetic and timestamps without zone: the session's zone has no say.
     written = F.expr("date_add(DATE'1970-01-01', cast(date_ms div 86400000 as int))")
     clock = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(instant_ms as decimal(20, 0)) / 1000)")

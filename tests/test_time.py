@@ -37,13 +37,17 @@ UTC = lambda *a: int(datetime(*a, tzinfo=timezone.utc).timestamp() * 1000)  # no
         ("2024-09-19T21:39:20.807-04:00[America/New_York]", "mdy", UTC(2024, 9, 19, 21, 39, 20, 807000), -240, None),
         ("1708390437.5429", "mdy", 1708390437542, 0, None),
         ("1708393518809959", "mdy", 1708393518809, 0, None),
+        ("1999-12-31T23:59:59Z", "ymd", UTC(1999, 12, 31, 23, 59, 59), 0, None),
+        ("2016-12-31T23:59:60Z", "ymd", UTC(2017, 1, 1), 0, None),
+        ("Wed, " + " " * 100_000 + "30 Oct 2024 " + " " * 100_000 + "23:53:04 +1100", "dmy", UTC(2024, 10, 30, 23, 53, 4), 660, None),
+        ("2024-09-19T21:39:20.807123456-05:00[America/Argentina/ComodRivadavia_and_a_name_that_goes_on]", "mdy", UTC(2024, 9, 19, 21, 39, 20, 807000), -300, None),
     ],
 )
 def test_forms(text, order, want, minutes, zone):
     assert parse_text(text, order)[:3] == (want, minutes, zone)
 
 
-@pytest.mark.parametrize("text", [None, "", "   ", "n/a", "0", "-", "99:99", "pending", "0000-00-00 00:00:00", "2024-13-01", "2024-02-30 10:00", "2024-01-01 25:00", "2024-367", "x" * 10_000, "12 Foo 2024"])
+@pytest.mark.parametrize("text", [None, "", "   ", "n/a", "0", "-", "99:99", "pending", "0000-00-00 00:00:00", "2024-13-01", "2024-02-30 10:00", "2024-01-01 25:00", "2024-367", "2024-01-01 10:00:61", "x" * 10_000, "2024-01-01 " + " " * 200_000 + "x", "12 Foo 2024"])
 def test_no_times(text):
     assert parse_text(text, "dmy") is None
 
@@ -87,6 +91,30 @@ def test_dictionary_grows_only_by_what_is_new(spark, tmp_path):
     assert sorted(r.raw for r in again.table().collect()) == ["2024-01-01 10:00", "2024-01-02 10:00", "n/a"]
 
 
+def test_named_dictionary_is_taken_up_and_parses_nothing_twice(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, f"{1 + i % 28}/3/2024 10:00") for i in range(50)], "id int, raw string")
+    at = str(tmp_path / "named")
+    find = lambda: {r.id: r.norm_ms for r in normalise(df, "raw", F.lit("UTC"), F.lit("de"), TimeDictionary(spark, at)).collect()}
+    first = find()
+    files = lambda: sum(r.n for r in spark.read.parquet(at).selectExpr("count(*) n").collect())
+    n = files()
+    assert find() == first and files() == n == 28
+    # An append that came twice doubles no row.
+    spark.read.parquet(at).write.mode("append").parquet(at + "2")
+    spark.read.parquet(at + "2").write.mode("append").parquet(at)
+    assert files() == 56 and normalise(df, "raw", F.lit("UTC"), F.lit("de"), TimeDictionary(spark, at)).count() == 50
+    named = TimeDictionary(spark, name="of-a-test")
+    named.add(spark.createDataFrame([("instant", "2024-01-01 10:00", "UTC", None)], "kind string, raw string, zone string, locale string"))
+    assert TimeDictionary(spark, name="of-a-test").table().count() == 1 and TimeDictionary(spark, name="of-a-test", span=(0, 1)).table().count() == 0
+
+
+def test_span_of_instants(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(["1999-05-05T10:00:00.000Z", "5 May 1999 10:00", "1899-05-05 10:00", "2150-05-05 10:00", "2250-01-01 00:00"])], "id int, raw string")
+    find = lambda **kw: [r.norm_ms for r in normalise(df, "raw", F.lit("UTC"), F.lit("de"), TimeDictionary(spark, **kw)).sort("id").collect()]
+    at = UTC(1999, 5, 5, 10)
+    assert find() == [at, at, None, UTC(2150, 5, 5, 10), None] and find(span=(UTC(2000, 1, 1), UTC(2100, 1, 1))) == [None] * 5
+
+
 def test_epoch_units(spark):
     at = 1_726_790_459_323
     df = spark.createDataFrame([(x,) for x in (at // 1000, at, at * 1000 + 7, at * 1_000_000 + 9, 0, -5, None, 12)], "c bigint")
