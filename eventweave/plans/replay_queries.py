@@ -15,11 +15,12 @@ from eventweave.plans.run import Run
 from eventweave.session import scratch_path, table
 from eventweave.sources import FrameSource, HeartbeatSource, JsonlSource
 from eventweave.sources.sinks import FrameSink, JsonlSink
+from eventweave.streaming.live import LiveRun, live_jsonl
 from eventweave.topics import CDF_BAR, HEART_BEAT, TEXT_MESSAGE, VECTOR_VALUE, PayloadType, Topic
 
 #: A window inside the month that the events cover: 3 to 24 January 2024.
 START, END = 1_704_240_000_000, 1_706_140_800_000
-HOUR = 3_600_000
+HOUR, ALWAYS = 3_600_000, 4_102_444_800_000
 
 EVENT = PayloadType(
     "UserEvent",
@@ -117,7 +118,7 @@ def _echoed(spark: SparkSession, sf_dir: str, delay: int) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("prio"), ms("o_orderdate").alias("t"), F.col("o_orderkey").alias("id"))
     # The source's order is that of its times, so that the guard keeps all.
     source = FrameSource("orders", {topic: None}, orders, {"prio": "prio", "t": "t", "id": "id"}, ["t", "id"])
-    run = Run(0, 4_102_444_800_000).source(source).actor(echo("echo", topic, ECHOES, delay_ms=delay, keys=["1-URGENT"]))
+    run = Run(0, ALWAYS).source(source).actor(echo("echo", topic, ECHOES, delay_ms=delay, keys=["1-URGENT"]))
     return with_position(run.plan(spark).events.select("ord", "topic", "key", "t"))
 
 
@@ -129,16 +130,17 @@ def delayed_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shift(name: str, events: DataFrame) -> dict[str, DataFrame]:
     when = F.col("t") + (F.col("payload.event_id") % 3 - 1) * 500
-    payload = F.struct(F.col("key").alias("msgKey"), when.alias("msgTime"), F.lit("shifted").alias("text"))
+    payload = F.struct(F.col("key").alias("msgKey"), when.alias("msgTime"), F.col("payload.event_id").cast("string").alias("text"))
     return {"echoes": events.select("ord", "t", F.lit(0).cast("bigint").alias("emit"), payload.alias("payload"))}
 
 
 def causality_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publishes before, at and after the trigger's time: the first are rejected. Counts by key and outcome."""
-    plan = Run(0, 4_102_444_800_000).source(_source(spark, sf_dir)).actor(ColumnarActor("shift", {STREAM: None}, {ECHOES: None}, fn=_shift)).plan(spark)
-    kept = plan.events.where("topic = 'echoes'").groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("outcome", F.lit("published"))
-    lost = plan.errors.select(F.get_json_object("message", "$.msgKey").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("outcome", F.lit("rejected"))
-    return kept.unionByName(lost)
+    """Publishes before, at and after the trigger's time: the first are rejected. A row each, with the place in the stream of those published, -1 for the others."""
+    plan = Run(0, ALWAYS).source(_source(spark, sf_dir)).actor(ColumnarActor("shift", {STREAM: None}, {ECHOES: None}, fn=_shift)).plan(spark)
+    kept = with_position(plan.events.select("ord", "topic", "json")).where("topic = 'echoes'").select("pos", F.col("json").alias("message"), F.lit("published").alias("outcome"))
+    lost = plan.errors.select(F.lit(-1).cast("bigint").alias("pos"), "message", F.col("kind").alias("outcome"))
+    field = lambda n: F.get_json_object("message", f"$.{n}")
+    return kept.unionByName(lost).select("pos", "outcome", field("msgKey").alias("key"), field("msgTime").cast("bigint").alias("t"), field("text").cast("bigint").alias("event_id"))
 
 
 def two_hop_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,25 +165,29 @@ def bar_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as price bars: to JSON and back, decimals exact."""
     d = lambda c: F.col(c).cast("decimal(18,4)")
     line = table(spark, sf_dir, "lineitem")
-    price = {"op": d("l_extendedprice"), "hi": (d("l_extendedprice") + d("l_tax")), "lo": (d("l_extendedprice") - d("l_discount")), "cl": d("l_extendedprice")}
+    price = {"op": d("l_extendedprice"), "hi": (d("l_extendedprice") + d("l_tax")), "lo": (d("l_extendedprice") - d("l_discount")), "cl": d("l_tax"), "vwap": F.when(F.col("l_linenumber") > 2, d("l_discount"))}
     kinds = {f.name: f.dataType for f in CDF_BAR.schema.fields}
-    values = {"symb": F.col("l_returnflag"), "timestamp": ms("l_shipdate"), **price, "vlm": F.col("l_quantity"), "count": F.col("l_linenumber")}
+    values = {"symb": F.col("l_returnflag"), "timestamp": ms("l_shipdate"), **price, "vlm": F.col("l_quantity"), "datetime": F.col("l_shipdate"), "date": F.col("l_shipdate"), "count": F.col("l_linenumber")}
     bar = F.struct(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
     back = line.select("l_orderkey", codec.parse(codec.to_json(bar), CDF_BAR).alias("b"))
     return back.select(
-        "l_orderkey", F.col("b.symb").alias("symb"), F.col("b.timestamp").alias("t"), F.col("b.hi").cast("decimal(18,4)").alias("hi"), F.col("b.lo").cast("decimal(18,4)").alias("lo"),
-        F.col("b.vlm").alias("vlm"), F.col("b.count").alias("n"),
+        "l_orderkey", F.col("b.symb").alias("symb"), F.col("b.timestamp").alias("t"), *[F.coalesce(f"b.{c}", F.lit(-1)).cast("decimal(18,4)").alias(c) for c in ("op", "hi", "lo", "cl", "vwap")],
+        F.col("b.vlm").alias("vlm"), ms("cast(b.datetime as timestamp_ntz)").alias("at"), F.date_format("b.date", "yyyy-MM-dd").alias("day"), F.col("b.count").alias("n"),
     )
 
 
 def vector_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as vectors of decimals; one of each seven has a label too few and is rejected."""
+    """Embeddings as vectors of decimals through a run; one of each seven has a label too few and is rejected. A row per value."""
     vec = table(spark, sf_dir, "embeddings")
     values = F.transform("embedding", lambda x: x.cast("decimal(38,18)"))
     labels = F.transform(F.sequence(F.lit(1), F.size("embedding") - F.when(F.col("vec_id") % 7 == 0, 1).otherwise(0)), lambda i: i.cast("string"))
     made = F.struct(F.col("label").cast("string").alias("key"), F.col("vec_id").alias("time"), values.alias("values"), labels.alias("valueIds"))
-    ok = vec.select("vec_id", made.alias("v")).where(codec.valid(F.col("v"), VECTOR_VALUE))
-    return ok.select("vec_id", F.col("v.key").alias("key"), F.size("v.values").alias("n"))
+    ok = vec.select("vec_id", made.alias("v")).where(codec.valid(F.col("v"), VECTOR_VALUE)).select("vec_id", "v.*")
+    topic = Topic("vectors", VECTOR_VALUE)
+    source = FrameSource("vectors", {topic: None}, ok, {c: c for c in ("key", "time", "values", "valueIds")}, ["vec_id"])
+    got = Run(0, ALWAYS).source(source).plan(spark).events.select(codec.parse(F.col("json"), VECTOR_VALUE).alias("v"))
+    each = got.select(F.col("v.time").alias("vec_id"), F.col("v.key").alias("key"), F.inline(F.arrays_zip(F.col("v.valueIds").alias("label"), F.col("v.values").alias("value"))))
+    return each.select("vec_id", "key", F.col("label").cast("bigint").alias("place"), F.col("value").cast("decimal(18,6)").alias("value"))
 
 
 def tagged_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,10 +199,49 @@ def tagged_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.coalesce("m.msgKey", "h.beatKey").alias("key"), F.coalesce("m.msgTime", "h.beatTime").alias("t"), F.col("m.text").alias("text"))
 
 
+def _arriving(spark: SparkSession, sf_dir: str, jitter: bool = False) -> DataFrame:
+    """All events as they arrive, in three files one after another: a stream."""
+    folder = scratch_path(spark, "arriving")
+    events = _events(spark, sf_dir, jitter)
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = ((high or 0) - (low or 0)) // 3 + 1
+    for i in range(3):
+        third = events.where((F.col("event_id") >= F.lit((low or 0) + i * step)) & (F.col("event_id") < F.lit((low or 0) + (i + 1) * step)))
+        third.sort("event_id").coalesce(1).select(F.to_json(F.struct("event_type", "t", "event_id", "user_id", "value"))).write.text(f"{folder}/part={i}")
+    return live_jsonl(spark, STREAM, f"{folder}/*")
+
+
+def _live(spark: SparkSession, sf_dir: str, run: Run, jitter: bool = False) -> LiveRun:
+    live = LiveRun(run, scratch_path(spark, "live"))
+    live.start(_arriving(spark, sf_dir, jitter), available_now=True)
+    live.wait()
+    return live
+
+
 def live_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live rule: in order of arrival, everything ends at the first event past the end."""
-    df = _events(spark, sf_dir, jitter=True)
-    return in_window(until_stop(df, "event_id", F.col("t") > END), START, None).select("event_id", "t")
+    """A live run: in order of arrival, everything ends at the first event past the end."""
+    live = _live(spark, sf_dir, Run(START, END).sink(FrameSink("all"), STREAM), jitter=True)
+    return live.deliveries(spark).select("pos", F.get_json_object("json", "$.event_id").cast("bigint").alias("event_id"), "key", "t", "target")
+
+
+def live_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live run with an echo and an echo of the echo, the latter registered first; what was published by its own triggers' order."""
+    run = Run(START, END).actor(echo("two", ECHOES, SECOND, delay_ms=1000)).actor(echo("one", STREAM, ECHOES, keys=["error"])).sink(FrameSink("seconds"), SECOND).sink(FrameSink("firsts"), ECHOES)
+    got = _live(spark, sf_dir, run).deliveries(spark).where("target_kind = 'sink'").select("pos", "topic", "key", "t")
+    return with_position(got, "pos", "place", by=["topic"]).select("topic", "key", "t", "place")
+
+
+def live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live run in which a row actor's sums per key go on over the batches."""
+    run = Run(START, END).actor(RowActor("sums", {STREAM: None}, {ECHOES: None}, make=_Hundredth, by_key=True)).sink(FrameSink("sums-out"), ECHOES)
+    got = _live(spark, sf_dir, run, jitter=False).deliveries(spark).where("target = 'sums-out'")
+    return got.select("key", "t", F.get_json_object("json", "$.text").cast("bigint").alias("total"))
+
+
+def live_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A live run whose actor publishes before its triggers: each reject is an error row."""
+    live = _live(spark, sf_dir, Run(0, ALWAYS).actor(ColumnarActor("shift", {STREAM: None}, {ECHOES: None}, fn=_shift)))
+    return live.errors(spark).select("actor", "kind", "t", F.get_json_object("message", "$.text").cast("bigint").alias("event_id"))
 
 
 class _Picky(Component):
@@ -204,18 +249,43 @@ class _Picky(Component):
 
     def on_event(self, topic: str, payload: dict[str, Any]) -> None:
         if payload["event_id"] % 5 == 0:
-            raise ValueError("fifth")
-        self.publish("echoes", {"msgKey": payload["event_type"], "msgTime": payload["t"], "text": str(payload["user_id"])})
+            raise ValueError(payload["event_id"])
+        self.publish("echoes", {"msgKey": payload["event_type"], "msgTime": payload["t"], "text": str(payload["event_id"])})
 
 
 def isolated_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row actor that fails on some events: its errors are counted, the other events are handled."""
+    """A row actor that fails on some events: a row per event, handled or failed."""
     plan = Run(START, END).source(_source(spark, sf_dir)).actor(RowActor("picky", {STREAM: None}, {ECHOES: None}, make=_Picky, by_key=True)).plan(spark)
-    ok = plan.events.where("topic = 'echoes'").groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("outcome", F.lit("handled"))
-    bad = plan.errors.where("kind = 'error'").select(F.lit("*").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("outcome", F.lit("failed"))
+    ok = plan.events.where("topic = 'echoes'").select(F.get_json_object("json", "$.text").cast("bigint").alias("event_id"), "t", F.lit("handled").alias("outcome"))
+    bad = plan.errors.select(F.regexp_extract("message", r"^ValueError: (\d+)$", 1).cast("bigint").alias("event_id"), "t", F.when(F.col("kind") == "error", "failed").alias("outcome"))
     return ok.unionByName(bad)
 
 
+class _Ledger(_Picky):
+    """Counts its events per key, and says how many at the end."""
+
+    def __init__(self) -> None:
+        self.n = 0
+
+    def on_startup(self, start_ms: int) -> None:
+        self.begun = start_ms
+
+    def on_event(self, topic: str, payload: dict[str, Any]) -> None:
+        self.n, self.key = self.n + 1, payload["event_type"]
+
+    def on_shutdown(self, last_ms: int) -> None:
+        self.publish("echoes", {"msgKey": self.key, "msgTime": last_ms, "text": f"{self.begun}:{self.n}"})
+
+
+def life_cycle_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components per key start with the run's start and end with the time of its last event, which an echo of another topic gives."""
+    run = Run(START, END).source(_source(spark, sf_dir)).actor(RowActor("ledger", {STREAM: None}, {SECOND: None, ECHOES: None}, make=_Ledger, by_key=True))
+    beats = HeartbeatSource("hb", {BEATS: None}, "BEAT", HOUR, END - HOUR)
+    late = run.source(beats).plan(spark).errors.where("kind = 'late'").select(F.regexp_extract("message", r"\{.*", 0).alias("m"))
+    field = lambda n: F.get_json_object("m", f"$.{n}")
+    return late.select(field("msgKey").alias("key"), field("msgTime").cast("bigint").alias("last"), F.split(field("text"), ":")[0].cast("bigint").alias("begun"), F.split(field("text"), ":")[1].cast("bigint").alias("n"))
+
+
 class _Hundredth(Component):
     """Keeps a running sum per key and publishes it with every hundredth event."""
 
@@ -245,10 +315,10 @@ class _Countdown(Component):
 
 
 def feedback_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An actor that hears its own topic: counts by key and remaining steps."""
+    """An actor that hears its own topic: what it published, by key and remaining steps, with its place in the stream."""
     run = Run(START, END).source(_source(spark, sf_dir, keys=["signup"])).actor(RowActor("down", {STREAM: None, ECHOES: None}, {ECHOES: None}, make=_Countdown))
-    got = run.plan(spark).events.where("topic = 'echoes'")
-    return got.groupBy("key", F.get_json_object("json", "$.text").alias("left")).agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("sum_t"))
+    got = with_position(run.plan(spark).events.select("ord", "topic", "key", "t", "json")).where("topic = 'echoes'")
+    return got.select("pos", "key", "t", F.get_json_object("json", "$.text").alias("left"))
 
 
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,19 +330,18 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed messages and beats in one stream, each guarded against backward times: rows by topic and UTC day."""
+    """Typed messages and beats in one numbered stream, each guarded against backward times."""
     msgs, beats = table(spark, sf_dir, "messages_two"), table(spark, sf_dir, "heart_beats")
-    orders = FrameSource("m", {Topic("messages", TEXT_MESSAGE): None}, msgs, {"msgKey": "msgKey", "msgTime": "msgTime", "text": "text"}, ["msg_id"])
+    texts = FrameSource("m", {Topic("messages", TEXT_MESSAGE): None}, msgs, {"msgKey": "msgKey", "msgTime": "msgTime", "text": "text"}, ["msg_id"])
     beating = FrameSource("h", {BEATS: None}, beats, {"beatKey": "beatKey", "beatTime": "beatTime"}, ["beat_id"])
-    events = Run(0, 4_102_444_800_000).source(orders).source(beating).plan(spark).events
-    return events.groupBy("topic", F.call_function("div", F.col("t"), F.lit(86_400_000).cast("bigint")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return with_position(Run(0, ALWAYS).source(texts).source(beating).plan(spark).events.select("ord", "topic", "key", "t")).select("pos", "topic", "key", "t")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         merge_orders_lineitem, tie_break_priority, heartbeat_merge, window_replay, key_route, guard, reader_stop, fanout_priority, echo_same_tick, delayed_publish,
-        causality_reject, two_hop_chain, printer_count, unrouted_positions, bar_payloads, vector_values, tagged_roundtrip, live_cutoff, isolated_errors, row_state,
+        causality_reject, two_hop_chain, printer_count, unrouted_positions, bar_payloads, vector_values, tagged_roundtrip, live_cutoff, live_chain, live_state, live_rejects, isolated_errors, life_cycle_times, row_state,
         feedback_cycle, jsonl_roundtrip, typed_replay,
     )
 }
@@ -312,30 +381,44 @@ ORACLE = {
     "delayed_publish": f"""WITH {_EV}, {_IN}, u AS (SELECT 'events' AS topic, event_type AS key, t, 0 AS f, event_id AS s FROM w
         UNION ALL SELECT 'echoes', event_type, t + {6 * HOUR}, 1, event_id FROM w WHERE t + {6 * HOUR} <= {END})
         SELECT row_number() OVER (ORDER BY t, f, s) AS pos, topic, key, t FROM u""",
-    "causality_reject": f"""WITH {_EV} SELECT event_type AS key, CASE WHEN event_id % 3 = 0 THEN 'rejected' ELSE 'published' END AS outcome, count(*) AS n FROM ev GROUP BY 1, 2""",
+    "causality_reject": f"""WITH {_EV}, u AS (SELECT 0 AS f, t, t AS trig, event_type AS key, event_id FROM ev
+        UNION ALL SELECT 1, t + (event_id % 3 - 1) * 500, t, event_type, event_id FROM ev WHERE event_id % 3 <> 0),
+        p AS (SELECT *, row_number() OVER (ORDER BY t, f, trig, event_id) AS pos FROM u)
+        SELECT pos, 'published' AS outcome, key, t, event_id FROM p WHERE f = 1 UNION ALL SELECT -1, 'reject', event_type, t - 500, event_id FROM ev WHERE event_id % 3 = 0""",
     "two_hop_chain": f"""WITH {_EV}, {_IN}, u AS (SELECT 'events' AS topic, event_type AS key, t, 0 AS f, 0 AS g, event_id AS s FROM w
         UNION ALL SELECT 'echoes', event_type, t, 1, 1, event_id FROM w WHERE event_type = 'error'
         UNION ALL SELECT 'second', event_type, t + 1000, 1, 2, event_id FROM w WHERE event_type = 'error' AND t + 1000 <= {END})
         SELECT row_number() OVER (ORDER BY t, f, CASE WHEN g = 2 THEN t - 1000 ELSE t END, s) AS pos, topic, key, t, CAST(g AS INTEGER) AS gen FROM u""",
     "printer_count": f"WITH {_EV}, {_IN} SELECT 'printer' AS target, event_type AS key, t, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) AS seen FROM w",
     "unrouted_positions": f"""WITH {_EV}, {_IN}, p AS (SELECT *, row_number() OVER (ORDER BY t, event_id) AS pos FROM w) SELECT pos, event_type AS key, t, 'purchases' AS target FROM p WHERE event_type = 'purchase'""",
-    "bar_payloads": f"""SELECT l_orderkey, l_returnflag AS symb, {_MS.format("l_shipdate")} AS t,
+    "bar_payloads": f"""SELECT l_orderkey, l_returnflag AS symb, {_MS.format("l_shipdate")} AS t, CAST(l_extendedprice AS DECIMAL(18,4)) AS op,
         CAST(CAST(l_extendedprice AS DECIMAL(18,4)) + CAST(l_tax AS DECIMAL(18,4)) AS DECIMAL(18,4)) AS hi, CAST(CAST(l_extendedprice AS DECIMAL(18,4)) - CAST(l_discount AS DECIMAL(18,4)) AS DECIMAL(18,4)) AS lo,
-        CAST(l_quantity AS BIGINT) AS vlm, CAST(l_linenumber AS INTEGER) AS n FROM lineitem""",
-    "vector_values": "SELECT vec_id, CAST(label AS VARCHAR) AS key, CAST(len(embedding) AS INTEGER) AS n FROM embeddings WHERE vec_id % 7 <> 0",
+        CAST(l_tax AS DECIMAL(18,4)) AS cl, CAST(CASE WHEN l_linenumber > 2 THEN CAST(l_discount AS DECIMAL(18,4)) ELSE -1 END AS DECIMAL(18,4)) AS vwap,
+        CAST(l_quantity AS BIGINT) AS vlm, {_MS.format("l_shipdate")} AS at, strftime(l_shipdate, '%Y-%m-%d') AS day, CAST(l_linenumber AS INTEGER) AS n FROM lineitem""",
+    "vector_values": """SELECT vec_id, CAST(label AS VARCHAR) AS key, place, CAST(embedding[place] AS DECIMAL(18,6)) AS value
+        FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings WHERE vec_id % 7 <> 0)""",
     "tagged_roundtrip": """SELECT msgKey AS key, msgTime AS t, text FROM messages_two WHERE msgKey IS NOT NULL AND msgTime IS NOT NULL AND text IS NOT NULL
         UNION ALL SELECT beatKey, beatTime, NULL FROM heart_beats WHERE beatKey IS NOT NULL AND beatTime IS NOT NULL""",
-    "live_cutoff": f"WITH {_JEV} SELECT event_id, t FROM ev WHERE t >= {START} AND event_id < coalesce((SELECT min(event_id) FROM ev WHERE t > {END}), 9000000000000000)",
-    "isolated_errors": f"""WITH {_EV}, {_IN} SELECT event_type AS key, count(*) AS n, 'handled' AS outcome FROM w WHERE event_id % 5 <> 0 GROUP BY 1
-        UNION ALL SELECT '*', count(*), 'failed' FROM w WHERE event_id % 5 = 0 HAVING count(*) > 0""",
+    "live_cutoff": f"""WITH {_JEV} SELECT row_number() OVER (ORDER BY event_id) AS pos, event_id, event_type AS key, t, 'all' AS target FROM ev
+        WHERE t >= {START} AND event_id < coalesce((SELECT min(event_id) FROM ev WHERE t > {END}), 9000000000000000)""",
+    "live_chain": f"""WITH {_EV}, w AS (SELECT * FROM ev WHERE event_type = 'error' AND t >= {START} AND event_id < coalesce((SELECT min(event_id) FROM ev WHERE t > {END}), 9000000000000000))
+        SELECT 'echoes' AS topic, event_type AS key, t, row_number() OVER (ORDER BY event_id) AS place FROM w
+        UNION ALL SELECT 'second', event_type, t + 1000, row_number() OVER (ORDER BY event_id) FROM w WHERE t + 1000 <= {END}""",
+    "live_state": f"""WITH {_EV}, w AS (SELECT * FROM ev WHERE t >= {START} AND event_id < coalesce((SELECT min(event_id) FROM ev WHERE t > {END}), 9000000000000000)),
+        r AS (SELECT event_type AS key, t, row_number() OVER o AS n, CAST(sum(user_id) OVER o AS BIGINT) AS total FROM w WINDOW o AS (PARTITION BY event_type ORDER BY event_id))
+        SELECT key, t, total FROM r WHERE n % 100 = 0""",
+    "live_rejects": f"WITH {_EV} SELECT 'shift' AS actor, 'reject' AS kind, t, event_id FROM ev WHERE event_id % 3 = 0",
+    "life_cycle_times": f"WITH {_EV}, {_IN} SELECT event_type AS key, greatest((SELECT max(t) FROM w), {END}) AS last, CAST({START} AS BIGINT) AS begun, count(*) AS n FROM w GROUP BY 1",
+    "isolated_errors": f"WITH {_EV}, {_IN} SELECT event_id, t, CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'handled' END AS outcome FROM w",
     "row_state": f"""WITH {_EV}, {_IN}, r AS (SELECT event_type AS key, t, row_number() OVER o AS n, CAST(sum(user_id) OVER o AS BIGINT) AS total FROM w WINDOW o AS (PARTITION BY event_type ORDER BY t, event_id))
         SELECT key, t, total FROM r WHERE n % 100 = 0""",
-    "feedback_cycle": f"""WITH {_EV}, {_IN}, c AS (SELECT event_type AS key, t, event_id % 3 AS k FROM w WHERE event_type = 'signup'),
-        d AS (SELECT key, t, k AS left_ FROM c WHERE k > 0 UNION ALL SELECT key, t + 10, 1 FROM c WHERE k = 2 AND t + 10 <= {END})
-        SELECT key, CAST(left_ AS VARCHAR) AS "left", count(*) AS n, CAST(sum(t) AS BIGINT) AS sum_t FROM d GROUP BY 1, 2""",
+    "feedback_cycle": f"""WITH {_EV}, {_IN}, c AS (SELECT event_type AS key, t, event_id, event_id % 3 AS k FROM w WHERE event_type = 'signup'),
+        u AS (SELECT 0 AS f, key, t, t AS trig, event_id, 0 AS left_ FROM c UNION ALL SELECT 1, key, t, t, event_id, k FROM c WHERE k > 0
+        UNION ALL SELECT 1, key, t + 10, t, event_id, 1 FROM c WHERE k = 2 AND t + 10 <= {END}),
+        p AS (SELECT *, row_number() OVER (ORDER BY t, f, trig, event_id) AS pos FROM u) SELECT pos, key, t, CAST(left_ AS VARCHAR) AS "left" FROM p WHERE f = 1""",
     "jsonl_roundtrip": f"WITH {_EV}, {_IN} SELECT event_type AS key, t, event_id FROM w WHERE event_type = 'view' AND t <= {END - 48 * HOUR}",
-    "typed_replay": """WITH g AS (SELECT 'messages' AS topic, msgTime AS t, max(msgTime) OVER (ORDER BY msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM messages_two WHERE msgKey IS NOT NULL AND msgTime IS NOT NULL
-        UNION ALL SELECT 'beats', beatTime, max(beatTime) OVER (ORDER BY beat_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) FROM heart_beats WHERE beatKey IS NOT NULL AND beatTime IS NOT NULL)
-        SELECT topic, t // 86400000 AS day, count(*) AS n FROM g WHERE m IS NULL OR t >= m GROUP BY 1, 2""",
+    "typed_replay": """WITH g AS (SELECT 'messages' AS topic, 0 AS i, msg_id AS id, msgKey AS key, msgTime AS t, max(msgTime) OVER (ORDER BY msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM messages_two WHERE msgKey IS NOT NULL AND msgTime IS NOT NULL
+        UNION ALL SELECT 'beats', 1, beat_id, beatKey, beatTime, max(beatTime) OVER (ORDER BY beat_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) FROM heart_beats WHERE beatKey IS NOT NULL AND beatTime IS NOT NULL)
+        SELECT row_number() OVER (ORDER BY t, i, id) AS pos, topic, key, t FROM g WHERE m IS NULL OR t >= m""",
 }
 assert ORACLE.keys() == QUERIES.keys()

@@ -115,4 +115,18 @@ ORACLE = {
         d AS (SELECT symb, any_value(p) AS p, min(slot) AS a, max(slot) AS z FROM r GROUP BY symb, slot // 86400000),
         g AS (SELECT symb, unnest(range(a, z + 1, p)) AS slot_ms FROM d)
         SELECT symb, CAST(slot_ms AS BIGINT) AS slot_ms FROM g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.symb = g.symb AND r.slot = g.slot_ms)""",
+    "p2_regular": f"""WITH b AS (SELECT symb, {_MS} AS x, CAST(cl AS DOUBLE) AS y, period_s * 1000 AS p FROM cdf_bars JOIN instruments USING (symb) WHERE "timestamp" IS NOT NULL AND cl IS NOT NULL),
+        k AS (SELECT symb, x, max(y) AS y, any_value(p) AS p, x - x % any_value(p) AS slot FROM b GROUP BY symb, x),
+        n AS (SELECT *, lag(x) OVER w AS x0, lag(y) OVER w AS y0, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(x, 2) OVER w AS x3, lead(y, 2) OVER w AS y3, lead(slot) OVER w AS s2 FROM k WINDOW w AS (PARTITION BY symb ORDER BY x)),
+        d AS (SELECT *, coalesce(s2 // 86400000 = slot // 86400000, false) AS inside, x2 - x > 12 * p AS wide, CAST(x2 - x AS DOUBLE) AS h, (y2 - y) / (x2 - x) AS d1,
+            CASE WHEN x - x0 <= 12 * p THEN CAST(x - x0 AS DOUBLE) END AS hb, (y - y0) / (x - x0) AS db, CASE WHEN x3 - x2 <= 12 * p THEN CAST(x3 - x2 AS DOUBLE) END AS ha, (y3 - y2) / (x3 - x2) AS da FROM n),
+        e AS (SELECT *, ((2 * h + ha) * d1 - h * da) / (h + ha) AS el, ((2 * h + hb) * d1 - h * db) / (h + hb) AS er FROM d),
+        m AS (SELECT *, CASE WHEN hb IS NOT NULL THEN CASE WHEN db * d1 > 0 THEN (3 * hb + 3 * h) / ((2 * h + hb) / db + (h + 2 * hb) / d1) ELSE 0 END
+                WHEN ha IS NOT NULL THEN CASE WHEN sign(el) <> sign(d1) THEN 0 WHEN sign(d1) <> sign(da) AND abs(el) > 3 * abs(d1) THEN 3 * d1 ELSE el END ELSE d1 END AS m1,
+            CASE WHEN ha IS NOT NULL THEN CASE WHEN d1 * da > 0 THEN (3 * h + 3 * ha) / ((2 * ha + h) / d1 + (ha + 2 * h) / da) ELSE 0 END
+                WHEN hb IS NOT NULL THEN CASE WHEN sign(er) <> sign(d1) THEN 0 WHEN sign(d1) <> sign(db) AND abs(er) > 3 * abs(d1) THEN 3 * d1 ELSE er END ELSE d1 END AS m2 FROM e),
+        g AS (SELECT *, unnest(range(slot + p, s2, p)) AS empty FROM m WHERE inside AND s2 - slot > p), f AS (SELECT *, (empty - x) / h AS t FROM g)
+        SELECT symb, CAST(slot AS BIGINT) AS slot_ms, round(y, 4) AS cl, 'reading' AS state FROM n WHERE s2 IS NULL OR s2 <> slot
+        UNION ALL SELECT symb, CAST(empty AS BIGINT), CASE WHEN NOT wide THEN round(y * (1 + 2 * t) * (1 - t) * (1 - t) + h * m1 * t * (1 - t) * (1 - t) + y2 * t * t * (3 - 2 * t) + h * m2 * t * t * (t - 1), 4) END,
+            CASE WHEN wide THEN 'gap' ELSE 'filled' END FROM f""",
 }

@@ -71,6 +71,16 @@ def test_grid_by_day_and_empty(spark):
     assert regular_grid(df.limit(0), periods, source="s", at_ms="t", value="v").collect() == []
 
 
+def test_busy_shards_are_made_shorter_and_days_stay_apart(spark):
+    rng = np.random.default_rng(12)
+    x = np.unique(rng.integers(DAY_MS - 400_000, DAY_MS + 400_000, 500))
+    df = spark.createDataFrame([("a", int(i), float(v)) for i, v in zip(x, rng.normal(size=len(x)))], "s string, t bigint, v double")
+    periods = spark.createDataFrame([("a", 1)], "s string, period_s int")
+    for span in ("day", "series"):
+        one, few = (sorted(map(tuple, regular_grid(df, periods, source="s", at_ms="t", value="v", span=span, shard_rows=n).collect())) for n in (1_000_000, 40))
+        assert [r[:2] + r[3:] for r in one] == [r[:2] + r[3:] for r in few] and np.allclose([r[2] for r in one if r[2] is not None], [r[2] for r in few if r[2] is not None])
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     emit, starts = rng.normal(size=(150, 4)) * 2, np.zeros(150, bool)
