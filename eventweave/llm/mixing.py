@@ -53,20 +53,17 @@ def token_counts(docs: DataFrame, *, doc_id: str, text: str, keep: list[str], fo
 def quality_weight(text: Column) -> Column:
     """A weight in 0.1 to 1 from what commonly tells running text from tables, logs, menus and fragments; 0.1 for null and empty texts.
 
-    The product of four shares, each 1 for plain prose: letters and spaces among the characters; words with a letter among the words; distinct
-    lines among the lines that aren't blank; and length, up to 20 words. Words of 3 to 10 letters on average are usual; longer or shorter
-    means count less, in proportion.
+    The product of four shares, each 1 for plain prose: letters and spaces among the characters; distinct lines among the lines that aren't
+    blank; length, up to 20 words; and how near the mean length of words comes to 3 to 10 letters.
     """
     n = F.length(text)
     plain = F.length(F.regexp_replace(text, r"[^\p{L}\s]", "")) / n
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    many = F.size(words)
-    wordy = F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) / many
+    many = F.size(F.split(F.trim(F.translate(text, "\n\r\t", "   ")), " +"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     distinct = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
     mean = n / many - 1
     usual = F.when(mean < 3, F.greatest(mean, F.lit(0.0)) / 3).when(mean > 10, 10 / mean).otherwise(1.0)
-    weight = plain * wordy * distinct * F.least(many / 20, F.lit(1.0)) * usual
+    weight = plain * distinct * F.least(many / 20, F.lit(1.0)) * usual
     return F.when(n > 0, F.greatest(F.lit(0.1), F.least(F.lit(1.0), weight))).otherwise(F.lit(0.1))
 
 
