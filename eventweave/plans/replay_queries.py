@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +12,10 @@ from pyspark.sql import types as T
 from eventweave.functions import codec
 from eventweave.operators.actors import ColumnarActor, Component, RowActor, echo
 from eventweave.operators.merge import in_window, monotonic_guard, source_key, until_stop, with_position
+from eventweave.operators.routing import RouteConflict
 from eventweave.plans.run import Run
 from eventweave.session import scratch_path, table
-from eventweave.sources import FrameSource, HeartbeatSource, JsonlSource
+from eventweave.sources import FrameSource, HeartbeatSource, IterableSource, JsonlSource
 from eventweave.sources.sinks import FrameSink, JsonlSink
 from eventweave.streaming.live import LiveRun, live_jsonl
 from eventweave.topics import CDF_BAR, HEART_BEAT, TEXT_MESSAGE, VECTOR_VALUE, PayloadType, Topic
@@ -21,6 +23,8 @@ from eventweave.topics import CDF_BAR, HEART_BEAT, TEXT_MESSAGE, VECTOR_VALUE, P
 #: A window inside the month that the events cover: 3 to 24 January 2024.
 START, END = 1_704_240_000_000, 1_706_140_800_000
 HOUR, ALWAYS = 3_600_000, 4_102_444_800_000
+#: The event whose line is broken in `broken_source`.
+BROKEN = 700
 
 EVENT = PayloadType(
     "UserEvent",
@@ -337,12 +341,64 @@ def typed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_position(Run(0, ALWAYS).source(texts).source(beating).plan(spark).events.select("ord", "topic", "key", "t")).select("pos", "topic", "key", "t")
 
 
+def echo_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an echo says: the topic and the event's JSON."""
+    beats = HeartbeatSource("hb", {BEATS: None}, "BEAT", HOUR, START)
+    events = Run(START, END).source(beats).actor(echo("parrot", BEATS, ECHOES)).plan(spark).events.where("topic = 'echoes'")
+    return events.select("key", "t", F.get_json_object("json", "$.text").alias("text"))
+
+
+def route_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sinks whose keys overlap, grow and shrink: a second owner is refused, and nobody takes away what isn't theirs."""
+    a, b = FrameSink("a"), FrameSink("b")
+    run = Run(START, END).source(_source(spark, sf_dir)).sink(a, STREAM, ["view"]).sink(a, STREAM, ["view", "click", "error"])
+    try:
+        run.sink(b, STREAM, ["purchase", "click"])
+    except RouteConflict:
+        run.sink(b, STREAM, ["purchase"])
+    run.unregister(b, STREAM, ["view"]).unregister(a, STREAM, ["error"])
+    return run.plan(spark).deliveries.select("key", "t", "target")
+
+
+def broken_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file with a broken line: what came before it is replayed, and the source counts as failed."""
+    path, events = scratch_path(spark, "broken"), _events(spark, sf_dir)
+    line = F.when(F.col("event_id") == BROKEN, "{broken").otherwise(F.to_json(F.struct("event_type", "t", "event_id", "user_id", "value")))
+    events.sort("event_id").coalesce(1).select(line.alias("value")).write.text(path)
+    plan = Run(0, ALWAYS).source(JsonlSource("reader", {STREAM: None}, path)).plan(spark)
+    return plan.events.select("key", "t", F.get_json_object("json", "$.event_id").cast("bigint").alias("event_id"), F.lit("reader" in plan.failed_sources).alias("failed"))
+
+
+def iterable_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a Python generator, up to one on a topic that the source doesn't declare."""
+
+    def produce() -> Iterator[tuple[str, dict[str, Any]]]:
+        for i in range(20_000):
+            yield "nowhere" if i == 15_000 else "beats", {"beatKey": f"k{i % 3}", "beatTime": START + i}
+
+    events = Run(START, END).source(IterableSource("made", {BEATS: ["k0", "k1"]}, produce)).plan(spark).events
+    return with_position(events.select("ord", "key", "t")).select("pos", "key", "t")
+
+
+def tagged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and beats in one tagged file, by their ids, through one source of two topics, guarded together."""
+    messages = Topic("messages", TEXT_MESSAGE)
+    m = table(spark, sf_dir, "messages_two").where("msgKey is not null and msgTime is not null and text is not null")
+    h = table(spark, sf_dir, "heart_beats").where("beatKey is not null and beatTime is not null")
+    lines = m.select("msg_id", F.lit(0).alias("kind"), codec.to_tagged(F.struct("msgKey", "msgTime", "text"), TEXT_MESSAGE).alias("value"))
+    lines = lines.unionByName(h.select(F.col("beat_id").alias("msg_id"), F.lit(1).alias("kind"), codec.to_tagged(F.struct("beatKey", "beatTime"), HEART_BEAT).alias("value")))
+    path = scratch_path(spark, "tagged")
+    lines.sort("msg_id", "kind").coalesce(1).select("value").write.text(path)
+    plan = Run(0, ALWAYS).source(JsonlSource("reader", {messages: None, BEATS: None}, path, tagged=True)).plan(spark)
+    return with_position(plan.events.select("ord", "topic", "key", "t")).select("pos", "topic", "key", "t")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         merge_orders_lineitem, tie_break_priority, heartbeat_merge, window_replay, key_route, guard, reader_stop, fanout_priority, echo_same_tick, delayed_publish,
         causality_reject, two_hop_chain, printer_count, unrouted_positions, bar_payloads, vector_values, tagged_roundtrip, live_cutoff, live_chain, live_state, live_rejects, isolated_errors, life_cycle_times, row_state,
-        feedback_cycle, jsonl_roundtrip, typed_replay,
+        feedback_cycle, jsonl_roundtrip, typed_replay, echo_text, route_changes, broken_source, iterable_source, tagged_source,
     )
 }
 QUERIES["monotonic_guard"] = QUERIES.pop("guard")
@@ -420,5 +476,13 @@ ORACLE = {
     "typed_replay": """WITH g AS (SELECT 'messages' AS topic, 0 AS i, msg_id AS id, msgKey AS key, msgTime AS t, max(msgTime) OVER (ORDER BY msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM messages_two WHERE msgKey IS NOT NULL AND msgTime IS NOT NULL
         UNION ALL SELECT 'beats', 1, beat_id, beatKey, beatTime, max(beatTime) OVER (ORDER BY beat_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) FROM heart_beats WHERE beatKey IS NOT NULL AND beatTime IS NOT NULL)
         SELECT row_number() OVER (ORDER BY t, i, id) AS pos, topic, key, t FROM g WHERE m IS NULL OR t >= m""",
+    "echo_text": f"""SELECT 'BEAT' AS key, b AS t, 'beats :: {{"beatKey":"BEAT","beatTime":' || b || '}}' AS text FROM range({START}, {END} + 1, {HOUR}) r(b)""",
+    "route_changes": f"WITH {_EV}, {_IN} SELECT event_type AS key, t, CASE WHEN event_type = 'purchase' THEN 'b' ELSE 'a' END AS target FROM w WHERE event_type IN ('view', 'click', 'purchase')",
+    "broken_source": f"WITH {_EV} SELECT event_type AS key, t, event_id, true AS failed FROM ev WHERE event_id < {BROKEN}",
+    "iterable_source": f"SELECT row_number() OVER (ORDER BY i) AS pos, 'k' || (i % 3) AS key, {START} + i AS t FROM range(15000) r(i) WHERE i % 3 < 2",
+    "tagged_source": """WITH u AS (SELECT msg_id AS id, 0 AS k, 'messages' AS topic, msgKey AS key, msgTime AS t FROM messages_two WHERE msgKey IS NOT NULL AND msgTime IS NOT NULL AND text IS NOT NULL
+        UNION ALL SELECT beat_id, 1, 'beats', beatKey, beatTime FROM heart_beats WHERE beatKey IS NOT NULL AND beatTime IS NOT NULL),
+        g AS (SELECT *, max(t) OVER (ORDER BY id, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM u)
+        SELECT row_number() OVER (ORDER BY t, id, k) AS pos, topic, key, t FROM g WHERE m IS NULL OR t >= m""",
 }
 assert ORACLE.keys() == QUERIES.keys()

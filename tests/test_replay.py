@@ -15,7 +15,7 @@ from eventweave.operators.actors import ColumnarActor, Component, RowActor, Unbo
 from eventweave.operators.merge import monotonic_guard, with_position
 from eventweave.operators.routing import RouteConflict
 from eventweave.plans.run import Mode, NotOver, Run, RunFailed, Status, mode_of
-from eventweave.report import CallbackReporter, ComponentReporter, ReportLevel, set_default_reporter
+from eventweave.report import CallbackReporter, ComponentReporter, LoggingReporter, ReportLevel, configure_logging, set_default_reporter
 from eventweave.sources import FrameSource, HeartbeatSource, IterableSource, JsonlSource
 from eventweave.sources.sinks import CallbackSink, FrameSink, JsonlSink, ParquetSink, PrintSink
 from eventweave.topics import CDF_BAR, HEART_BEAT, TEXT_MESSAGE, VECTOR_VALUE, PayloadType, Topic, register
@@ -420,6 +420,20 @@ def test_reports():
     assert ReportLevel.FATAL.meets(ReportLevel.SEVERE) and not ReportLevel.INFO.meets(ReportLevel.WARNING)
 
 
+def test_log_files_roll_by_size_and_total(tmp_path):
+    path = str(tmp_path / "run.log")
+    configure_logging(ReportLevel.INFO, path, most_bytes=400, total_bytes=1300)
+    handle = ComponentReporter("part", LoggingReporter())
+    for i in range(60):
+        handle.info(lambda i=i: f"line {i}")
+    handle.large_info("unseen")
+    files = sorted(tmp_path.iterdir())
+    assert 3 <= len(files) <= 5 and all(f.stat().st_size <= 400 for f in files) and sum(f.stat().st_size for f in files) <= 1700
+    last = open(path).read().strip().split("\n")[-1]
+    assert last.endswith("[INFO] {part} : line 59")
+    configure_logging()
+
+
 def queue_model(sources, actors, start, end):
     """An event loop: the head of each source competes; derived events queue up with the numbers of their arrival."""
     heads, derived, out, number = [], [], [], 0
