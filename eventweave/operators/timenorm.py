@@ -99,7 +99,7 @@ class TimeDictionary:
         """``texts`` has kind, raw, zone and locale; rows may repeat, nulls in raw are left out. Parses what the dictionary lacks."""
         new, span = texts.select(*_KEYS).where(F.col("raw").isNotNull()).distinct(), self.span
         if self._written:
-            old = self.table().select(*_KEYS)
+            old = self.spark.read.schema(_ENTRY).parquet(self.path).select(*_KEYS)
             new = new.join(old, [F.equal_null(new[k], old[k]) if k in ("zone", "locale") else new[k] == old[k] for k in _KEYS], "left_anti")
         new.mapInPandas(lambda batches: _parse(batches, span), _ENTRY).write.mode("append").parquet(self.path)
         self._written = True
