@@ -58,9 +58,9 @@ def quality_weight(text: Column) -> Column:
     """
     n = F.length(text)
     plain = F.length(F.regexp_replace(text, r"[^\p{L}\s]", "")) / n
-    many = F.size(F.split(F.trim(F.translate(text, "\n\r\t", "   ")), " +"))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    distinct = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
+    many = n - F.length(F.replace(text, F.lit(" "), F.lit(""))) + n - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    lines = F.split(text, "\n+")
+    distinct = F.size(F.array_distinct(lines)) / F.size(lines)
     mean = n / many - 1
     usual = F.when(mean < 3, F.greatest(mean, F.lit(0.0)) / 3).when(mean > 10, 10 / mean).otherwise(1.0)
     weight = plain * distinct * F.least(many / 20, F.lit(1.0)) * usual
